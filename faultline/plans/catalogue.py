@@ -1,0 +1,6 @@
+"""Queries of the engine's own operators, each beside its DuckDB oracle."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
