@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import packing
+from faultline.llm import packing, quality_classifier, quality_rules
 from faultline.llm.shared import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_quality_rules": quality_rules.ORACLE,
+}
