@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import lattice, ngram_join, packing, quality_classifier, quality_rules
+from faultline.llm import lattice, ngram_join, packing, pii, quality_classifier, quality_rules
 from faultline.llm.shared import table
 
 
@@ -13,6 +13,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii": op2_pii,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
