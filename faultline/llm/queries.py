@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultline.llm import lattice, ngram_join, packing, pii, quality_classifier, quality_rules
+from faultline.llm import lattice, mixing, ngram_join, packing, pii, quality_classifier, quality_rules
 from faultline.llm.shared import table
 
 
@@ -34,6 +35,19 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+#: Shares of tokens by language that the mixture aims at.
+LANGUAGE_TARGETS = {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains are languages, known for the rows that the labels table covers and predicted for all."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    mix = mixing.fit(docs, labelled, LANGUAGE_TARGETS)
+    mixed = mixing.apply(docs.select("doc_id", "text"), mix)
+    return mixed.select("doc_id", "n_tokens", "domain", *[F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(mix.domains)], "rate")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -41,6 +55,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE = {
