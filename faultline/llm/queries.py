@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import lattice, mixing, ngram_join, packing, pii, quality_classifier, quality_rules
-from faultline.llm.shared import table
+from faultline.llm import lattice, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, warc
+from faultline.llm.shared import Workspace, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Workspace(spark, "warc").path
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark, folder)
+    return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 #: Shares of tokens by language that the mixture aims at.
 LANGUAGE_TARGETS = {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12}
 
@@ -55,6 +62,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
 
