@@ -32,10 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Written tables that cut lineage: a lost executor costs a reread, not a recomputation.
 
-    They stay until release() or the end of the driver.
+    They stay until release() or the end of the driver; release_all() leaves held ones.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, held: bool = False):
+        self.held = held
         self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/faultline/{name}-{uuid.uuid4().hex[:12]}"
         _LIVE.append(self)
 
@@ -57,13 +58,14 @@ class Workspace:
             _LIVE.remove(self)
 
 
-def release_all() -> None:
+def release_all(held: bool = False) -> None:
     """Drop the tables of all results that have been written elsewhere by now."""
     for x in list(_LIVE):
-        x.release()
+        if held or not x.held:
+            x.release()
 
 
-atexit.register(release_all)
+atexit.register(release_all, held=True)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
