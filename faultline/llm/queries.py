@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import lattice, licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, warc
+from faultline.llm import lattice, licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, warc
 from faultline.llm.shared import Workspace, table
 
 
@@ -26,6 +26,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
+    "op5_secret_scan": op5_secret_scan,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,

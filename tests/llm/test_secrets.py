@@ -1,0 +1,41 @@
+import re
+
+import pytest
+
+from faultline.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    return secrets.forest(spark, secrets.labelled_findings())
+
+
+def test_forest_on_unseen_findings(spark, trees):
+    rows = secrets.labelled_findings(600, seed=77)
+    df = spark.createDataFrame([(i, " ".join(r[:4])) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.is_secret for r in secrets.scan(df, trees).collect()}
+    assert len(got) >= 590
+    right = sum(got.get(i, False) == r[4] for i, r in enumerate(rows))
+    assert right >= 0.95 * len(rows)
+
+
+def test_candidates_against_brute_force(spark, sf_dir, trees):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = set()
+    for d, t in docs.collect():
+        for i, w in enumerate(re.findall("[^\x20\x09-\x0d]+", t or "")):
+            if re.search("[0-9]", w) and (m := re.findall("[A-Za-z0-9+/_-]{12,}", w)):
+                tail = re.search("([A-Za-z0-9+/_-]{12,})[^A-Za-z0-9+/_-]*$", w)
+                want.add((d, i, tail[1] if tail else m[0]))
+    got = secrets.scan(docs, trees).collect()
+    assert {(r.doc_id, r.word_no, r.candidate) for r in got} == want and len(got) == len(want)
+    sure = [r for r in got if re.match("AKIA[A-Z0-9]{16}$", r.candidate)]
+    assert all(r.is_secret for r in sure)
+    assert not any(r.is_secret for r in got if re.match("[0-9]{12,19}$", r.candidate))
+
+
+def test_edge_cases(spark, trees):
+    df = spark.createDataFrame([(None, "password=dec922b87c1555881a x", 0.5), (1, None, 0.1), (2, "", 0.1), (3, "w1 " * 50_000, 0.1), (4, 'token = "0641917ea4e9feb9cda83477b57ac2654884f485"', 0.1), (4, 'token = "0641917ea4e9feb9cda83477b57ac2654884f485"', 0.1)], "doc_id long, text string, score double")
+    got = secrets.scan(df, trees).collect()
+    assert sorted((r.doc_id or 0, r.word_no, r.is_secret) for r in got) == [(0, 0, True), (4, 2, True), (4, 2, True)]
+    assert secrets.scan(df.limit(0), trees).collect() == []
