@@ -24,6 +24,11 @@ def strip_leading(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\p{Z}\t\n\x0B\f\r\x1C-\x1F]+", "")
 
 
+def trimmed(c: Column) -> Column:
+    """Without characters up to U+0020 at either end."""
+    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def container_path(c: Column) -> Column:
     """/project if blank; else with a leading slash."""
     return F.when(blank(c), "/project").when(c.startswith("/"), c).otherwise(F.concat(F.lit("/"), c))
@@ -81,7 +86,7 @@ def change_line(match: Column) -> Column:
 def looked_up(token: Column, names: Mapping[str, str], default: str | None = None) -> Column:
     """names[trimmed, lower-cased token], else the default."""
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_replace(token, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))), F.lit(default))
+    return F.coalesce(F.try_element_at(table, F.lower(trimmed(token))), F.lit(default))
 
 
 #: Tokens of prompts and the prompts they name; a dash reads as an underscore.
@@ -104,13 +109,13 @@ def reply_reader(prompt: Column) -> Column:
 
 def truth(c: Column) -> Column:
     """true or 1, false or 0; anything else is an error."""
-    low = F.lower(F.trim(c))
+    low = F.lower(trimmed(c))
     return F.when(low.isin("true", "1"), True).when(low.isin("false", "0"), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), or_null_text(c))).cast("boolean"))
 
 
 def path_list(c: Column) -> Column:
     """Parts between commas and colons, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, "[,:]"), lambda x: F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[,:]"), trimmed), lambda x: x != "")
 
 
 def artifact_path(group: Column, artifact: Column, version: Column) -> Column:
@@ -132,13 +137,13 @@ def first_non_empty(*columns: Column) -> Column:
 
 def recipe_yaml(reply: Column) -> Column:
     """A recipe in a fenced block, else the whole text if it names one, else empty."""
-    fenced = F.trim(F.regexp_extract(reply, r"(?s)```(?:yaml|yml)?\s*(type:\s*specs.openrewrite.org/v1beta/recipe.*?)```", 1))
-    return F.coalesce(first_non_empty(fenced, F.when(F.contains(reply, F.lit("type: specs.openrewrite.org/v1beta/recipe")), F.trim(reply))), F.lit(""))
+    fenced = trimmed(F.regexp_extract(reply, r"(?s)```(?:yaml|yml)?\s*(type:\s*specs.openrewrite.org/v1beta/recipe.*?)```", 1))
+    return F.coalesce(first_non_empty(fenced, F.when(F.contains(reply, F.lit("type: specs.openrewrite.org/v1beta/recipe")), trimmed(reply))), F.lit(""))
 
 
 def recipe_java(reply: Column) -> Column:
-    fenced = F.trim(F.regexp_extract(reply, r"(?s)```(?:java)?\s*(package\s+[\w.]+\s*;.*?public\s+class\s+\w+.*?extends\s+Recipe.*?\})", 1))
-    raw = F.trim(reply)
+    fenced = trimmed(F.regexp_extract(reply, r"(?s)```(?:java)?\s*(package\s+[\w.]+\s*;.*?public\s+class\s+\w+.*?extends\s+Recipe.*?\})", 1))
+    raw = trimmed(reply)
     named = F.contains(reply, F.lit("extends Recipe")) | F.contains(reply, F.lit("implements Recipe"))
     return F.coalesce(first_non_empty(fenced, F.when(named & (raw.startswith("package ") | raw.startswith("import ")), raw)), F.lit(""))
 
