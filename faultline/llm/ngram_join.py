@@ -183,7 +183,7 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float =
             out = pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("group", "id", "copies")), pa.array([s.tobytes() for s in sets], pa.binary())], ["group", "id", "copies", "shingles"])
             yield out.filter(pa.array(same))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(wanted, "id").select("id", "text", "group", "copies", "f1")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(wanted.hint("merge"), "id").select("id", "text", "group", "copies", "f1")
     members = space.keep(texts.mapInArrow(whole, "group long, id long, copies long, shingles binary").dropDuplicates(["id"]), "members")
     p, q = ratio.numerator, ratio.denominator
 
