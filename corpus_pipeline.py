@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Where a doc_id repeats, one row of it stays, and rows without a doc_id stay once a text."""
     release_all()
     gone = ngram_join.join(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         left = left.withColumn("_text", F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return left
