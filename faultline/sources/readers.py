@@ -42,14 +42,14 @@ def numbered_lines(texts: DataFrame, key: str = "log_id", text: str = "content")
 
 def logs(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """log_id (its path) and content of each log; the scan fails where path isn't there."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("log_id"), F.col("value").alias("content"))
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log_id"), F.col("value").alias("content"))
 
 
 def source_files(spark: SparkSession, path: str, glob: str = "*.java") -> DataFrame:
     """file and content of the files below path at any depth."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -87,7 +87,7 @@ def config(spark: SparkSession, path: str) -> DataFrame:
 
     Blank lines, comments, and lines without a key before their first = are skipped.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(split_lines(F.col("value"))).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(split_lines(F.col("value"))).alias("n", "line"))
     return parsed_config(lines)
 
 
