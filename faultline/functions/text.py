@@ -135,14 +135,22 @@ def first_non_empty(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
+#: How recipes look in replies, how a class is named, and its name where it has none.
+YAML_RECIPE = r"(?s)```(?:yaml|yml)?\s*(type:\s*specs.openrewrite.org/v1beta/recipe.*?)```"
+YAML_MARK = "type: specs.openrewrite.org/v1beta/recipe"
+JAVA_RECIPE = r"(?s)```(?:java)?\s*(package\s+[\w.]+\s*;.*?public\s+class\s+\w+.*?extends\s+Recipe.*?\})"
+CLASS_NAME = r"public\s+class\s+([A-Za-z_][A-Za-z0-9_]*)"
+UNNAMED = "OpenRewriteRecipe"
+
+
 def recipe_yaml(reply: Column) -> Column:
     """A recipe in a fenced block, else the whole text if it names one, else empty."""
-    fenced = trimmed(F.regexp_extract(reply, r"(?s)```(?:yaml|yml)?\s*(type:\s*specs.openrewrite.org/v1beta/recipe.*?)```", 1))
-    return F.coalesce(first_non_empty(fenced, F.when(F.contains(reply, F.lit("type: specs.openrewrite.org/v1beta/recipe")), trimmed(reply))), F.lit(""))
+    fenced = trimmed(F.regexp_extract(reply, YAML_RECIPE, 1))
+    return F.coalesce(first_non_empty(fenced, F.when(F.contains(reply, F.lit(YAML_MARK)), trimmed(reply))), F.lit(""))
 
 
 def recipe_java(reply: Column) -> Column:
-    fenced = trimmed(F.regexp_extract(reply, r"(?s)```(?:java)?\s*(package\s+[\w.]+\s*;.*?public\s+class\s+\w+.*?extends\s+Recipe.*?\})", 1))
+    fenced = trimmed(F.regexp_extract(reply, JAVA_RECIPE, 1))
     raw = trimmed(reply)
     named = F.contains(reply, F.lit("extends Recipe")) | F.contains(reply, F.lit("implements Recipe"))
     return F.coalesce(first_non_empty(fenced, F.when(named & (raw.startswith("package ") | raw.startswith("import ")), raw)), F.lit(""))
@@ -153,8 +161,8 @@ def recipe(reply: Column) -> Column:
     return F.coalesce(first_non_empty(recipe_yaml(reply), recipe_java(reply)), F.raise_error(F.lit("the reply has no recipe")).cast("string"))
 
 
-def class_name(code: Column, default: str = "OpenRewriteRecipe") -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(code, r"public\s+class\s+([A-Za-z_][A-Za-z0-9_]*)", 1), F.lit("")), F.lit(default))
+def class_name(code: Column, default: str = UNNAMED) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(code, CLASS_NAME, 1), F.lit("")), F.lit(default))
 
 
 def section(title: str, body: Column) -> Column:
