@@ -204,3 +204,20 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float =
         F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id", "doc_id").alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+#: All pairs that share a shingle, exactly.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS f FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY f) AS class_id FROM n),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN k x ON x.doc_id = p.a JOIN k y ON y.doc_id = p.b WHERE 9 * i >= 4 * (x.n + y.n)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, count(*) AS n FROM e GROUP BY a), c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(k.class_id, w.doc_id) AS class_id, coalesce(m.n, 0)::BIGINT AS n_links, least(w.doc_id, coalesce(c.b, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(c.b, w.doc_id)) AS kept
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN m ON m.a = w.doc_id LEFT JOIN c ON c.a = w.doc_id
+"""

@@ -79,4 +79,7 @@ QUERIES = {
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op4_license_scan": licenses.ORACLE,
+    "op6_ngram_jaccard_join": ngram_join.ORACLE,
+    "op7_embedding_near_dedup": lattice.ORACLE,
+    "op9_warc": warc.ORACLE,
 }

@@ -202,3 +202,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     files = index(spark, folder).select("file").distinct()
     return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(of, RECORD)
+
+
+#: What the archive of pages gives back: 5 digits of SHA-1 in hexadecimal are 4 of base 32.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT d, max(page_id) AS top FROM p GROUP BY d),
+v AS (SELECT page_id, h, top, d, list_transform(range(8), lambda i: ('0x' || substr(d, 5 * i + 1, 5))::BIGINT) AS g FROM p JOIN k USING (d))
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((g[1 + j // 4] >> (15 - 5 * (j % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM v
+"""
