@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -11,8 +12,8 @@ def shared(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, one of our own, on a single machine only."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if there:
-        return there.rstrip("/")
+        return re.sub("^file:/(?!/)", "file:///", there).rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='faultline-')}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return shared(spark)
