@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,20 +12,9 @@ import pyarrow.compute
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-_LIVE: list[Workspace] = []
-
+from faultline.plans.storage import shared
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, one of our own, but on a single machine only."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if there:
-        return there
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='faultline-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+_LIVE: list[Workspace] = []
 
 
 class Workspace:
@@ -37,7 +25,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str, held: bool = False):
         self.held = held
-        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/faultline/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.path = spark, f"{shared(spark)}/faultline/{name}-{uuid.uuid4().hex[:12]}"
         _LIVE.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +40,7 @@ class Workspace:
 
     def release(self) -> None:
         with contextlib.suppress(OSError, ValueError):
-            where, path = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+            where, path = fs.FileSystem.from_uri(self.path)
             where.delete_dir(path)
         with contextlib.suppress(ValueError):
             _LIVE.remove(self)
