@@ -206,6 +206,6 @@ def origin(source_in_project: Column, loaded: Column, module: Column, location:
         .when((location.isNull() & module.isNotNull()) | F.lower(location).startswith("jrt:"), "JDK")
         .when(location.isNull(), "UNKNOWN")
         .when(directory_in_project.isNotNull(), F.when(directory_in_project, "PROJECT_SOURCE").otherwise("UNKNOWN"))
-        .when(jar_coordinate.isNotNull(), "MAVEN")
+        .when(jar_coordinate.isNotNull(), "MAVEN_DEPENDENCY")
         .otherwise("UNKNOWN")
     )

@@ -7,7 +7,7 @@ LOG_CATEGORIES = ("JAVA_VERSION_FAILURE", "TEST_FAILURE", "WERROR_FAILURE", "ENF
 #: Categories of records and attempts.
 RECORD_CATEGORIES = ("JAVA_VERSION_FAILURE", "TEST_FAILURE", "WERROR_FAILURE", "COMPILATION_FAILURE", "BUILD_SUCCESS", "ENFORCER_FAILURE", "DEPENDENCY_RESOLUTION_FAILURE", "DEPENDENCY_LOCK_FAILURE", "NO_DIFF", "SPOON_FAILURE", "UNKNOWN_FAILURE", "TRANSFORMATION_FAILURE", "MODEL_FAILURE", "FAILURE_JAVADOC_GENERATION")
 #: Where a dependency comes from.
-ORIGINS = ("PROJECT_SOURCE", "JDK", "MAVEN", "UNKNOWN")
+ORIGINS = ("PROJECT_SOURCE", "MAVEN_DEPENDENCY", "JDK", "UNKNOWN")
 #: Kinds of constructs on a source line.
 CONSTRUCTS = ("METHOD_INVOCATION", "CONSTRUCTOR_CALL", "FIELD_ACCESS", "TYPE_REFERENCE", "ANNOTATION_USAGE", "IMPORT", "LAMBDA", "METHOD_REFERENCE", "TYPE_CAST", "ARRAY_ACCESS", "ENUM_VALUE", "VARIABLE_ACCESS", "PACKAGE_REFERENCE", "ARRAY_TYPE_REFERENCE", "WILDCARD_REFERENCE", "TYPE_PARAMETER_REFERENCE", "CAST", "CATCH", "THROW", "LOCAL_VARIABLE", "PARAMETER", "TYPE_PARAMETER", "ARRAY_TYPE", "WILDCARD_TYPE", "CLASS_DECLARATION", "INTERFACE_DECLARATION", "ENUM_DECLARATION")
 

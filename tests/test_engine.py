@@ -160,7 +160,7 @@ def test_text_functions(spark):
         one(text.recipe(F.lit("nothing")))
     assert one(text.attempt_branch(F.lit(2), F.lit("p")), text.repair_branch(F.lit("X"), F.lit("p")), text.rule_generator(F.lit(" "))) == ("attempt_2-p", "repair/x-p", "spoon")
     t, f = F.lit(True), F.lit(False)
-    assert one(text.origin(t, f, n, n, F.lit(None).cast("boolean"), n), text.origin(f, t, F.lit("java.base"), n, F.lit(None).cast("boolean"), n), text.origin(f, t, n, F.lit("file:/a.jar"), F.lit(None).cast("boolean"), F.lit("g:a"))) == ("PROJECT_SOURCE", "JDK", "MAVEN")
+    assert one(text.origin(t, f, n, n, F.lit(None).cast("boolean"), n), text.origin(f, t, F.lit("java.base"), n, F.lit(None).cast("boolean"), n), text.origin(f, t, n, F.lit("file:/a.jar"), F.lit(None).cast("boolean"), F.lit("g:a"))) == ("PROJECT_SOURCE", "JDK", "MAVEN_DEPENDENCY")
     diff = spark.createDataFrame([("a\nb", "a\nc"), ("x", "x")], "a string, b string").select(unified_diff("a", "b").alias("d")).collect()
     assert "-b\n+c" in diff[0].d and diff[1].d == "Files are identical"
     r = Registry()
