@@ -201,7 +201,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in RECORD.split(", ")])
 
     files = index(spark, folder).select("file").distinct()
-    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(of, RECORD)
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(of, RECORD)
 
 
 #: What the archive of pages gives back: 5 digits of SHA-1 in hexadecimal are 4 of base 32.
