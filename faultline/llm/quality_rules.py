@@ -36,7 +36,7 @@ class Rule(NamedTuple):
 
 RULES = (
     Rule("many symbols", "10 * n_symbols > n_words"),
-    Rule("lines repeat", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("lines repeat", "2 * n_dup_lines > n_lines"),
     Rule("words too short or long", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     Rule("few letters", r"2 * length(regexp_replace(_text, '\\P{L}+', '')) < word_chars"),
     Rule("mostly capitals", r"2 * length(regexp_replace(_text, '\\P{Lu}+', '')) > word_chars"),
@@ -142,7 +142,7 @@ b AS (
     len(lines) AS n_lines FROM m LEFT JOIN covered USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words
     OR 2 * length(regexp_replace(t, '\P{L}+', '', 'g')) < word_chars
     OR 2 * length(regexp_replace(t, '\P{Lu}+', '', 'g')) > word_chars) AS kept
