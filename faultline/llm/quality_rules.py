@@ -94,12 +94,11 @@ def metrics(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_repeat_words", F.expr(_REPEATS)).drop("_w", "_lines")
 
 
-def order(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7) -> list[Rule]:
-    """The rules by rejections per second on a sample of about sample_rows rows of texts that pass the base rule."""
-    spark = measured.sparkSession
-    rows = measured.count()
-    space = Workspace(spark, "rules")
-    sample = space.keep(measured.sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed), "sample")
+def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7) -> list[Rule]:
+    """The rules by rejections per second on a sample of about sample_rows rows; only the sample's texts are measured."""
+    rows = docs.count()
+    space = Workspace(docs.sparkSession, "rules")
+    sample = space.keep(metrics(docs.sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed)), "sample")
 
     def seconds(condition: str) -> tuple[float, int]:
         best, hits = math.inf, 0
@@ -115,12 +114,11 @@ def order(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     return [rule for rule, s, hits in sorted(found, key=lambda x: -(x[2] + 0.5) / max(x[1] - idle, 1e-3))]
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, measured: DataFrame | None = None) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
     """The columns of docs, the metrics, base_failed, rejected_by (null if kept) and kept."""
-    measured = metrics(docs) if measured is None else measured
-    out = measured.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+    out = metrics(docs).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     cascade = "CASE WHEN base_failed THEN 'base'"
-    for rule in order(metrics(docs.select("text")), rules, sample_rows):
+    for rule in order(docs.select("text"), rules, sample_rows):
         cascade += f" WHEN {rule.rejects} THEN '{rule.name}'"
     out = out.withColumn("rejected_by", F.expr(cascade + " END"))
     return out.withColumn("kept", F.col("rejected_by").isNull()).drop("_text")
