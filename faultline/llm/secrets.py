@@ -1,12 +1,13 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 12 or more letters, digits and +/_- in a word that has a
-digit. The forest looks at its length, its character transitions and shares, how much
-of it a dictionary of fragments covers, at paths, and at the neighbouring words. It is
-trained on labelled findings, a small table, and then written as one SQL expression,
-so a scan is a projection of one row and an explode of its candidates: DataFrame
-functions only, no shuffle and no join. Training evaluates the same SQL on the
-labelled findings and grows the trees on the driver.
+A candidate is a run of 12 or more letters, digits and +/_- in a word that has a digit;
+a word has as many as it has such runs, numbered from 0. The forest scores every one. It looks at its length,
+its character transitions and shares, how much of it a dictionary of fragments covers,
+at paths, and at what stands before it: the neighbouring words, and in its word the run
+and the characters before it. It is trained on labelled findings, a small table, and
+then written as one SQL expression, so a scan is a projection of one row and an explode
+of its candidates: DataFrame functions only, no shuffle and no join. Training evaluates
+the same SQL on the labelled findings and grows the trees on the driver.
 
 Defined results: null and empty texts have no findings, so no rows; a finding that
 repeats is a row each time; null doc_ids are kept; further columns are ignored; an
@@ -27,7 +28,11 @@ from faultline.llm.quality_rules import let
 #: Fragments of ordinary words and names.
 DICTIONARY = ("password", "secret", "version", "example", "python", "package", "image", "index", "test", "data", "file", "user", "name", "order", "site", "lib", "html", "http", "www", "com", "tion", "ing", "the", "and", "ment", "ness", "able", "ist", "ung", "sch", "ion", "ent", "ter", "pro", "con", "est", "ver", "port", "line", "mail", "ado", "que", "eau")
 
-_NEAR = "lower(concat_ws(' ', p2, p1, pre))"
+_RUN = "[A-Za-z0-9+/_-]{12,}"
+_MARKED = "pass|pwd|secret|token|api.?key|auth|credential|private"
+_OTHER = "commit|sha|md5|hash|checksum|digest|uuid|guid|http|isbn|order|invoice|serial|version"
+
+#: Of a candidate c: what its word has before it (pre) and on both sides (around); by_* tell of the neighbouring words.
 FEATURES = {
     "length": "length(c)",
     "digits": "length(regexp_replace(c, '[^0-9]+', '')) / greatest(length(c), 1)",
@@ -36,15 +41,19 @@ FEATURES = {
     "vowels": "length(regexp_replace(lower(c), '[^aeiou]+', '')) / greatest(length(c), 1)",
     "hex": "CASE WHEN c RLIKE '^[0-9a-f]+$' THEN 1 ELSE 0 END",
     "dictionary": f"1 - length(regexp_replace(lower(c), '{'|'.join(DICTIONARY)}', '')) / greatest(length(c), 1)",
-    "path": "length(regexp_replace(word, '[^/.]+', ''))",
+    "path": "length(regexp_replace(around, '[^/.]+', ''))",
     "dashes": "length(regexp_replace(c, '[^-]+', ''))",
-    "marked": f"CASE WHEN {_NEAR} RLIKE 'pass|pwd|secret|token|api.?key|auth|credential|private' THEN 1 ELSE 0 END",
-    "assigned": f"CASE WHEN {_NEAR} RLIKE '[=:]' THEN 1 ELSE 0 END",
-    "other": f"CASE WHEN concat({_NEAR}, lower(n1)) RLIKE 'commit|sha|md5|hash|checksum|digest|uuid|guid|http|isbn|order|invoice|serial|version' THEN 1 ELSE 0 END",
+    "marked": f"CASE WHEN by_marked OR pre RLIKE '{_MARKED}' THEN 1 ELSE 0 END",
+    "assigned": "CASE WHEN by_assigned OR pre RLIKE '[=:]' THEN 1 ELSE 0 END",
+    "other": f"CASE WHEN by_other OR pre RLIKE '{_OTHER}' THEN 1 ELSE 0 END",
     "issued": "CASE WHEN c RLIKE '^(AKIA|ASIA|gh[pousr]_|sk_live_|xox[abp]-|AIza)' THEN 1 ELSE 0 END",
 }
 
 
+#: Names that labelled secrets are assigned to; never secrets themselves.
+KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth_token", "client_secret")
+
+
 def labelled_findings(n: int = 1500, seed: int = 31) -> list[tuple[str, str, str, str, bool]]:
     """(two words before, the word before, the word, the word after, is a secret)."""
     r = random.Random(seed)
@@ -54,7 +63,7 @@ def labelled_findings(n: int = 1500, seed: int = 31) -> list[tuple[str, str, str
     word = lambda: some(low, r.randint(2, 9))
     fragment = lambda: r.choice(DICTIONARY)
     secret = lambda: r.choice([some(hexa, r.choice([16, 18, 20, 32, 40, 64])), some(every, r.randint(16, 44)), some(every + "+/", r.choice([24, 32, 40]))])
-    key = lambda: r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth_token", "client_secret"])
+    key = lambda: r.choice(KEYS)
     good = [
         lambda: (word(), word(), "AKIA" + some(up + "234567", 16)),
         lambda: (word(), word(), r.choice(["ghp_", "gho_"]) + some(every, 36)),
@@ -121,17 +130,27 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, lea
     return Tree(list(FEATURES)[best[1]], best[2], grow(x[low], y[low], rng, depth - 1), grow(x[~low], y[~low], rng, depth - 1))
 
 
+def _candidates(p2: str, p1: str, word: str, n1: str) -> str:
+    """SQL: of a word and those beside it, an array of its candidates. In all as long as the words, however many there are."""
+    each = (
+        "transform(runs, (c, k) -> named_struct('run_no', k, 'c', c, 'around', concat(get(gaps, k), c, get(gaps, k + 1)),"
+        f" 'pre', lower(concat(CASE WHEN k = 0 THEN concat(right({p1}, 4), ' ') ELSE get(runs, k - 1) END, get(gaps, k))),"
+        " 'by_marked', beside.m, 'by_assigned', beside.a, 'by_other', beside.o))"
+    )
+    beside = f"named_struct('m', before RLIKE '{_MARKED}', 'a', before RLIKE '[=:]', 'o', before RLIKE '{_OTHER}' OR lower({n1}) RLIKE '{_OTHER}')"
+    return let("runs", f"regexp_extract_all({word}, '{_RUN}', 0)", let("gaps", f"split({word}, '{_RUN}')", let("before", f"lower(concat_ws(' ', {p2}, {p1}))", let("beside", beside, each))))
+
+
 def _with_features(found: DataFrame) -> DataFrame:
-    """found: p2, p1, word, n1. Adds c, the candidate, pre, what the word has before it, and the features."""
-    c = "coalesce(nullif(regexp_extract(word, '([A-Za-z0-9+/_-]{12,})[^A-Za-z0-9+/_-]*$', 1), ''), regexp_extract(word, '[A-Za-z0-9+/_-]{12,}', 0))"
-    out = found.withColumn("c", F.expr(c)).withColumn("pre", F.expr("substring_index(word, c, 1)"))
-    return out.withColumns({f"f_{k}": F.expr(f"cast({v} AS double)") for k, v in FEATURES.items()})
+    return found.withColumns({f"f_{k}": F.expr(f"cast({v} AS double)") for k, v in FEATURES.items()})
 
 
 def forest(spark: SparkSession, findings: list[tuple[str, str, str, str, bool]], trees: int = 21, depth: int = 6, seed: int = 37) -> list[Tree]:
+    """Of a labelled word every run has its label, but KEYS are none."""
     quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     values = ", ".join(f"({quoted(a)}, {quoted(b)}, {quoted(w)}, {quoted(n)}, {str(y).lower()})" for a, b, w, n, y in findings)
-    rows = _with_features(spark.sql(f"SELECT * FROM VALUES {values} AS t(p2, p1, word, n1, y)")).where("c != ''").select(*[f"f_{k}" for k in FEATURES], "y").collect()
+    found = spark.sql(f"SELECT * FROM VALUES {values} AS t(p2, p1, word, n1, y)").select("y", F.explode(F.expr(_candidates("p2", "p1", "word", "n1"))).alias("x")).select("y", "x.*")
+    rows = _with_features(found.withColumn("y", F.col("y") & ~F.col("c").isin(*KEYS))).select(*[f"f_{k}" for k in FEATURES], "y").collect()
     x, y = np.array([r[:-1] for r in rows], float), np.array([r[-1] for r in rows], float)
     rng, out = np.random.default_rng(seed), []
     for _ in range(trees):
@@ -140,25 +159,26 @@ def forest(spark: SparkSession, findings: list[tuple[str, str, str, str, bool]],
     return out
 
 
-#: Of _w, the words with a candidate and what stands beside them.
+#: Of _w, the candidates of all words.
 _FOUND = let(
     "w",
     "_w",
-    "transform(filter(sequence(0, size(w)), i -> get(w, i) RLIKE '[0-9]' AND get(w, i) RLIKE '[A-Za-z0-9+/_-]{12,}'),"
-    " i -> named_struct('word_no', i, 'p2', coalesce(get(w, i - 2), ''), 'p1', coalesce(get(w, i - 1), ''), 'word', get(w, i), 'n1', coalesce(get(w, i + 1), '')))",
+    f"flatten(transform(filter(sequence(0, size(w)), i -> get(w, i) RLIKE '[0-9]' AND get(w, i) RLIKE '{_RUN}'),"
+    f" i -> transform({_candidates("coalesce(get(w, i - 2), '')", "coalesce(get(w, i - 1), '')", "get(w, i)", "coalesce(get(w, i + 1), '')")},"
+    " x -> named_struct('word_no', i, 'x', x))))",
 )
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word_no, p2, p1, word, n1."""
+    """doc_id, word_no and the fields of _candidates."""
     out = docs.select("doc_id", F.col("text").cast("string").alias("_text")).where("_text RLIKE '[0-9]'")
     out = out.withColumn("_w", F.expr(r"array_remove(split(regexp_replace(_text, '[\\t-\\r]', ' '), ' '), '')"))
-    return out.select("doc_id", F.explode(F.expr(_FOUND)).alias("x")).select("doc_id", "x.*")
+    return out.select("doc_id", F.explode(F.expr(_FOUND)).alias("f")).select("doc_id", "f.word_no", "f.x.*")
 
 
 def scan(docs: DataFrame, trees: list[Tree] | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, word_no (from 0), candidate, score and is_secret of each candidate."""
+    """doc_id, word_no and run_no (from 0), candidate, score and is_secret of each candidate."""
     trees = trees or forest(docs.sparkSession, labelled_findings())
     score = f"({' + '.join(t.sql() for t in trees)}) / {len(trees)}"
     out = _with_features(candidates(docs)).withColumn("score", F.expr(score))
-    return out.select("doc_id", "word_no", F.col("c").alias("candidate"), "score", (F.col("score") >= threshold).alias("is_secret"))
+    return out.select("doc_id", "word_no", "run_no", F.col("c").alias("candidate"), "score", (F.col("score") >= threshold).alias("is_secret"))

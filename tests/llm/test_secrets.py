@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -39,3 +40,19 @@ def test_edge_cases(spark, trees):
     got = secrets.scan(df, trees).collect()
     assert sorted((r.doc_id or 0, r.word_no, r.is_secret) for r in got) == [(0, 0, True), (4, 2, True), (4, 2, True)]
     assert secrets.scan(df.limit(0), trees).collect() == []
+
+
+def test_every_run_of_a_word_is_scored(spark, trees):
+    a, b = "8fK2mQz7Lp4Rt9Vx1Bn3", "Zr5Tq8Wn2Hy6Jk4Lm9Pd"
+    texts = [f'{{"key":"{a}","token":"{b}"}}', f"x KEY1={a},KEY2={b}", f"postgres://user:{a}@db-host/internal/data1", f"{a},{a}"]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trees).collect()
+    want = {(0, 0, 0, a), (0, 0, 1, b), (1, 1, 0, a), (1, 1, 1, b), (2, 0, 0, a), (2, 0, 1, "db-host/internal/data1"), (3, 0, 0, a), (3, 0, 1, a)}
+    assert {(r.doc_id, r.word_no, r.run_no, r.candidate) for r in got} == want and len(got) == len(want)
+    assert {(r.doc_id, r.run_no) for r in got if r.is_secret} >= {(0, 1), (1, 0), (1, 1)}
+
+
+def test_many_runs_in_a_word_take_linear_time(spark, trees):
+    began = time.time()
+    word = ",".join(f'"k":"{i:05d}aB3dE6gH9jK"' for i in range(30_000))
+    assert secrets.scan(spark.createDataFrame([(1, f"{word} {word}")], "doc_id long, text string"), trees).count() == 60_000
+    assert time.time() - began < 60
