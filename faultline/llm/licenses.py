@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of public licences and notices, normalised.
+#: Sentences of public licences and notices, normalised, as the cuts leave them: also parted at ; and at "v. ". New ones come last, as ids are their places.
 SENTENCES = {
     "apache-notice": "licensed under the apache license version 2 0",
     "apache-header": "licensed under the apache license version 2 0 the license",
@@ -44,11 +44,11 @@ SENTENCES = {
     "gpl2-notice": "licensed under the gnu general public license version 2",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-no-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-no-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
     "lgpl-notice": "licensed under the gnu lesser general public license version 3",
     "agpl-notice": "licensed under the gnu affero general public license version 3",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain without licence terms",
+    "unlicense": "this is free and unencumbered software released into the public domain",
     "cc-by-nc-notice": "licensed under cc by nc 4 0",
     "cc-by-notice": "licensed under cc by 4 0",
     "cc-by-sa-notice": "licensed under cc by sa 4 0",
@@ -61,15 +61,26 @@ SENTENCES = {
     "spdx-gpl3-later": "spdx license identifier gpl 3 0 or later",
     "spdx-bsd3": "spdx license identifier bsd 3 clause",
     "spdx-mpl": "spdx license identifier mpl 2 0",
+    "gpl-modify": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-modify-2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-modify-3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-later-2": "either version 2 of the license or at your option any later version",
+    "gpl-later-3": "either version 3 of the license or at your option any later version",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mpl-notice-2": "this source code form is subject to the terms of the mozilla public license v",
 }
 
 #: Ordered rules: a licence, and ids that occur in this order.
 RULES = (
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-no-warranty")),
-    ("GPL-2.0-or-later", ("gpl2-free", "gpl-no-warranty")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-no-warranty", "gpl-implied")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-no-warranty", "gpl-implied")),
     ("GPL-3.0-or-later", ("spdx-gpl3-later",)),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("GPL-3.0-or-later", ("gpl-modify", "gpl-later-3")),
+    ("GPL-3.0-or-later", ("gpl-modify-3",)),
+    ("GPL-2.0-or-later", ("gpl-modify", "gpl-later-2")),
+    ("GPL-2.0-or-later", ("gpl-modify-2",)),
     ("AGPL-3.0-only", ("agpl-notice",)),
     ("LGPL-3.0-only", ("lgpl-notice",)),
     ("GPL-3.0-only", ("gpl3-notice",)),
@@ -77,6 +88,7 @@ RULES = (
     ("GPL-3.0-only", ("spdx-gpl3",)),
     ("GPL-2.0-only", ("gpl2-notice",)),
     ("MPL-2.0", ("mpl-notice",)),
+    ("MPL-2.0", ("mpl-notice-2",)),
     ("MPL-2.0", ("spdx-mpl",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
@@ -102,7 +114,7 @@ RULES = (
 )
 
 #: Each known sentence has one of these.
-STEMS = ("licen", "permi", "redistribut", "copyright", "warrant")
+STEMS = ("licen", "permi", "redistribut", "copyright", "warrant", "public domain")
 
 _NUMBER = {name: i for i, name in enumerate(SENTENCES, 1)}
 

@@ -49,3 +49,45 @@ def test_every_planted_line_is_found(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id for r in licenses.scan(docs).where("license IS NOT NULL").collect()}
     assert got == {r.doc_id for r in docs.where(r"text rlike '(?i)(licensed|released) under'").select("doc_id").collect()}
+
+
+WARRANTY = """
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+""" + WARRANTY
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""" + WARRANTY
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy or use this software."""
+
+
+def test_verbatim_notices(spark):
+    comment = lambda s: "/*\n" + "\n".join(f" * {x}" for x in s.split("\n")) + "\n */"
+    second = GPL2.replace("Foundation; either", "Foundation, either")
+    notices = [
+        (GPL2, "GPL-2.0-or-later", 4),
+        (second, "GPL-2.0-or-later", 3),
+        (GPL2.replace("version 2", "version 3"), "GPL-3.0-or-later", 4),
+        (second.replace("version 2", "version 3"), "GPL-3.0-or-later", 3),
+        (GPL3, "GPL-3.0-or-later", 3),
+        (MPL, "MPL-2.0", 1),
+        (MPL.replace("v. 2.0", "v.2.0"), "MPL-2.0", 1),
+    ]
+    texts = [t for text, *_ in notices for t in (text, comment(text))] + [UNLICENSE]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(texts))] == [x for _, name, _ in notices for x in (name, name)] + ["Unlicense"]
+    wrapped = lambda r: sum(x not in ("", "0") for x in r.sentence_ids.split("|0|")[-1].split("|"))
+    assert [wrapped(got[i]) for i in range(2 * len(notices))] == [x for *_, n in notices for x in (n, n)]
