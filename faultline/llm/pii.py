@@ -7,7 +7,9 @@ sentences, by gradients of the log-likelihood, and decoded by Viterbi over numpy
 batches of chains. A chain is a stretch of words near one that holds a digit, an @ or
 a +; words farther off can't be part of these kinds and are none.
 
-What the patterns find stays; the field adds spans that overlap none of them.
+What the patterns find stays; the field adds spans that overlap none of them. Adjacent
+words of one label may be several items, such as a list with a number a line: what the
+patterns leave of them is parted so that plausible items cover most digits.
 
 Every text is read whole, within its row: no shuffle, and memory is bounded by a
 batch of about 1 MB of text or one text.
@@ -19,8 +21,10 @@ redact(); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -287,6 +291,90 @@ def plausible(kind: str, text: str) -> bool:
     return 13 <= n <= 19 if kind == "card" else 9 <= n <= 15
 
 
+def items(kind: str, text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The plausible items that adjacent pieces of words of one label make up.
+
+    Of emails each has one word with an @. Else they cover as many digits as can be;
+    of the ways to do so, items have few line ends, + and ( inside, and are few. An item
+    starts and ends at a digit's word, so each start is tried with few ends.
+    """
+    if kind == "email":
+        parts: list[tuple[int, int]] = []
+        whole, signed = False, False  # of the last part: has a complete address, has an @
+        for a, b in pieces:
+            at = "@" in text[a:b]
+            if not parts or (signed and (at or whole)):
+                parts.append((a, b))
+                whole = signed = False
+            parts[-1] = (parts[-1][0], b)
+            signed, whole = signed or at, whole or plausible(kind, text[a:b])
+        if len(parts) > 1 and not signed:
+            parts[-2:] = [(parts[-2][0], parts[-1][1])]
+        return [trimmed(text, a, b) for a, b in parts if plausible(kind, text[slice(*trimmed(text, a, b))])]
+    n = len(pieces)
+    most = {"ip": 12, "card": 19, "phone": 15}[kind]
+    digits = [sum(c in "0123456789" for c in text[a:b]) for a, b in pieces]
+    opens = [text[a : a + 1] for a, _ in pieces]
+    breaks = [0, *(any(c in "\r\n" for c in text[x[1] : y[0]]) for x, y in zip(pieces, pieces[1:]))]
+    # Of the first i pieces: digits covered, what speaks against it, items, and the last item's first piece (or none).
+    best: list[tuple[int, int, int]] = [(0, 0, 0)] + [(-1, 0, 0)] * n
+    first = [-1] * (n + 1)
+    for i in range(n):
+        if best[i] > best[i + 1]:
+            best[i + 1], first[i + 1] = best[i], -1
+        if not digits[i]:
+            continue
+        got, against, start = 0, 0, i - 1 if i and not digits[i - 1] and opens[i - 1] in "+(" and first[i] < 0 and not breaks[i] else i
+        for j in range(i, n):
+            got += digits[j]
+            if j > i:
+                against += breaks[j] + 4 * (opens[j] == "+") + (opens[j] == "(" and opens[i] != "+")
+            if j > i and got > most:
+                break
+            if digits[j]:
+                a, b = trimmed(text, pieces[start][0], pieces[j][1])
+                if plausible(kind, text[a:b]):
+                    value = (best[i][0] + got, best[i][1] - against, best[i][2] - 1)
+                    if value > best[j + 1]:
+                        best[j + 1], first[j + 1] = value, start
+    out, i = [], n
+    while i > 0:
+        if first[i] >= 0:
+            out.append(trimmed(text, pieces[first[i]][0], pieces[i - 1][1]))
+            i = first[i]
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and (text[b - 1] in _TRIM or text[b - 1].isspace()):
+        b -= 1
+    while a < b and (text[a] in _TRIM or text[a].isspace()):
+        a += 1
+    return a, b
+
+
+def left_over(words_at: list[tuple[int, int]], base: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Stretches of adjacent words less the base spans, which are sorted and part them."""
+    starts, out = [a for a, _ in base], []
+    reach = list(itertools.accumulate((b for _, b in base), max))
+    for a, b in words_at:
+        k = bisect.bisect_left(reach, a + 1)  # the first base span that can end in or after the word
+        while k < len(base) and starts[k] < b:
+            if a < starts[k]:
+                out.append((a, starts[k]))
+            if out:
+                yield out
+                out = []
+            a = max(a, base[k][1])
+            k += 1
+        if a < b:
+            out.append((a, b))
+    if out:
+        yield out
+
+
 def spans_of(column: pa.Array, field: Field) -> list[tuple[list[Span], list[Span]]]:
     """Of each text its base spans and those that the field adds; places in code points, ends exclusive."""
     data, bounds = words.flat(column)
@@ -300,6 +388,7 @@ def spans_of(column: pa.Array, field: Field) -> list[tuple[list[Span], list[Span
     for d in np.flatnonzero(signs).tolist():
         out[d] = (patterns(texts[d]), [])
     hit = np.flatnonzero(label)
+    covered: dict[int, list[tuple[int, int]]] = {}
     if len(hit):
         new = np.ones(len(hit), bool)
         new[1:] = (np.diff(hit) != 1) | (label[hit][1:] != label[hit][:-1]) | (w.doc[hit][1:] != w.doc[hit][:-1])
@@ -307,14 +396,13 @@ def spans_of(column: pa.Array, field: Field) -> list[tuple[list[Span], list[Span
         for i, j in zip(edges[:-1], edges[1:]):
             d = int(w.doc[hit[i]])
             base = points[bounds[d]]
-            a, b = int(points[w.starts[hit[i]]] - base), int(points[w.ends[hit[j - 1]]] - base)
-            while a < b and texts[d][b - 1] in _TRIM:
-                b -= 1
-            while a < b and texts[d][a] in _TRIM:
-                a += 1
-            kind = KINDS[label[hit[i]] - 1]
-            if a < b and plausible(kind, texts[d][a:b]) and not any(x < b and a < y for _, x, y in out[d][0]):
-                out[d][1].append((kind, a, b))
+            at = hit[i:j]
+            kind = KINDS[label[at[0]] - 1]
+            places = list(zip((points[w.starts[at]] - base).tolist(), (points[w.ends[at]] - base).tolist()))
+            if d not in covered:
+                covered[d] = sorted((x, y) for _, x, y in out[d][0])
+            for pieces in left_over(places, covered[d]):
+                out[d][1].extend((kind, x, y) for x, y in items(kind, texts[d], pieces))
     return out
 
 

@@ -67,3 +67,27 @@ def test_long_runs_take_linear_time():
     began = time.time()
     pii.spans_of(pa.array(["a" * 3_000_000 + "@", "1" * 3_000_000, "+1" + "(" * 2_000_000, "1 " * 100_000]), pii.default_field())
     assert time.time() - began < 60
+
+
+def added(text):
+    (base, more), = pii.spans_of(pa.array([text]), pii.default_field())
+    assert not any(a < y and x < b for _, a, b in more for _, x, y in base)
+    return [(k, text[a:b]) for k, a, b in more]
+
+
+def test_neighbouring_items_are_each_found():
+    phones = [f"555-123-45{i}" for i in range(60, 80)]
+    assert added("call " + "\n".join(phones)) == [("phone", p) for p in phones]
+    assert added("we (499) 555-6503 (499) 555-6504 now") == [("phone", "(499) 555-6503"), ("phone", "(499) 555-6504")]
+    assert added("4227025300029027 4227025300029026") == [("card", "4227025300029027"), ("card", "4227025300029026")]
+    assert added("+1 499-555-6503\n499-555-6504") == [("phone", "499-555-6504")]
+    assert added("+1 (499)\n555-6503 is") == [("phone", "+1 (499)\n555-6503")]
+    began = time.time()
+    pii.items("phone", "1 " * 200_000, [(i, i + 1) for i in range(0, 400_000, 2)])
+    pii.items("phone", "1" + " (" * 200_000 + " 1", [(i, i + 1) for i in range(0, 400_003, 2)])
+    assert time.time() - began < 20
+
+
+def test_lists_are_masked(spark):
+    df = spark.createDataFrame([(1, "555-123-4567\n555-123-4568\n+1 499-555-6503\n499-555-6504")], "doc_id long, text string")
+    assert pii.redact(df).first().text == "[PHONE]\n[PHONE]\n[PHONE]\n[PHONE]"
