@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from faultline.llm.shared import Workspace
 
+COUNTED = "id long, links long, root long, whole boolean"
+
 
 def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """id and component, the smallest id that links reach, of each id in edges (a, b).
@@ -48,77 +50,109 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+def reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n nodes, the smallest that the links (a, b) reach."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str], of: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """of(rows) for the rows of each key, of batches sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    last, out, rows = None, [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        new[0] = last is not None and last != tuple(v[0] for v in values)
+        at = 0
+        for cut in [*np.flatnonzero(new).tolist(), batch.num_rows]:
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            if cut < batch.num_rows:
+                out.append(of(pa.Table.from_batches(held)))
+                rows += out[-1].num_rows
+                held, at = [], cut
+                if rows > 20_000:
+                    yield from pa.concat_tables(out).combine_chunks().to_batches()
+                    out, rows = [], 0
+        last = tuple(v[-1] for v in values)
+    if held:
+        out.append(of(pa.Table.from_batches(held)))
+    if out:
+        yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+
 def sorted_groups(df: DataFrame, keys: list[str], of: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """of(rows) for the rows of each key; one task has many keys, and no group is looked at row by row."""
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: in_groups(batches, keys, of), schema)
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last, out, rows = None, [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            new = np.zeros(batch.num_rows, bool)
-            for v in values:
-                new[1:] |= v[1:] != v[:-1]
-            new[0] = last is not None and last != tuple(v[0] for v in values)
-            at = 0
-            for cut in [*np.flatnonzero(new).tolist(), batch.num_rows]:
-                if cut > at:
-                    held.append(batch.slice(at, cut - at))
-                if cut < batch.num_rows:
-                    out.append(of(pa.Table.from_batches(held)))
-                    rows += out[-1].num_rows
-                    held, at = [], cut
-                    if rows > 20_000:
-                        yield from pa.concat_tables(out).combine_chunks().to_batches()
-                        out, rows = [], 0
-            last = tuple(v[-1] for v in values)
-        if held:
-            out.append(of(pa.Table.from_batches(held)))
-        if out:
-            yield from pa.concat_tables(out).combine_chunks().to_batches()
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, schema)
-
-
-def by_blocks(members: DataFrame, group: str, rows: int) -> DataFrame:
-    """members with _i, _j and _first: a large group is dealt in blocks, and each two of its blocks meet in one place.
-
-    A member is copied once for each block of its group; _first marks those of block _i.
+
+def dealt(members: DataFrame, group: str, rows: int, size: str = "0", most: int = 1 << 22, band: str = "0") -> DataFrame:
+    """members with own, a block of their group, and others, all blocks that it has to meet, itself included.
+
+    A block has about ``rows`` members and ``most`` of their sizes at the most. Members
+    link only within a band or with the bands beside it, so only those blocks meet.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / rows).alias("_blocks"))
-    dealt = members.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    return dealt.select(*members.columns, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") <= F.col("_other")).alias("_first"))
+    banded = members.withColumn("_band", F.expr(f"cast({band} AS bigint)"))
+    sizes = banded.groupBy(group, "_band").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(F.expr(size).cast("double")) / most)).cast("long").alias("_n"))
+    number = lambda b, h: b * (1 << 32) + h
+    beside = sizes.select(group, F.explode(F.array(*[F.col("_band") + d for d in (-1, 0, 1)])).alias("_to"), F.col("_band").alias("_at"), "_n")
+    all_ = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda h: number(F.col("_at"), h))
+    beside = beside.groupBy(group, "_to").agg(F.flatten(F.collect_list(all_)).alias("others"), F.max(F.when(F.col("_to") == F.col("_at"), F.col("_n"))).alias("_n")).withColumnRenamed("_to", "_band")
+    own = number(F.col("_band"), F.pmod(F.xxhash64("id"), F.col("_n")))
+    return banded.join(beside.where("_n IS NOT NULL"), [group, "_band"]).select(*members.columns, own.alias("own"), "others")
 
 
-def counted(members: DataFrame, group: str, linked: Callable[[pa.Table, pa.Table], np.ndarray], rows: int) -> DataFrame:
-    """id, links and root of each member (group, id, copies, and what linked looks at) and each two blocks of its group.
+def counted(members: DataFrame, group: str, linked: Callable[[pa.Table, pa.Table], np.ndarray]) -> DataFrame:
+    """id, links, root and whole of each member (group, own, others, id, copies, and what linked looks at) and each two blocks.
 
     linked(a, b) is a matrix of truth. links: copies of the linked members of the other block, not the member's own;
-    root: the smallest id that links reach within the two blocks. The result grows with the members, not with their pairs.
+    root: the smallest id that links reach within the two blocks; whole: these are all of the group, so root is its
+    component. A member is copied once for each block that it meets, so the result grows with members, not with pairs.
     """
+    met = members.withColumn("_whole", F.size("others") == 1).withColumn("_other", F.explode("others"))
+    met = met.withColumns({"_i": F.least("own", "_other"), "_j": F.greatest("own", "_other"), "_first": F.col("own") <= F.col("_other")}).drop("own", "others", "_other")
 
     def of(t: pa.Table) -> pa.Table:
         alone = t.column("_i")[0] == t.column("_j")[0]
         first = t.column("_first").to_numpy(zero_copy_only=False)
         a = t if alone else t.filter(pa.array(first))
         b = t if alone else t.filter(pa.array(~first))
-        found = linked(a, b)
+        found = linked(a, b) if a.num_rows and b.num_rows else np.zeros((a.num_rows, b.num_rows), bool)
         if alone:
             np.fill_diagonal(found, False)
         n, m = found.shape
         copies = lambda x: x.column("copies").to_numpy().astype(np.float64)
         ids, links = a.column("id").to_numpy(), found @ copies(b)
-        whole = found
+        i, j = np.nonzero(found)
         if not alone:
-            ids, links = np.concatenate([ids, b.column("id").to_numpy()]), np.concatenate([links, found.T @ copies(a)])
-            whole = np.zeros((n + m, n + m), bool)
-            whole[:n, n:], whole[n:, :n] = found, found.T
+            ids, links, j = np.concatenate([ids, b.column("id").to_numpy()]), np.concatenate([links, found.T @ copies(a)]), j + n
         order = np.argsort(ids, kind="stable")
-        root = np.empty_like(ids)
-        root[order] = ids[order][forest(whole[np.ix_(order, order)])]
-        return pa.table([pa.array(ids, pa.int64()), pa.array(links.astype(np.int64)), pa.array(root, pa.int64())], names=["id", "links", "root"])
-
-    return sorted_groups(by_blocks(members, group, rows), [group, "_i", "_j"], of, "id long, links long, root long")
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        root = ids[order][reached(len(ids), rank[i], rank[j])][rank]
+        whole = np.full(len(ids), bool(alone and t.column("_whole")[0].as_py()))
+        return pa.table([pa.array(ids, pa.int64()), pa.array(np.rint(links).astype(np.int64)), pa.array(root, pa.int64()), pa.array(whole)], names=["id", "links", "root", "whole"])
+
+    return sorted_groups(met, [group, "_i", "_j"], of, COUNTED)
+
+
+def summed(pairs: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """id, links and component of each member, of counted() as written; groups of several blocks are put together."""
+    parts = pairs.where("NOT whole")
+    merged = components(parts.select(F.col("id").alias("a"), F.col("root").alias("b")), space, name) if parts.limit(1).count() else None
+    links = pairs.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("_root"))
+    if merged is None:
+        return links.withColumnRenamed("_root", "component")
+    return links.join(merged, "id", "left").select("id", "links", F.coalesce("component", "_root").alias("component"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.plans.storage import shared
 
@@ -20,14 +21,22 @@ _LIVE: list[Workspace] = []
 class Workspace:
     """Written tables that cut lineage: a lost executor costs a reread, not a recomputation.
 
-    They stay until release() or the end of the driver; release_all() leaves held ones.
+    They belong to whoever opened the workspace, and go with its release(), at the end
+    of its with block, or at the end of the driver; nobody else drops them. Operators
+    open one for what they need meanwhile, and keep what their results read in another,
+    which callers may hand over to release it themselves.
     """
 
-    def __init__(self, spark: SparkSession, name: str, held: bool = False):
-        self.held = held
+    def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared(spark)}/faultline/{name}-{uuid.uuid4().hex[:12]}"
         _LIVE.append(self)
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
@@ -46,14 +55,43 @@ class Workspace:
             _LIVE.remove(self)
 
 
-def release_all(held: bool = False) -> None:
-    """Drop the tables of all results that have been written elsewhere by now."""
+def _release_all() -> None:
     for x in list(_LIVE):
-        if held or not x.held:
-            x.release()
+        x.release()
+
+
+atexit.register(_release_all)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-atexit.register(release_all, held=True)
+def nested(docs: DataFrame) -> DataFrame:
+    """One column, row, with all of docs' columns as fields, so that no helper's name meets one of theirs."""
+    return docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"))
+
+
+def flattened(rows: DataFrame, *made: str) -> DataFrame:
+    """The fields of row and the columns made; a field whose name one of these has, in any case, is replaced."""
+    taken = {m.lower() for m in made}
+    fields = [f.name for f in rows.schema["row"].dataType.fields if f.name.lower() not in taken]
+    return rows.select(*[F.col("row")[f].alias(f) for f in fields], *made)
+
+
+def located(docs: DataFrame, space: Workspace) -> DataFrame:
+    """row (see nested), and file and at, which no two rows share and every reading gives alike.
+
+    They are a hash of the Parquet file's path and the row's place in it, whatever the
+    rows hold. Of 10^6 files two have equal hashes with a chance of 3 in 10^8. What
+    isn't read from Parquet as it stands is written to space first.
+    """
+    steps = docs._jdf.queryExecution().analyzed().toString().strip().split("\n")
+    plain = all(x.lstrip("+-: ").startswith(("Project ", "Filter ", "Relation ")) for x in steps) and steps[-1].endswith("] parquet")
+    rows = docs if plain else space.keep(nested(docs), "located")
+    source = rows.metadataColumn("_metadata")
+    row = F.struct(*[rows[quoted(c)] for c in rows.columns]).alias("row") if plain else rows["row"]
+    return rows.select(row, F.xxhash64(source["file_path"]).alias("file"), source["row_index"].alias("at"))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
