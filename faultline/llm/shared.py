@@ -94,20 +94,31 @@ def located(docs: DataFrame, space: Workspace) -> DataFrame:
     return rows.select(row, F.xxhash64(source["file_path"]).alias("file"), source["row_index"].alias("at"))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches whose texts take at most so many bytes, or hold one row; nothing is copied."""
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or a field of the column row as "row.name"."""
+    outer, _, inner = name.partition(".")
+    return batch.column(outer).field(inner) if inner else batch.column(outer)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most whose texts take at most so many bytes, or hold one row; nothing is copied."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pa.compute.fill_null(pa.compute.binary_length(column(batch, name)), 0).to_pylist()
         at = total = 0
         for i, n in enumerate(sizes):
-            if i > at and total + n > most:
+            if i > at and (total + n > most or i - at >= rows):
                 yield batch.slice(at, i - at)
                 at, total = i, 0
             total += n
         yield batch.slice(at)
 
 
+def with_text(docs: DataFrame) -> DataFrame:
+    """row (see nested) whose field text is a string."""
+    return nested(docs if dict(docs.dtypes)["text"] == "string" else docs.withColumn("text", F.col("text").cast("string")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -99,3 +99,21 @@ def shingles(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarra
                 v = v * q + x
         out[to[i]] = mixed(np.array([v + np.uint64(count[i])]))[0]
     return out, to
+
+
+def shares(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, wide: int) -> np.ndarray:
+    """Of each text the square roots of its shares of hashed pairs of bytes, and of hashed words; wide of either."""
+    n, size = len(bounds) - 1, np.diff(bounds)
+    bits = np.uint32(32 - (wide.bit_length() - 1))
+    out = np.zeros((n, 2 * wide), np.float32)
+    if len(data) > 1:
+        pair = ((data[:-1].astype(np.uint32) << np.uint32(8) | data[1:]) * np.uint32(2654435761)) >> bits
+        text = np.repeat(np.arange(n), size)
+        whole = text[1:] == text[:-1]
+        out[:, :wide] = np.bincount((text[:-1] * wide + pair)[whole], minlength=n * wide).reshape(n, wide) / np.maximum(size - 1, 1)[:, None]
+    if len(starts):
+        first = np.searchsorted(starts, bounds)
+        text = np.repeat(np.arange(n), np.diff(first))
+        word = (hashes(data, starts, ends) % np.uint64(wide)).astype(np.int64)
+        out[:, wide:] = np.bincount(text * wide + word, minlength=n * wide).reshape(n, wide) / np.maximum(np.diff(first), 1)[:, None]
+    return np.sqrt(out)

@@ -1,6 +1,10 @@
+import math
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 from faultline.llm import quality_classifier, quality_rules
 
 SCHEMA = "doc_id long, text string, n_words string, score string"
@@ -58,3 +62,60 @@ def test_classifier_edge_cases(spark):
     got = quality_classifier.train_and_score(docs.drop("score"), some).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert quality_classifier.train_and_score(docs.drop("score").limit(0), some).collect() == []
+
+
+def plain_counts(text):
+    w = re.findall("[^\x20\x09-\x0d]+", text or "")
+    if not w:
+        return [0.0] * 8
+    n, t, lines = len(w), text, [x for x in text.split("\n") if x]
+    letter = lambda c: c.isalpha() and (c.isascii() or True)
+    return [
+        min(1, len(re.findall("[#*$%&|<>]", t)) / n),
+        min(1, t.count("!") / n),
+        len(re.findall("[A-Z\u00c0-\u00de]", t)) / len(t),
+        sum(map(letter, t)) / len(t),
+        sum(a == b for a, b in zip(w, w[1:])) / n,
+        1 - math.log2(1 + len(set(w))) / max(math.log2(1 + n), 1),
+        1 - max(len(set(lines)), 1) / max(len(lines), 1),
+        min(1, len(t.encode()) / n / 20),
+    ]
+
+
+def test_features_against_plain_python():
+    texts = [None, "", " \n ", "A b  b\nA b b\n", "ÉTÉ été!! #tag é", "one two one two\r\nThree", "x" * 50, "the end. " * 40]
+    got = quality_classifier.features(pa.array(texts, pa.string()))
+    assert np.allclose(got[:, :8], [plain_counts(t) for t in texts], atol=1e-6)
+    for t, row in zip(texts, got):
+        size = len((t or "").encode())
+        assert abs((row[8 : 8 + 256] ** 2).sum() - (size > 1)) < 1e-5 and abs((row[8 + 256 :] ** 2).sum() - (len((t or "").split()) > 0)) < 1e-5
+
+
+def test_weights_minimise_the_loss_over_all_pairs():
+    """30 rows: every pair is learned from, the gradient is that of the loss, and it is zero at the weights."""
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(size=(18, 4)) + 0.4, rng.normal(size=(12, 4))
+    w = quality_classifier.bradley_terry(good, bad, ridge=0.01)
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-(a - b) @ w)) for a in good for b in bad) / (18 * 12) + 0.005 * w @ w
+
+    diff = np.array([a - b for a in good for b in bad])
+    for at in (w, rng.normal(size=4)):
+        numeric = [(loss(at + h) - loss(at - h)) / 2e-5 for h in np.eye(4) * 1e-5]
+        assert np.allclose(numeric, quality_classifier.gradient(at, diff, 0.01), atol=1e-6)
+    assert np.abs(quality_classifier.gradient(w, diff, 0.01)).max() < 1e-8
+
+
+def test_scores_are_those_of_the_model(spark):
+    rng = np.random.default_rng(7)
+    x = rng.random((30, 8 + 512)).astype(np.float32)
+    y = np.arange(30) % 3 > 0
+    model = quality_classifier.learned(x.astype(float), y)
+    strength = np.sort(x @ model.weights + model.offset)
+    assert strength[9] < math.log(0.7 / 0.3) < strength[10]  # ten are labelled bad
+    texts = ["good words here", None, "BAD!! " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = 1 / (1 + np.exp(-(quality_classifier.features(pa.array(texts)) @ model.weights + model.offset)))
+    got = {r.row.doc_id: (r.score, r.predicted) for r in quality_classifier.scored(df, model).collect()}
+    assert all(abs(got[i][0] - want[i]) < 1e-9 and got[i][1] == (want[i] >= 0.7) for i in range(3))
