@@ -1,13 +1,15 @@
 """Mixing to target weights with soft membership.
 
-A classifier, multinomial logistic regression on hashed pairs of bytes, is fitted to a
-labelled table of domains and gives every document posteriors p over the domains. Then
-nonnegative rates r, how often a document is to be used, are fitted so that expected
-tokens, sum of r * tokens * p, meet the target of every domain: least squares by
+A classifier, multinomial logistic regression on hashed pairs of bytes and hashed words,
+is fitted to a labelled table of domains and gives every document posteriors p over the
+domains. Then nonnegative rates r, how often a document is to be used, are fitted so that
+expected tokens, sum of r * tokens * p, meet the target of every domain: least squares by
 projected gradient, with the Gram matrix of the posteriors as preconditioner. A rate
-depends on its document's posteriors only, so a round keeps no state for each
-document: it aggregates one number a domain, on the executors, and the driver extends
-the list of steps by one vector.
+depends on its document's posteriors only, so a round keeps no state for each document:
+it sums a few numbers, on the executors, for several steps that the driver proposes, and
+the driver takes the best of them. Rounds end when targets are met, or when no step
+brings them closer: then the shares by which they are missed are in the Mix, and a
+warning names them.
 
 Two scans of the texts (posteriors, then rates) and one of numbers a round; nothing is
 shuffled but partial sums. Learned from ``sample_rows`` labelled rows at most, the
@@ -15,51 +17,50 @@ first by a hash of doc_id; their ids are all that is broadcast beside the weight
 A token here is a white-space word.
 
 Defined results: null and empty texts have no tokens, the posteriors of the intercept
-alone, and a rate like others; several labels of a document count once, the smallest;
-labels without a target are ignored; without any label posteriors are the targets;
-a domain without any mass stays empty; rows that repeat are rows; an empty table gives
-an empty result; columns of the input named like a result are replaced.
+alone, and a rate like others; a very long text is looked at whole; several labels of a
+document count once, the smallest; labels without a target are ignored, so documents of
+such a domain get posteriors over the others; without any label posteriors are the
+targets; a domain without any mass stays empty, which the Mix reports; of equally likely
+domains the first by name is named; rows that repeat are rows; an empty table gives an
+empty result. Columns of the input stay, whatever their names, but for those named like
+a result, which apply() replaces and repeated() keeps.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import words
-from faultline.llm.shared import Workspace, sliced
+from faultline.llm.shared import Workspace, column, flattened, sliced, with_text
 
 WIDE = 512
 
 
 class Mix(NamedTuple):
-    """Domains, their targets, the classifier's weights (features and intercept), the steps of the rates, and the least rate."""
+    """Domains, their targets, the classifier's weights (features and intercept), the steps of the rates, the least rate,
+    and by how much of all tokens each domain's expected ones exceed its target."""
 
     domains: list[str]
     targets: np.ndarray
     weights: np.ndarray
     steps: list[np.ndarray]
     least: float
+    off: np.ndarray
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text the square roots of its shares of hashed byte pairs, and its number of words."""
-    data, bounds = words.flat(column)
-    pair = np.zeros(len(data), np.int64)
-    pair[1:] = (data[:-1].astype(np.int64) * 31 + data[1:].astype(np.int64) * 7) % WIDE
-    x = np.zeros((len(column), WIDE), np.float32)
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        if b > a + 1:
-            x[i] = np.bincount(pair[a + 1 : b], minlength=WIDE)
-            x[i] /= b - a - 1
-    starts, _ = words.words(data, bounds)
-    return np.sqrt(x), np.diff(np.searchsorted(starts, bounds))
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text words.shares, and its number of words."""
+    data, bounds = words.flat(texts)
+    starts, ends = words.words(data, bounds)
+    return words.shares(data, bounds, starts, ends, WIDE), np.diff(np.searchsorted(starts, bounds))
 
 
 def posteriors(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -68,14 +69,42 @@ def posteriors(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 300, rate: float = 4.0, ridge: float = 1e-5) -> np.ndarray:
-    """Weights by gradient steps with momentum; the last row is the intercept."""
-    w, v = np.zeros((x.shape[1] + 1, k)), np.zeros((x.shape[1] + 1, k))
-    one = np.eye(k)[y]
+def logistic(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 80, ridge: float = 1e-5, memory: int = 8) -> np.ndarray:
+    """Weights of the least mean loss by limited-memory BFGS; the last row is the intercept."""
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    one, w = np.eye(k)[y], np.zeros((x.shape[1], k))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x @ w
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        total = p.sum(1, keepdims=True)
+        value = float((np.log(total[:, 0]) - z[np.arange(len(y)), y]).mean()) + ridge / 2 * float((w * w).sum())
+        return value, x.T @ (p / total - one) / len(x) + ridge * w
+
+    value, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        d = (posteriors(x, w) - one) / len(x)
-        v = 0.9 * v - rate * (np.vstack([x.T @ d, d.sum(0)[None]]) + ridge * w)
-        w = w + v
+        d, kept = g.copy(), []
+        for s, t in reversed(past):
+            a = (s * d).sum() / (s * t).sum()
+            d -= a * t
+            kept.append(a)
+        if past:
+            s, t = past[-1]
+            d *= (s * t).sum() / (t * t).sum()
+        for (s, t), a in zip(past, reversed(kept)):
+            d += s * (a - (t * d).sum() / (s * t).sum())
+        pace, slope = 1.0, float((g * d).sum())
+        while (new := loss(w - pace * d))[0] > value - 1e-4 * pace * slope and pace > 1e-8:
+            pace /= 2
+        s, t = -pace * d, new[1] - g
+        if (s * t).sum() > 1e-12:
+            past = [*past[1 - memory :], (s, t)]
+        done = value - new[0] < 1e-7
+        w, (value, g) = w + s, new
+        if done:
+            break
     return w
 
 
@@ -92,10 +121,10 @@ def classify(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sa
 
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(marked), "doc_id").select("_domain", "text").mapInArrow(of, "domain string, x binary").toArrow()
     if not rows.num_rows:
-        w = np.zeros((WIDE + 1, len(domains)))
+        w = np.zeros((2 * WIDE + 1, len(domains)))
         w[-1] = np.log(np.maximum([targets[d] for d in domains], 1e-9))
         return domains, w
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDE)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, 2 * WIDE)
     return domains, logistic(x, np.array([domains.index(d) for d in rows.column("domain").to_pylist()]), len(domains))
 
 
@@ -106,15 +135,11 @@ def rates(p: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
     return r
 
 
-def _rate(k: int, steps: list[np.ndarray], least: float) -> Column:
-    r = F.lit(max(1.0, least))
-    for v in steps:
-        r = F.greatest(r - sum((F.col(f"p{i}") * F.lit(float(v[i])) for i in range(k)), F.lit(0.0)), F.lit(float(least)))
-    return r
-
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, total: float | None = None, sample_rows: int = 4000, close: float = 1e-4, rounds: int = 100) -> Mix:
+    """total: expected tokens after mixing; by default those of docs, or as many more as rates of at least ``least`` need.
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, total: float | None = None, sample_rows: int = 4000, rounds: int = 12, close: float = 1e-4) -> Mix:
-    """total: expected tokens after mixing; by default those of docs, or as few more as rates of at least ``least`` need."""
+    Rounds end at ``close``, of all tokens, or where none helps; ``rounds`` only guards against a fit that never ends, and raises.
+    """
     domains, w = classify(docs, labelled, targets, sample_rows)
     k, share = len(domains), np.array([targets[d] for d in domains], float)
     share = share / share.sum()
@@ -124,50 +149,88 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least:
             x, n = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.float64)), *(pa.array(c) for c in posteriors(x, w).T)], ["n", *(f"p{i}" for i in range(k))])
 
-    space = Workspace(docs.sparkSession, "mix")
-    held = space.keep(docs.select(F.col("text").cast("string")).mapInArrow(of, "n double, " + ", ".join(f"p{i} double" for i in range(k))), "posteriors")
-    sums = held.agg(*[F.sum(F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"{i},{j}") for i in range(k) for j in range(k)]).first()
-    gram = np.array([x or 0.0 for x in sums]).reshape(k, k)
-    now = gram.sum(1)
-    whole = total or max(now.sum(), *(least * now / np.maximum(share, 1e-12)))
-    inverse, steps, before, pace = np.linalg.pinv(gram), [], np.inf, 1.0
-    for _ in range(rounds):
-        r = _rate(k, steps, least)
-        have = np.array([x or 0.0 for x in held.agg(*[F.sum(r * F.col("n") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)]).first()])
-        gap = have - share * whole
-        off = float(np.abs(gap).sum()) / max(whole, 1.0)
-        if off < close:
-            break
-        if off > before and steps:  # too long a step: take it back and go half as far
-            steps, pace = steps[:-1], pace / 2
-            gap = last_gap
+    with Workspace(docs.sparkSession, "mix") as space:
+        held = space.keep(docs.select(F.col("text").cast("string")).mapInArrow(of, "n double, " + ", ".join(f"p{i} double" for i in range(k))), "posteriors")
+
+        def sums(proposed: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+            """For each list of steps the expected tokens of each domain, and the Gram matrix of what isn't at the least rate."""
+
+            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out = np.zeros((len(proposed), k + k * k))
+                for batch in batches:
+                    n, *p = (c.to_numpy() for c in batch.columns)
+                    p = np.stack(p, 1) if batch.num_rows else np.zeros((0, k))
+                    for i, steps in enumerate(proposed):
+                        r = rates(p, steps, least)
+                        out[i, :k] += (r * n) @ p
+                        out[i, k:] += (p.T @ (p * (n * (r > least))[:, None])).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], ["i", "x"])
+
+            got = np.zeros(len(proposed) * (k + k * k))
+            for r in held.mapInArrow(add, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # as many rows as numbers
+                got[r["i"]] = r["x"]
+            return [(x[:k], x[k:].reshape(k, k)) for x in got.reshape(len(proposed), -1)]
+
+        steps: list[np.ndarray] = []
+        (have, free), = sums([steps])
+        plain = held.agg(*[F.coalesce(F.sum(F.col("n") * F.col(f"p{i}")), F.lit(0.0)) for i in range(k)]).first()
+        gram, now = free, np.array(plain, float)
+        whole = total or max(now.sum(), *(least * now / np.maximum(share, 1e-12)))
+        if not np.any(gram):  # all rates begin at the least one
+            gram = np.diag(np.maximum(now, 1e-9))
+        for _ in range(rounds):
+            gap = have - share * whole
+            size = float(np.abs(gap).sum()) / max(whole, 1.0)
+            if size < close:
+                break
+            ways = [np.linalg.pinv(gram) @ gap, np.linalg.pinv(free) @ gap]
+            proposed = [[*steps, pace * way] for way in ways for pace in (1.0, 0.5, 0.1)]
+            found = sums(proposed)
+            off = [float(np.abs(x - share * whole).sum()) / max(whole, 1.0) for x, _ in found]
+            best = int(np.argmin(off))
+            if off[best] > 0.999 * size:
+                over = float((gap / np.maximum(share * whole, 1e-12)).max())
+                if total is not None or least <= 0 or not 0 < over < 1:
+                    break
+                whole *= 1 + over  # the least rates alone exceed a target
+                continue
+            steps, (have, free) = proposed[best], found[best]
         else:
-            before, last_gap = off, gap
-        steps = [*steps, pace * (inverse @ gap)]
-    space.release()
-    return Mix(domains, share, w, steps, least)
+            raise RuntimeError(f"rates still improve after {rounds} rounds")
+    off = (have - share * whole) / max(whole, 1.0)
+    if np.abs(off).sum() >= close and whole > 0:
+        warnings.warn("targets can't be met; expected tokens exceed them by these shares of all: " + ", ".join(f"{d} {x:+.4f}" for d, x in zip(domains, off)), stacklevel=2)
+    return Mix(domains, share, w, steps, least, off)
 
 
-def apply(docs: DataFrame, mix: Mix) -> DataFrame:
-    """docs with n_tokens, domain (the likeliest), posteriors (in the order of the domains' names) and rate."""
-    made = ("n_tokens", "domain", "posteriors", "rate")
-    docs = docs.drop(*made)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("n_tokens", T.LongType()), T.StructField("domain", T.StringType()), T.StructField("posteriors", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType())])
+def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
+    """row, a struct of the columns of docs, n_tokens, domain (the likeliest), posteriors (in the order of the domains' names) and rate."""
+    rows = with_text(docs)
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("domain", T.StringType()), T.StructField("posteriors", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(mix)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in sliced(batches, "text"):
-            x, n = features(batch.column("text"))
+        for batch in sliced(batches, "row.text"):
+            x, n = features(column(batch, "row.text"))
             p = posteriors(x, m.weights)
             best = pa.array([m.domains[i] for i in p.argmax(1)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), best, pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rates(p, m.steps, m.least))], [*batch.schema.names, *made])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n.astype(np.int64)), best, pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rates(p, m.steps, m.least))], ["row", *(f.name for f in made)])
+
+    return rows.mapInArrow(of, T.StructType([*rows.schema.fields, *made]))
+
+
+def apply(docs: DataFrame, mix: Mix) -> DataFrame:
+    """docs with n_tokens, domain, posteriors and rate."""
+    return flattened(mixed(docs, mix), "n_tokens", "domain", "posteriors", "rate")
 
-    return docs.mapInArrow(of, schema)
 
+def repeated(docs: DataFrame, mix: Mix, at_once: int = 1024) -> DataFrame:
+    """The rows of docs, each as often as its rate says: its whole part, and once more for a share of rows by their hash.
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The rows of apply(), each as often as its rate says: its whole part, and once more for a share of doc_ids by their hash."""
-    u = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 20)) / (1 << 20)
-    times = F.floor(F.col("rate") + u).cast("int")
-    return mixed.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).drop("_times", "n_tokens", "domain", "posteriors", "rate")
+    A row with a high rate is repeated in two steps, so no array has more than at_once entries or the number of such arrays.
+    """
+    u = F.pmod(F.xxhash64(F.col("row.doc_id"), F.col("row.text"), F.lit(41)), F.lit(1 << 20)) / (1 << 20)
+    out = mixed(docs, mix).select("row", F.floor(F.col("rate") + u).cast("long").alias("times")).where("times > 0")
+    out = out.select("row", "times", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {at_once}"))).alias("nth"))
+    return out.select("row", F.explode(F.expr(f"sequence(1L, least({at_once}L, times - nth * {at_once}))"))).select("row.*")

@@ -50,15 +50,19 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-#: Shares of tokens by language that the mixture aims at.
-LANGUAGE_TARGETS = {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12}
+#: Shares of tokens by language that the mixture aims at; the corpus has about .61, .15, .15 and .09, so all but English is to be used more.
+LANGUAGE_TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.17, "es": 0.15}
+
+
+def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and domain, the language, of the documents that the labels table covers."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains are languages, known for the rows that the labels table covers and predicted for all."""
     docs = table(spark, sf_dir, "documents")
-    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    mix = mixing.fit(docs, labelled, LANGUAGE_TARGETS)
+    mix = mixing.fit(docs, labelled_languages(docs, table(spark, sf_dir, "labels")), LANGUAGE_TARGETS)
     mixed = mixing.apply(docs.select("doc_id", "text"), mix)
     return mixed.select("doc_id", "n_tokens", "domain", *[F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(mix.domains)], "rate")
 

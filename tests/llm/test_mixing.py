@@ -36,7 +36,7 @@ def test_totals_meet_targets_as_brute_force_does(docs, least):
     out = [x for x in rows if x.doc_id % 2 and x.n_tokens > 20]
     assert sum(x.domain == x.lang for x in out) >= 0.95 * len(out)
     if least:
-        copies = mixing.repeated(mixing.apply(docs, mix))
+        copies = mixing.repeated(docs, mix, at_once=2)
         assert copies.columns == docs.columns
         count = {x.doc_id: x["count"] for x in copies.groupBy("doc_id").count().collect()}
         assert all(int(x.rate) <= count[x.doc_id] <= int(x.rate) + 1 for x in rows)
@@ -49,3 +49,35 @@ def test_edge_cases(spark, docs):
         assert sorted(x.n_tokens for x in got) == [0, 0, 0, 200_000] and all(x.rate >= 0 for x in got)
     empty = docs.limit(0)
     assert mixing.apply(empty, mixing.fit(empty, empty.select("doc_id", F.col("lang").alias("domain")), TARGETS)).collect() == []
+
+
+def test_infeasible_targets_are_reported(docs):
+    """A domain that no document has can't be filled; the rest is fitted and the Mix tells the gap."""
+    known = docs.where("lang != 'es'").select("doc_id", F.col("lang").alias("domain"))
+    with pytest.warns(UserWarning, match="can't be met"):
+        mix = mixing.fit(docs.where("lang = 'en'"), known, {"en": 0.0, "de": 1.0}, total=1e9)
+    assert np.abs(mix.off).sum() > 1e-3
+
+
+def test_classifier_gradient_is_zero_where_training_ends():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 5)), rng.integers(3, size=60)
+    w = mixing.logistic(x, y, 3, rounds=500, ridge=0.1)
+
+    def loss(w):
+        z = np.hstack([x, np.ones((60, 1))]) @ w
+        return float((np.log(np.exp(z).sum(1)) - z[np.arange(60), y]).mean() + 0.05 * (w * w).sum())
+
+    for i in range(w.shape[0]):
+        for j in range(3):
+            up, down = w.copy(), w.copy()
+            up[i, j] += 1e-4
+            down[i, j] -= 1e-4
+            assert abs(loss(up) - loss(down)) / 2e-4 < 2e-3
+
+
+def test_a_high_rate_is_split(spark):
+    df = spark.createDataFrame([(1, "a b", "k"), (2, None, "k")], "doc_id long, text string, times string")
+    mix = mixing.Mix(["a"], np.ones(1), np.zeros((2 * mixing.WIDE + 1, 1)), [np.array([-999.0])], 0.0, np.zeros(1))
+    got = {r.doc_id: r["count"] for r in mixing.repeated(df, mix, at_once=64).groupBy("doc_id").count().collect()}
+    assert got == {1: 1000, 2: 1000}
