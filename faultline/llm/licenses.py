@@ -2,16 +2,20 @@
 
 A text is cut into sentences; those that are known sentences of licences become ids,
 and the sequence of ids is matched against ordered rules: a rule's ids have to occur
-in their order, and the first rule that matches names the licence. Line ends are read
-both as the end of a sentence and as white space, since licences are found wrapped.
+in their order, and the first rule that matches names the licence. A sentence that
+isn't known as a whole is cut at its line ends, and each line is looked up in its place,
+since notices stand alone on lines and licences are found wrapped; so a sentence counts
+once, and the sequence is the text's.
 
 Everything is a projection of one row: a map of known sentences is a literal of the
 plan, and no row meets another. Texts without any of a few stems, which every known
 sentence has, are not cut at all.
 
-Defined results: null and empty texts have no licence; repeated sentences count in
-the sequence; rows that repeat get a row each; null doc_ids are kept; further columns
-are ignored; an empty table gives an empty result.
+Defined results: null and empty texts have no licence; a very long text is cut whole, in
+its row; of several licences the first by the rules' order is named, and all are listed;
+repeated sentences count in the sequence; rows that repeat get a row each; null doc_ids
+are kept; further columns are ignored whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -68,10 +72,73 @@ SENTENCES = {
     "gpl-later-3": "either version 3 of the license or at your option any later version",
     "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "mpl-notice-2": "this source code form is subject to the terms of the mozilla public license v",
+    "apache-title": "apache license",
+    "apache-definition": "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+    "apache-licensor": "licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license",
+    "apache-grant": "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    "apache-trademarks": "this license does not grant permission to use the trade names trademarks service marks or product names of the licensor except as required for reasonable and customary use in describing the origin of the work and reproducing the content of the notice file",
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "gpl-copy": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "gpl2-preamble": "the licenses for most software are designed to take away your freedom to share and change it",
+    "gpl2-applies": "this license applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this general public license",
+    "gpl3-preamble": "the gnu general public license is a free copyleft license for software and other kinds of works",
+    "gpl3-refers": "this license refers to version 3 of the gnu general public license",
+    "gpl3-propagate": "to propagate a work means to do anything with it that without permission would make you directly or secondarily liable for infringement under applicable copyright law except executing it on a computer or modifying a private copy",
+    "agpl3-preamble": "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
+    "agpl3-refers": "this license refers to version 3 of the gnu affero general public license",
+    "lgpl3-incorporates": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+    "lgpl21-preamble": "this license the lesser general public license applies to some specially designated software packages typically libraries of the free software foundation and other authors who decide to use it",
+    "mpl-title": "mozilla public license version 2 0",
+    "mpl-secondary": "secondary license means either the gnu general public license version 2 0 the gnu lesser general public license version 2 1 the gnu affero general public license version 3 0 or any later versions of those licenses",
+    "epl-title": "eclipse public license v 2 0",
+    "epl-accompanying": "the accompanying program is provided under the terms of this eclipse public license agreement",
+    "cc0-waiver": "to the greatest extent permitted by but not in contravention of applicable law affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright and related rights and associated claims and causes of action whether now known or unknown including existing as well as future claims and causes of action in the work",
+    "wtfpl-copy": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "spdx-bsd2": "spdx license identifier bsd 2 clause",
+    "spdx-gpl2": "spdx license identifier gpl 2 0 only",
+    "spdx-gpl2-later": "spdx license identifier gpl 2 0 or later",
+    "spdx-lgpl21": "spdx license identifier lgpl 2 1 only",
+    "spdx-lgpl3": "spdx license identifier lgpl 3 0 only",
+    "spdx-agpl3": "spdx license identifier agpl 3 0 only",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-epl": "spdx license identifier epl 2 0",
+    "spdx-unlicense": "spdx license identifier unlicense",
+    "spdx-cc0": "spdx license identifier cc0 1 0",
+    "spdx-zlib": "spdx license identifier zlib",
+    "spdx-bsl": "spdx license identifier bsl 1 0",
+    "spdx-0bsd": "spdx license identifier 0bsd",
+    "agpl-modify": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-modify": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl-later-21": "either version 2 1 of the license or at your option any later version",
 }
 
 #: Ordered rules: a licence, and ids that occur in this order.
 RULES = (
+    ("AGPL-3.0", ("agpl3-preamble", "agpl3-refers", "gpl3-propagate")),
+    ("GPL-3.0", ("gpl3-preamble", "gpl3-refers", "gpl3-propagate")),
+    ("GPL-2.0", ("gpl2-preamble", "gpl2-applies")),
+    ("LGPL-2.1", ("lgpl21-preamble",)),
+    ("LGPL-3.0", ("gpl-copy", "lgpl3-incorporates")),
+    ("MPL-2.0", ("mpl-title", "mpl-secondary")),
+    ("EPL-2.0", ("epl-title", "epl-accompanying")),
+    ("Apache-2.0", ("apache-title", "apache-definition", "apache-licensor", "apache-grant", "apache-trademarks")),
+    ("CC0-1.0", ("cc0-waiver",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("WTFPL", ("wtfpl-copy",)),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-no-warranty", "gpl-implied")),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("AGPL-3.0-or-later", ("agpl-modify",)),
+    ("LGPL-2.1-or-later", ("lgpl-free",)),
+    ("LGPL-2.1-or-later", ("lgpl-modify", "lgpl-later-21")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-no-warranty", "gpl-implied")),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl-no-warranty", "gpl-implied")),
     ("GPL-3.0-or-later", ("spdx-gpl3-later",)),
@@ -97,6 +164,7 @@ RULES = (
     ("Apache-2.0", ("apache-header", "apache-comply")),
     ("Apache-2.0", ("apache-notice",)),
     ("Apache-2.0", ("spdx-apache",)),
+    ("MIT", ("mit-grant", "mit-keep", "mit-as-is", "mit-liability")),
     ("MIT", ("mit-grant", "mit-keep", "mit-as-is")),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-notice-2",)),
@@ -104,7 +172,21 @@ RULES = (
     ("MIT", ("mit-title-2", "mit-grant")),
     ("MIT", ("spdx-mit",)),
     ("ISC", ("isc-grant",)),
+    ("ISC", ("spdx-isc",)),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("0BSD", ("spdx-0bsd",)),
     ("Unlicense", ("unlicense",)),
+    ("Unlicense", ("spdx-unlicense",)),
+    ("BSD-2-Clause", ("spdx-bsd2",)),
+    ("GPL-2.0-only", ("spdx-gpl2",)),
+    ("GPL-2.0-or-later", ("spdx-gpl2-later",)),
+    ("LGPL-2.1-only", ("spdx-lgpl21",)),
+    ("LGPL-3.0-only", ("spdx-lgpl3",)),
+    ("AGPL-3.0-only", ("spdx-agpl3",)),
+    ("EPL-2.0", ("spdx-epl",)),
+    ("CC0-1.0", ("spdx-cc0",)),
+    ("Zlib", ("spdx-zlib",)),
+    ("BSL-1.0", ("spdx-bsl",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-work",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
@@ -140,47 +222,56 @@ def _first(column: str) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences (known ones), sentence_ids, license (null if none) and licenses (all, in the rules' order)."""
+    """doc_id, n_sentences (known ones), sentence_ids in their order, license (null if none) and licenses (all, in the rules' order)."""
     known = F.create_map(*[F.lit(x) for text, i in ((SENTENCES[k], n) for k, n in _NUMBER.items()) for x in (text, i)])
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = docs.select("doc_id", text.alias("_text"))
     worth = F.lit(False)
     for stem in STEMS:
         worth = worth | F.contains("_text", F.lit(stem))
-    out = out.withColumn("_worth", worth)
+    number = lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")))
+    lines = lambda s: F.filter(F.transform(F.split(s, "\n"), number), lambda i: i.isNotNull())
+    sentences = F.split(F.regexp_replace("_text", ENDS, "\x01"), "\x01")
+    ids = F.flatten(F.transform(sentences, lambda s: F.coalesce(F.transform(F.array(number(s)), lambda i: F.when(i.isNotNull(), F.array(i)))[0], lines(s))))
+    out = out.select("doc_id", F.when(worth, ids).otherwise(F.array().cast("array<int>")).alias("_found"))
+    out = out.select("doc_id", F.size("_found").cast("long").alias("n_sentences"), F.concat_ws("", F.transform("_found", lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|")))).alias("_ids"))
+    names = F.array_join(F.filter(F.array(*[F.expr(f"CASE WHEN {sql} THEN '{k}' END") for k, sql in _names("_ids").items()]), lambda x: x.isNotNull()), ",")
+    return out.select("doc_id", "n_sentences", F.col("_ids").alias("sentence_ids"), F.expr(_first("_ids")).alias("license"), names.alias("licenses"))
 
-    def numbers(newline_ends: bool):
-        ends = F.regexp_replace("_text", r"[.!?;]+([ \t\n\r]|$)" if newline_ends else r"[.!?;]+([ \t\n\r]|$)|\n[ \t\r]*\n", "\x01")
-        cut = F.split(F.regexp_replace(ends, r"\n", "\x01") if newline_ends else ends, "\x01")
-        plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")))
-        return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
 
-    ids = F.concat(numbers(True), F.array(F.lit(0)), numbers(False))
-    joined = F.concat(F.lit("|"), F.array_join(F.transform(ids, lambda i: i.cast("string")), "||"), F.lit("|"))
-    out = out.withColumn("_ids", F.when(F.col("_worth"), joined).otherwise("|0|"))
-    names = F.array_join(F.filter(F.array(*[F.expr(f"CASE WHEN {sql} THEN '{k}' END") for k, sql in _names("_ids").items()]), lambda x: x.isNotNull()), ",")
-    return out.select(
-        "doc_id",
-        F.expr("cast(size(filter(split(_ids, '[|]+'), x -> x NOT IN ('', '0'))) AS bigint)").alias("n_sentences"),
-        F.col("_ids").alias("sentence_ids"),
-        F.expr(_first("_ids")).alias("license"),
-        names.alias("licenses"),
-    )
+#: Where a sentence ends: points before white space, and empty lines.
+ENDS = r"[.!?;]+([ \t\n\r]|$)|\n[ \t\r]*\n"
 
 
 def _oracle() -> str:
+    """Rows of sentences joined with tables of known sentences and of the rules' steps; each step is found after the one before."""
     known = ", ".join(f"('{SENTENCES[k]}', {n})" for k, n in _NUMBER.items())
+    steps = ", ".join(f"({rule}, '{licence}', {step}, {_NUMBER[i]}, {len(ids)})" for rule, (licence, ids) in enumerate(RULES) for step, i in enumerate(ids))
+    most = max(len(ids) for _, ids in RULES)
+    plain = r"trim(regexp_replace({}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
+    chain = "m0 AS (SELECT r, rule, min(pos) AS pos FROM seq JOIN steps ON step = 0 AND seq.i = steps.i GROUP BY ALL)"
+    for k in range(1, most):
+        chain += f",\nm{k} AS (SELECT m.r, m.rule, min(seq.pos) AS pos FROM m{k - 1} m JOIN steps ON steps.rule = m.rule AND step = {k} JOIN seq ON seq.r = m.r AND seq.i = steps.i AND seq.pos > m.pos GROUP BY ALL)"
+    ends = " UNION ALL ".join(f"SELECT r, rule FROM m{k} SEMI JOIN (SELECT rule FROM steps WHERE n = {k + 1}) USING (rule)" for k in range(most))
     return rf"""
 WITH known(s, i) AS (VALUES {known}),
+steps(rule, licence, step, i, n) AS (VALUES {steps}),
 d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
-cut AS (
-  SELECT r, 1 AS way, unnest(string_split(replace(regexp_replace(t, '[.!?;]+([ \t\n\r]|$)', chr(1), 'g'), chr(10), chr(1)), chr(1))) AS s, generate_subscripts(string_split(replace(regexp_replace(t, '[.!?;]+([ \t\n\r]|$)', chr(1), 'g'), chr(10), chr(1)), chr(1)), 1) AS n FROM d
-  UNION ALL
-  SELECT r, 2, unnest(string_split(regexp_replace(t, '[.!?;]+([ \t\n\r]|$)|\n[ \t\r]*\n', chr(1), 'g'), chr(1))), generate_subscripts(string_split(regexp_replace(t, '[.!?;]+([ \t\n\r]|$)|\n[ \t\r]*\n', chr(1), 'g'), chr(1)), 1) FROM d),
-found AS (SELECT r, way, string_agg('|' || i || '|', '' ORDER BY n) AS ids, count(*) AS n FROM (SELECT r, way, n, trim(regexp_replace(s, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) AS s FROM cut) JOIN known USING (s) GROUP BY r, way),
-j AS (SELECT d.doc_id, coalesce(a.n, 0) + coalesce(b.n, 0) AS n, coalesce(a.ids, '') || '|0|' || coalesce(b.ids, '') AS ids FROM d LEFT JOIN found a ON a.r = d.r AND a.way = 1 LEFT JOIN found b ON b.r = d.r AND b.way = 2)
-SELECT doc_id, n::BIGINT AS n_sentences, ids AS sentence_ids, {_first("ids")} AS license,
-  array_to_string(list_filter([{", ".join(f"CASE WHEN {sql} THEN '{k}' END" for k, sql in _names("ids").items())}], lambda x: x IS NOT NULL), ',') AS licenses FROM j
+cut AS (SELECT r, unnest(x) AS s, generate_subscripts(x, 1) AS a FROM (SELECT r, string_split(regexp_replace(t, '{ENDS}', chr(1), 'g'), chr(1)) AS x FROM d)),
+sentence AS (SELECT r, a, cut.s AS raw, i FROM cut LEFT JOIN known ON known.s = {plain.replace("{}", "cut.s")}),
+line AS (SELECT r, a, unnest(x) AS s, generate_subscripts(x, 1) AS b FROM (SELECT r, a, string_split(raw, chr(10)) AS x FROM sentence WHERE i IS NULL)),
+seq AS (
+  SELECT r, i, row_number() OVER (PARTITION BY r ORDER BY a, b) AS pos FROM (
+    SELECT r, a, 0 AS b, i FROM sentence WHERE i IS NOT NULL
+    UNION ALL SELECT r, a, b, known.i FROM line JOIN known ON known.s = {plain.replace("{}", "line.s")})),
+{chain},
+matched AS ({ends}),
+firsts AS (SELECT licence, min(rule) AS place FROM steps GROUP BY licence),
+named AS (SELECT r, licence, min(rule) AS rule FROM matched JOIN (SELECT DISTINCT rule, licence FROM steps) USING (rule) GROUP BY ALL),
+found AS (SELECT r, arg_min(licence, rule) AS license, string_agg(licence, ',' ORDER BY place) AS licenses FROM named JOIN firsts USING (licence) GROUP BY r),
+ids AS (SELECT r, count(*) AS n, string_agg('|' || i || '|', '' ORDER BY pos) AS ids FROM seq GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, license, coalesce(licenses, '') AS licenses
+FROM d LEFT JOIN ids USING (r) LEFT JOIN found USING (r)
 """
 
 
