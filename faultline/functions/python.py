@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,14 +12,111 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+IDENTICAL = "Files are identical.\n"
+
+
+def matching(a: list[str], b: list[str], small: int = 1 << 20) -> list[tuple[int, int]]:
+    """Pairs of places of lines that stay, growing in both.
+
+    Common ends are taken first, then lines that occur once in either, as the longest
+    run that grows in both; between those it begins anew. Where there are none, pieces
+    whose sides multiply to ``small`` at most are compared line by line, and larger ones
+    count as replaced. So the time is n log n and the memory n for texts of n lines.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, m, j, n = todo.pop()
+        while i < m and j < n and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        once = lambda x, lo, hi: {v: k for v, k in _counts(x, lo, hi).items() if k >= 0}
+        there = once(b, j, n)
+        both = [(k, there[v]) for v, k in sorted(once(a, i, m).items(), key=lambda e: e[1]) if v in there]
+        if both:
+            at = (i, j)
+            for x, y in [*_growing(both), (m, n)]:
+                todo.append((at[0], x, at[1], y))
+                if x < m:
+                    out.append((x, y))
+                at = (x + 1, y + 1)
+        elif (m - i) * (n - j) <= small:
+            for block in difflib.SequenceMatcher(None, a[i:m], b[j:n], autojunk=False).get_matching_blocks():
+                out += [(i + block.a + k, j + block.b + k) for k in range(block.size)]
+    return sorted(out)
+
+
+def _counts(x: list[str], lo: int, hi: int) -> dict[str, int]:
+    """The place of each line that occurs once, -1 for others."""
+    out: dict[str, int] = {}
+    for k in range(lo, hi):
+        out[x[k]] = -1 if x[k] in out else k
+    return out
+
+
+def _growing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of pairs, sorted by their first, that grows in their second."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, y) in enumerate(pairs):
+        at = bisect_left(ends, y)
+        before[k] = last[at - 1] if at else -1
+        if at == len(ends):
+            ends.append(y)
+            last.append(k)
+        else:
+            ends[at], last[at] = y, k
+    out, k = [], last[-1]
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def diff(old: str, new: str, context: int = 3) -> str:
+    """A unified diff of two texts. Lines are compared as they are, and shown with tabs expanded."""
+    a, b = (re.findall(r"[^\n]*\n|[^\n]+", x) for x in (old, new))
+    if a == b:
+        return IDENTICAL
+    matcher = difflib.SequenceMatcher(None, [], [], autojunk=False)
+    opcodes, i, j = [], 0, 0
+    for x, y in [*matching(a, b), (len(a), len(b))]:
+        if i < x or j < y:
+            opcodes.append(("replace" if i < x and j < y else "delete" if i < x else "insert", i, x, j, y))
+        if x < len(a) and y < len(b):
+            if opcodes and opcodes[-1][0] == "equal":
+                opcodes[-1] = ("equal", opcodes[-1][1], x + 1, opcodes[-1][3], y + 1)
+            else:
+                opcodes.append(("equal", x, x + 1, y, y + 1))
+        i, j = x + 1, y + 1
+    matcher.opcodes = opcodes
+    out = ["--- original\n", "+++ updated\n"]
+    span = lambda lo, hi: str(lo + 1) if hi - lo == 1 else f"{lo + (hi > lo)},{hi - lo}"
+    shown = lambda mark, line: f"{mark}{line.rstrip(chr(10)).expandtabs()}\n" + ("" if line.endswith("\n") else "\\ No newline at end of file\n")
+    for group in matcher.get_grouped_opcodes(context):
+        out.append(f"@@ -{span(group[0][1], group[-1][2])} +{span(group[0][3], group[-1][4])} @@\n")
+        for tag, lo, hi, lo2, hi2 in group:
+            if tag == "equal":
+                out += [shown(" ", x) for x in a[lo:hi]]
+            else:
+                out += [shown("-", x) for x in a[lo:hi]] + [shown("+", x) for x in b[lo2:hi2]]
+    return "".join(out)
+
 
 @F.pandas_udf(StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """A unified diff with tabs expanded, or a line that says that both are identical."""
+    """A unified diff, or a line that says that both are identical; a null text is an error, as a missing file is."""
 
     def one(a: str | None, b: str | None) -> str:
-        a, b = ((x or "").expandtabs().splitlines() for x in (a, b))
-        return "\n".join(difflib.unified_diff(a, b, "original", "updated", lineterm="")) or "Files are identical"
+        if a is None or b is None:
+            raise ValueError("the original text is missing" if a is None else "the updated text is missing")
+        return diff(a, b)
 
     return pd.Series([one(a, b) for a, b in zip(old, new)])
 

@@ -92,7 +92,7 @@ def looked_up(token: Column, names: Mapping[str, str], default: str | None = Non
 #: Tokens of prompts and the prompts they name; a dash reads as an underscore.
 PROMPTS = {
     "default": "default", "in_context": "in_context", "context": "in_context", "anthropic": "anthropic_spoon_rules", "anthropic_spoon_rules": "anthropic_spoon_rules",
-    "final": "final_spoon_rules", "final_spoon_rules": "final_spoon_rules", "v2_in_context": "v2_in_context", "baseline": "baseline", "base_line": "baseline",
+    "final": "final", "final_spoon_rules": "final", "v2_in_context": "v2_in_context", "baseline": "baseline", "base_line": "baseline",
     "baseline_spoon": "baseline_spoon", "baseline_spoon_rules": "baseline_spoon", "prompt_4": "prompt_4", "prompt4": "prompt_4", "prompt_5": "prompt_5", "prompt5": "prompt_5",
 }
 #: Prompts whose replies need another reader than the default one.
@@ -165,6 +165,14 @@ def class_name(code: Column, default: str = UNNAMED) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(code, CLASS_NAME, 1), F.lit("")), F.lit(default))
 
 
+def recipe_runner(code: Column) -> Column:
+    """The lines of a build file that activate a recipe: the name of a YAML one, or the class of a Java one with its package."""
+    package = F.nullif(F.regexp_extract(code, r"package\s+([\w.]+)\s*;", 1), F.lit(""))
+    named = F.nullif(trimmed(F.regexp_extract(code, r"(?m)^name:\s*(.+)$", 1)), F.lit(""))
+    own = F.concat_ws(".", package, class_name(code))
+    return F.concat(F.lit("<activeRecipes><recipe>"), F.when(F.contains(code, F.lit(YAML_MARK)), F.coalesce(named, F.lit(UNNAMED))).otherwise(own), F.lit("</recipe></activeRecipes>"))
+
+
 def section(title: str, body: Column) -> Column:
     """A titled block, or nothing for a blank body."""
     return F.when(blank(body), "").otherwise(F.concat(F.lit(f"## {title}\n"), body, F.lit("\n")))
@@ -194,6 +202,20 @@ def short_id() -> Column:
     return F.substring(F.uuid(), 1, 8)
 
 
+def dependency_summary(dependency: Column) -> Column:
+    """origin, groupId, artifactId, version, coordinates and sourcePath; a null dependency is of origin UNKNOWN."""
+    d, unknown = dependency, F.lit("UNKNOWN")
+    origin_ = F.when(d.isNull(), unknown).otherwise(d["origin"])
+    shown = F.when(d.isNull(), unknown).otherwise(short_coordinates(d["origin"], d["groupId"], d["artifactId"], d["version"]))
+    return F.struct(origin_.alias("origin"), *[d[x].alias(x) for x in ("groupId", "artifactId", "version")], shown.alias("coordinates"), d["sourcePath"].alias("sourcePath"))
+
+
+def derived_dependency(dependency: Column) -> dict[str, Column]:
+    """libraryName, baseVersion and newVersion of a record's dependency, null without one."""
+    d = dependency
+    return {"libraryName": F.when(d.isNotNull(), classifier(d["dependencyGroupID"], d["dependencyArtifactID"])), "baseVersion": d["previousVersion"], "newVersion": d["newVersion"]}
+
+
 def rule_generator(c: Column) -> Column:
     return F.coalesce(F.lower(F.when(~blank(c), c)), F.lit("spoon"))
 

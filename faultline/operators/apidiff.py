@@ -24,17 +24,35 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str], values: list[str],
 
 def changed(rows: DataFrame) -> DataFrame:
     """Changes only; an unchanged row stays where it is incompatible."""
-    loose = F.lit(False)
-    for c in ("binaryCompatible", "sourceCompatible"):
-        if c in rows.columns and dict(rows.dtypes)[c] == "boolean":
-            loose = loose | ~F.coalesce(F.col(c), F.lit(True))
-    return rows.where((F.col("changeStatus") != "UNCHANGED") | loose)
+    return rows.where(_kept(dict(rows.dtypes)))
 
 
-def summary(classes: DataFrame) -> DataFrame:
-    """Classes, changed classes and changed members."""
-    return classes.agg(
+def _summary() -> list[Column]:
+    return [
         F.count("*").alias("totalClasses"),
         F.count_if(F.col("changeStatus") != "UNCHANGED").alias("changedClasses"),
         F.coalesce(F.sum(F.col("changedMemberCount").cast("long")), F.lit(0).cast("long")).alias("changedMembers"),
-    )
+    ]
+
+
+def summary(classes: DataFrame) -> DataFrame:
+    """Classes, changed classes and changed members."""
+    return classes.agg(*_summary())
+
+
+def _kept(columns: dict[str, str]) -> Column:
+    """Changes, and unchanged rows that are incompatible."""
+    loose = F.lit(False)
+    for c in ("binaryCompatible", "sourceCompatible"):
+        if columns.get(c) == "boolean":
+            loose = loose | ~F.coalesce(F.col(c), F.lit(True))
+    return (F.col("changeStatus") != "UNCHANGED") | loose
+
+
+def report(classes: DataFrame, old_jar: str, new_jar: str) -> DataFrame:
+    """One row, a document: the jars, the time of the query, the summary, and all changed classes by name."""
+    one = F.when(_kept(dict(classes.dtypes)), F.struct("fullyQualifiedName", F.struct(*classes.columns).alias("c")))
+    rows = classes.agg(*_summary(), F.sort_array(F.collect_list(one)).alias("c"))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    of_report = F.struct("totalClasses", "changedClasses", "changedMembers").alias("summary")
+    return rows.select(F.lit(old_jar).alias("oldJar"), F.lit(new_jar).alias("newJar"), now.alias("generatedAt"), of_report, F.transform("c", lambda x: x["c"]).alias("classes"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.categories import first_match
-from faultline.functions.text import strip_leading
+from faultline.functions.text import container_path, strip_leading
+from faultline.operators.state import validated
 from faultline.sources.readers import numbered_lines
 
 #: Where the errors of a log begin and end, and how an error's first line looks.
@@ -86,6 +87,28 @@ def total_errors(files: Column) -> Column:
 
 def errors_by_file(files: Column) -> Column:
     """A map from path to errors, null if there are none; of a path that repeats the last count stays."""
-    entries = F.transform(files, lambda f: F.struct(f["filePath"].alias("k"), F.size(f["errors"]).alias("v")))
-    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["k"] == x["k"]))
-    return F.when(F.size(files) > 0, F.map_from_entries(last))
+    entries = F.transform(files, lambda f, i: F.struct(f["filePath"].alias("k"), i.alias("i"), F.size(f["errors"]).alias("v")))
+    last = F.transform(F.array(F.array_sort(entries)), lambda e: F.filter(e, lambda x, i: ~x["k"].eqNullSafe(F.get(e, i + 1)["k"])))[0]
+    ordered = F.array_sort(F.transform(last, lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), x["v"].alias("v"))))
+    return F.when(F.size(files) > 0, F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))))
+
+
+def wanted(logs: DataFrame, found: DataFrame) -> DataFrame:
+    """log_id and content of the logs that are asked for (log_id); null where found has none, which reports() calls UNKNOWN."""
+    return logs.select("log_id").join(found.select("log_id", "content"), "log_id", "left")
+
+
+def processed(records: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of upgrade records and the logs found for them (breakingCommit, logPath, content) the result of each, and what can't be run with a reason.
+
+    A result has the record's project, commit and container path, the log's path, its
+    category, errors in all and by file (null if none), and the time of the query.
+    """
+    good, bad = validated(records)
+    with_log = good.join(logs, "breakingCommit", "left")
+    bad = bad.unionByName(with_log.where("logPath IS NULL").select(*good.columns, F.lit("no log").alias("reason")))
+    found = reports(with_log.where("logPath IS NOT NULL").select(F.col("logPath").alias("log_id"), "content").dropDuplicates(["log_id"]))
+    rows = with_log.where("logPath IS NOT NULL").drop("content").join(found, F.col("logPath") == F.col("originalFailurePath"))
+    files = F.col("errorsByFile")
+    results = rows.select("project", "breakingCommit", container_path(F.col("project")).alias("containerPath"), "logPath", rows["errorsByFile"].alias("_files"), found["failureCategory"].alias("failureCategory"), total_errors(files).alias("totalErrors"), F.current_timestamp().alias("finishedAt"))
+    return results.withColumn("errorsByFile", errors_by_file(F.col("_files"))).drop("_files"), bad

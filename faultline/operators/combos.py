@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.categories import blank, matches
@@ -10,12 +10,16 @@ from faultline.functions.categories import blank, matches
 KEY = ("dependencyGroupID", "dependencyArtifactID", "previousVersion", "newVersion")
 
 
+def _complete() -> Column:
+    out = F.col("updatedDependency").isNotNull()
+    for part in KEY:
+        out = out & ~blank(F.col(f"updatedDependency.{part}"))
+    return out
+
+
 def usable(records: DataFrame, category: str | None = None) -> DataFrame:
     """Records of the category, or all without one, whose dependency has all four parts of the key."""
-    out = records if category is None else records.where(matches(F.col("failureCategory"), category))
-    for part in KEY:
-        out = out.where(~blank(F.col(f"updatedDependency.{part}")))
-    return out.where(F.col("updatedDependency").isNotNull())
+    return (records if category is None else records.where(matches(F.col("failureCategory"), category))).where(_complete())
 
 
 def combinations(records: DataFrame, category: str | None = None, with_rows: bool = False) -> DataFrame:
@@ -34,8 +38,11 @@ def combinations(records: DataFrame, category: str | None = None, with_rows: boo
 
 
 def totals(records: DataFrame, category: str | None = None) -> DataFrame:
-    """One row: all records, those of the category, and their combinations."""
-    every = records.agg(F.count("*").alias("totalRecords"))
-    some = records if category is None else records.where(matches(F.col("failureCategory"), category))
-    found = combinations(records, category).agg(F.count("*").alias("uniqueCombinations"))
-    return every.crossJoin(some.agg(F.count("*").alias("filteredRecords"))).crossJoin(found)
+    """One row, in one scan: all records, those of the category, and their combinations."""
+    wanted = F.lit(True) if category is None else matches(F.col("failureCategory"), category)
+    key = F.struct(*[F.col(f"updatedDependency.{k}").alias(k) for k in KEY])
+    return records.agg(
+        F.count("*").alias("totalRecords"),
+        F.count_if(wanted).alias("filteredRecords"),
+        F.count_distinct(F.when(wanted & _complete(), key)).alias("uniqueCombinations"),
+    )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import qualified_signature
+from faultline.functions.text import dependency_summary, normal_line, position_key, qualified_signature, short_coordinates
+from faultline.operators.state import latest
 
 
 def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    return latest(rows, key, order)
 
 
 def members(classes: DataFrame) -> DataFrame:
@@ -69,18 +70,42 @@ def impacts(usages: DataFrame, classes: DataFrame, by_simple_name: bool = False,
 
 def distinct_usages(usages: DataFrame) -> DataFrame:
     """One of each construct, signature, dependency, position and stripped line."""
-    from faultline.functions.text import normal_line, position_key
-
     key = usages.withColumn("_p", position_key(F.col("file"), F.col("lineNumber"))).withColumn("_l", normal_line(F.col("codeLine")))
     return key.dropDuplicates(["constructType", "signature", "dependency", "_p", "_l", "fullyQualifiedName", "memberQualifiedName"]).drop("_p", "_l")
 
 
 def filter_dependency(usages: DataFrame, wanted: str | None) -> DataFrame:
     """Usages whose origin, group or artifact is wanted, in any case, or whose coordinates contain it; all if blank."""
-    from faultline.functions.text import short_coordinates
-
     if not (wanted or "").strip():
         return usages
     d, low = F.col("dependency"), F.lit(wanted.strip().lower())
     same = lambda c: F.coalesce(F.lower(c) == low, F.lit(False))
     return usages.where(same(d["origin"]) | same(d["groupId"]) | same(d["artifactId"]) | F.coalesce(F.contains(F.lower(short_coordinates(d["origin"], d["groupId"], d["artifactId"], d["version"])), low), F.lit(False)))
+
+
+def requests(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (project, file, lineNumber, oldJar, newJar) that can be answered, and the others with a reason."""
+    reason = F.when(F.coalesce(F.col("lineNumber"), F.lit(0)) < 1, "lineNumber must be >= 1")
+    for name in ("project", "file", "oldJar", "newJar"):
+        reason = F.coalesce(F.when(F.col(name).isNull(), f"no {name}"), reason)
+    marked = rows.withColumn("reason", reason)
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
+def reports(asked: DataFrame, usages: DataFrame, classes: DataFrame, order: str | None = None, by_simple_name: bool = False, generated: Column | None = None) -> DataFrame:
+    """One report for each request: its columns, generatedAt, and constructs, the usages on its line with their API changes.
+
+    A line without constructs has an empty list. generatedAt is the time of the query as ISO text.
+    """
+    met = impacts(usages, classes, by_simple_name, order)
+    one = F.struct("constructType", "signature", dependency_summary(F.col("dependency")).alias("dependency"), "apiChanges")
+    lines = met.groupBy("file", "lineNumber").agg(F.sort_array(F.collect_list(one)).alias("constructs"))
+    empty = F.array().cast(lines.schema["constructs"].dataType)
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX") if generated is None else generated
+    return asked.join(lines, ["file", "lineNumber"], "left").select("project", "file", "lineNumber", "oldJar", "newJar", now.alias("generatedAt"), F.coalesce("constructs", empty).alias("constructs"))
+
+
+def classpath(project: Column, jars: Column) -> Column:
+    """The project's own entries, then those of the jars; a null list is empty."""
+    empty = F.array().cast("array<string>")
+    return F.concat(F.coalesce(project, empty), F.coalesce(jars, empty))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,26 @@ def tiered(rows: DataFrame, tiers: list[tuple[DataFrame, list[str]]], value: str
     return out.select(*rows.columns, hit.alias(value), at.alias("tier"))
 
 
-def first_ranked(rows: DataFrame, key: str | list[str], *order) -> DataFrame:
-    """The first row of each key by an explicit order."""
+def first_ranked(rows: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
+    """The first row of each key by an explicit ascending order; an aggregate, so a hot key is combined before the shuffle."""
     keys = [key] if isinstance(key, str) else key
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    row = F.struct(*rows.columns)
+    return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
+
+
+def exact_then_default(rows: DataFrame, registry: DataFrame, key: list[str], value: str) -> DataFrame:
+    """rows with the value registered for their whole key, else for its last part alone, else an error.
+
+    registry: the columns of key, the first ones null where an entry is a default, and value.
+    """
+    exact = registry.where(F.col(key[0]).isNotNull()).select(*[F.lower(k).alias(f"_{k}") for k in key], F.col(value).alias("_exact"))
+    default = registry.where(F.col(key[0]).isNull()).select(F.lower(key[-1]).alias("_last"), F.col(value).alias("_default"))
+    same = F.lit(True)
+    for k in key:
+        same = same & (F.lower(rows[k]) == exact[f"_{k}"])
+    found = rows.join(exact, same, "left").join(default, F.lower(rows[key[-1]]) == default["_last"], "left")
+    error = F.raise_error(F.concat(F.lit("nothing is registered for "), F.concat_ws("/", *[rows[k] for k in key]))).cast(dict(registry.dtypes)[value])
+    return found.select(*[rows[c] for c in rows.columns], F.coalesce("_exact", "_default", error).alias(value))
 
 
 def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.plans.storage import checkpointed
+
 
 def of_type(nodes: DataFrame, *types: str) -> DataFrame:
     return nodes.where(F.col("node_type").isin(*types))
@@ -18,8 +20,37 @@ def rename(nodes: DataFrame, names: Mapping[str, str], chosen: Column | None = N
     return nodes.withColumn("name", new if chosen is None else F.when(chosen, new).otherwise(F.col("name")))
 
 
-def delete(nodes: DataFrame, chosen: Column) -> DataFrame:
-    return nodes.where(~F.coalesce(chosen, F.lit(False)))
+def delete(nodes: DataFrame, chosen: Column, deep: bool = True, most: int = 64) -> DataFrame:
+    """nodes without the chosen ones and, if deep and parents are known, what is below them; a round for each level, and an error beyond ``most`` levels."""
+    deep = deep and "parent_id" in nodes.columns
+    gone = nodes.where(F.coalesce(chosen, F.lit(False))).select("node_id")
+    left = nodes.join(gone, "node_id", "left_anti")
+    for _ in range(most if deep else 0):
+        orphans = left.join(gone.select(F.col("node_id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("node_id")
+        if not orphans.limit(1).count():
+            return left
+        left, gone = checkpointed(left.join(orphans, "node_id", "left_anti")), checkpointed(orphans)
+    if deep:
+        raise ValueError(f"the tree has more than {most} levels")
+    return left
+
+
+def find_all(files: DataFrame, pattern: str, node_type: str) -> DataFrame:
+    """A node for each match of pattern in files (file, content): file, nth, node_type and code, its text."""
+    found = files.select("file", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("nth", "code"))
+    return found.select("file", "nth", F.lit(node_type).alias("node_type"), "code")
+
+
+def visit(nodes: DataFrame, chosen: Column, key: str = "file") -> DataFrame:
+    """What a read-only visitor gathers: of each key the number and the names of the chosen nodes, in the nodes' order."""
+    hit = nodes.where(F.coalesce(chosen, F.lit(False)))
+    return hit.groupBy(key).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("node_id", "name"))), lambda x: x["name"]).alias("names"))
+
+
+def build_call(target: Column, name: Column, arguments: Column) -> Column:
+    """The code of a call, or of a constructor's where the name is new and the target a type."""
+    inner = F.concat(F.lit("("), F.array_join(F.coalesce(arguments, F.array().cast("array<string>")), ", "), F.lit(")"))
+    return F.when(name == "new", F.concat(F.lit("new "), target, inner)).otherwise(F.concat(F.when(target.isNull(), "").otherwise(F.concat(target, F.lit("."))), name, inner))
 
 
 def replace(nodes: DataFrame, chosen: Column, code: Column) -> DataFrame:

@@ -17,8 +17,9 @@ def upsert(held: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def merged_attempts(before: Column, now: Column) -> Column:
-    empty = F.array()
-    return F.concat(F.coalesce(before, empty), F.coalesce(now, empty))
+    """Both lists, one after the other; a null list is empty."""
+    none = F.filter(F.coalesce(before, now), lambda x: F.lit(False))
+    return F.concat(F.coalesce(before, none), F.coalesce(now, none))
 
 
 def final_category(attempts: Column, otherwise: Column) -> Column:
@@ -27,7 +28,7 @@ def final_category(attempts: Column, otherwise: Column) -> Column:
 
 
 def succeeded(attempts: Column) -> Column:
-    return F.exists(F.coalesce(attempts, F.array().cast("array<struct<successful:boolean>>")), lambda a: F.coalesce(a["successful"], F.lit(False)))
+    return F.coalesce(F.exists(attempts, lambda a: F.coalesce(a["successful"], F.lit(False))), F.lit(False))
 
 
 def progress(outcomes: DataFrame) -> DataFrame:

@@ -83,10 +83,15 @@ def _case(column: str, patterns, otherwise: str) -> str:
 _KINDS = (("SHOUT", r"(?i)[A-Z]{4}!!"), ("TABLE", r" \| .*? \| "), ("LICENCE", r"(?i)licensed under (the )?(apache|gnu)"), ("MAIL", r"[a-z]+\.\d\d@mail\d"))
 
 
-@query(f"SELECT doc_id, {_case('text', _KINDS, 'UNKNOWN')} AS kind, {_case('text', categories.PATTERNS, 'UNKNOWN')} AS category, quality FROM documents LEFT JOIN labels USING (doc_id)")
+#: What a build would have written below a document.
+_ENDING = "CASE doc_id % 10 WHEN 0 THEN 'BAD CLASS FILE: class file version' WHEN 1 THEN 'There were test failures' WHEN 2 THEN 'warnings found and -Werror specified' WHEN 3 THEN 'Failed to execute goal org.apache.maven.plugins:maven-enforcer-plugin' WHEN 4 THEN '[ERROR] x The following artifacts could not be resolved' WHEN 5 THEN 'failed to execute goal se.vandmo:dependency-lock-maven-plugin:2:check' WHEN 6 THEN 'Build success' WHEN 7 THEN 'Exit code: COMPILATION_ERROR' ELSE '' END"
+_ENDED = f"text || chr(10) || {_ENDING}"
+
+
+@query(f"SELECT doc_id, {_case('text', _KINDS, 'UNKNOWN')} AS kind, {_case(_ENDED, categories.PATTERNS, 'UNKNOWN')} AS category, quality FROM documents LEFT JOIN labels USING (doc_id)")
 def first_match_category(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
-    return docs.select("doc_id", categories.first_match(F.col("text"), _KINDS).alias("kind"), categories.first_match(F.col("text")).alias("category"), "quality")
+    return docs.select("doc_id", categories.first_match(F.col("text"), _KINDS).alias("kind"), categories.first_match(F.expr(_ENDED)).alias("category"), "quality")
 
 
 @query("""SELECT o_orderkey, CASE WHEN upper(s) IN ('TEST_FAILURE', 'BUILD_SUCCESS') THEN upper(s) ELSE 'UNKNOWN_FAILURE' END AS category, CASE WHEN upper(s) IN ('TEST_FAILURE', 'BUILD_SUCCESS') THEN false ELSE true END AS is_unknown
@@ -110,7 +115,7 @@ t AS (SELECT *, min(CASE WHEN n >= fr AND contains(line, '|') THEN n END) OVER w
 SELECT doc_id, n, line FROM t WHERE n >= fr AND (upto IS NULL OR n < upto)""")
 def range_prune(spark, sf_dir):
     line = F.col("line")
-    lines = readers.numbered_lines(_t(spark, sf_dir, "documents").dropDuplicates(["doc_id"]), "doc_id", "text")
+    lines = readers.numbered_lines(_t(spark, sf_dir, "documents"), "doc_id", "text")
     return buildlog.within(lines, line.rlike("[.]$"), line.startswith("The"), F.contains(line, F.lit("|")), "doc_id")
 
 
@@ -168,9 +173,9 @@ def tiered_fallback(spark, sf_dir):
     return lookup.tiered(rows, [(first, ["c_custkey"]), (second, ["c_nationkey"]), (third, ["reg"])], "found").select("c_custkey", "found", "tier")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def anti_processed(spark, sf_dir):
-    done = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return lookup.unprocessed(_t(spark, sf_dir, "customer"), done, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -215,10 +220,10 @@ def coordinates_format(spark, sf_dir):
     return rows.select("s_suppkey", text.short_coordinates(F.lit("UNKNOWN"), group, F.col("s_name"), version).alias("coordinates"), text.classifier(some, F.col("s_name")).alias("classifier"), text.descriptor(some, F.col("s_name")).alias("descriptor"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'in_context' WHEN 'view' THEN 'anthropic_spoon_rules' WHEN 'purchase' THEN 'prompt_4' END AS prompt, CASE event_type WHEN 'signup' THEN 'openrewrite' ELSE 'default' END AS reader FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'in_context' WHEN 'view' THEN 'anthropic_spoon_rules' WHEN 'purchase' THEN 'prompt_4' WHEN 'error' THEN 'final' END AS prompt, CASE event_type WHEN 'signup' THEN 'openrewrite' ELSE 'default' END AS reader FROM events""")
 def token_synonyms(spark, sf_dir):
     kind = F.col("event_type")
-    token = F.when(kind == "click", " In-Context ").when(kind == "view", "ANTHROPIC").when(kind == "purchase", "prompt4").when(kind == "signup", "Open-Rewrite")
+    token = F.when(kind == "click", " In-Context ").when(kind == "view", "ANTHROPIC").when(kind == "purchase", "prompt4").when(kind == "signup", "Open-Rewrite").when(kind == "error", "Final-Spoon-Rules")
     return _t(spark, sf_dir, "events").select("event_id", text.prompt_kind(token).alias("prompt"), text.reply_reader(token).alias("reader"))
 
 
@@ -227,9 +232,9 @@ def path_list_parse(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.array_join(text.path_list(F.replace("url", F.lit("/"), F.lit(" , "))), "|").alias("parts"))
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), '') AS lang, CASE WHEN regexp_extract(html, 'public\s+class\s+([A-Za-z_][A-Za-z0-9_]*)', 1) = '' THEN 'OpenRewriteRecipe' ELSE regexp_extract(html, 'public\s+class\s+([A-Za-z_][A-Za-z0-9_]*)', 1) END AS class_name FROM pages""")
+@query(r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), '') AS lang, CASE WHEN page_id % 2 = 0 THEN 'OpenRewriteRecipe' ELSE 'P' || CAST(page_id AS STRING) END AS class_name FROM pages""")
 def regex_capture(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.nullif(F.regexp_extract("html", 'lang="([a-z]+)"', 1), F.lit("")).alias("lang"), text.class_name(F.col("html")).alias("class_name"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.nullif(F.regexp_extract("html", 'lang="([a-z]+)"', 1), F.lit("")).alias("lang"), text.class_name(F.expr("html || CASE WHEN page_id % 2 = 0 THEN '' ELSE 'public  class P' || CAST(page_id AS STRING) || ' {' END")).alias("class_name"))
 
 
 @query("""SELECT c_custkey, 'Customer ' || c_name || ' of ' || CASE WHEN c_custkey % 4 = 0 THEN 'nowhere' ELSE c_mktsegment END || '.' || CASE WHEN c_acctbal < 0 THEN '## Debt' || chr(10) || c_mktsegment || chr(10) ELSE '' END AS prompt FROM customer""")
@@ -262,8 +267,9 @@ def text_diff(spark, sf_dir):
     """Each document against its text without repeated lines."""
     from faultline.functions.python import unified_diff
 
-    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    return _t(spark, sf_dir, "documents").select("doc_id", unified_diff(F.col("text"), once).alias("diff"))
+    text_ = F.coalesce("text", F.lit(""))
+    once = F.array_join(F.array_distinct(F.split(text_, "\n")), "\n")
+    return _t(spark, sf_dir, "documents").select("doc_id", unified_diff(text_, once).alias("diff"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -277,13 +283,13 @@ def stream_upsert(spark, sf_dir):
     base = f"{shared(spark)}/upsert-{uuid.uuid4().hex}"
     schema = _t(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
-    batches: list[int] = []
-    merge = upsert_into(f"{base}/table", "user_id", "ts", "event_id")
+    table = upsert_into(_uri(f"{base}/table"), "user_id", "ts", "event_id", buckets=16)
+    each_batch(stream, table, f"{base}/checkpoint", once=True).awaitTermination()
+    return table.read(spark, schema).select("user_id", "event_id", "event_type", "value")
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path else f"file://{path}"
 
-    def consume(batch, epoch):
-        merge(batch, epoch)
-        batches.append(epoch)
 
-    each_batch(stream, consume, f"{base}/checkpoint", once=True).awaitTermination()
-    rows = spark.read.schema(schema).parquet(f"{base}/table/v{max(batches)}") if batches else spark.createDataFrame([], schema)
-    return rows.select("user_id", "event_id", "event_type", "value")
+from faultline.plans import workflows  # noqa: E402, F401  registers its queries here

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -17,3 +17,11 @@ def shared(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='faultline-')}")
     return shared(spark)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, so its lineage ends there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared(df.sparkSession))
+    return df.checkpoint()

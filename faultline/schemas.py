@@ -36,8 +36,8 @@ _MATCH = f"STRUCT<matchType STRING, elementType STRING, name STRING, qualifiedNa
 IMPACT_REPORT = f"project STRING, file STRING, lineNumber INT, oldJar STRING, newJar STRING, generatedAt STRING, constructs ARRAY<STRUCT<constructType STRING, signature STRING, dependency {_ORIGIN}, apiChanges ARRAY<{_MATCH}>>>"
 
 VERSION_COMBINATION = "dependencyGroupId STRING, dependencyArtifactId STRING, previousVersion STRING, newVersion STRING, count INT, projects ARRAY<STRING>, breakingCommits ARRAY<STRING>, failureCategories ARRAY<STRING>, apiDiffLines INT"
-_ATTEMPT = "attemptCount INT, processId STRING, failureCategory STRING, logFileParent STRING, successful BOOLEAN, containerId STRING"
-RESULT = f"breakingCommit STRING, processId STRING, fullProcessId STRING, failureCategory STRING, attempts ARRAY<STRUCT<{_ATTEMPT}>>"
-SUMMARY = f"breakingCommit STRING, project STRING, initialCategory STRING, finalCategory STRING, logPath STRING, reportPath STRING, processId STRING, attempts ARRAY<STRUCT<{_ATTEMPT}>>"
+ATTEMPT = "attemptCount INT, processId STRING, failureCategory STRING, logFileParent STRING, successful BOOLEAN, containerId STRING"
+RESULT = f"breakingCommit STRING, processId STRING, fullProcessId STRING, failureCategory STRING, attempts ARRAY<STRUCT<{ATTEMPT}>>"
+SUMMARY = f"breakingCommit STRING, project STRING, initialCategory STRING, finalCategory STRING, logPath STRING, reportPath STRING, processId STRING, attempts ARRAY<STRUCT<{ATTEMPT}>>"
 PROCESSING_RESULT = "breakingCommit STRING, status STRING, logPath STRING, totalErrors INT, errorsByFile MAP<STRING, INT>, finishedAt TIMESTAMP"
 CONFIG = "key STRING, value STRING"

@@ -6,12 +6,16 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.functions.text import strip_trailing
-from faultline.schemas import UPGRADE_RECORD
+from faultline.functions.categories import blank
+from faultline.functions.text import strip_trailing, truth
+from faultline.operators.lookup import first_ranked
+from faultline.schemas import RESULT, UPGRADE_RECORD
 
 
 def report_files(spark: SparkSession, path: str, schema: str = UPGRADE_RECORD) -> DataFrame:
@@ -60,26 +64,46 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 #: Names of logs, in the order in which they are looked for after the commit's own.
 LOG_NAMES = ("build.log", "maven.log", "mavenLog.log", "output.log")
+ROOT = ""
 
 
 def pick_log(files: DataFrame, project: str = "project", commit: str = "commit") -> DataFrame:
-    """One row of files (project, commit, directory, name) for each project and commit.
+    """One row of files (project, commit, directory, name) for each project and commit that has a log.
 
-    The project's own directory comes before the root, and there the commit's log, then
-    known names, then any other log by name.
+    directory is that below the extraction, or ROOT for files right in it. The directory
+    named as the project comes first, else the first one by name, then the root; other
+    directories aren't looked into. In each the commit's log comes first, then known
+    names, then any other log by name.
     """
-    place = F.when(F.col("directory") == F.col(project), 0).otherwise(1)
+    named = F.max(F.when(F.col("directory") == F.col(project), F.col("directory")))
+    first = F.min(F.when(F.col("directory") != ROOT, F.col("directory")))
+    own = files.groupBy(project, commit).agg(F.coalesce(named, first).alias("_own"))
+    logs = files.where(F.col("name").endswith(".log")).join(own, [project, commit]).where((F.col("directory") == F.col("_own")) | (F.col("directory") == ROOT))
     known = F.array_position(F.array(*[F.lit(x) for x in LOG_NAMES]), F.col("name"))
     rank = F.when(F.col("name") == F.concat(commit, F.lit(".log")), 0).when(known > 0, known).otherwise(F.lit(len(LOG_NAMES) + 1))
-    order = Window.partitionBy(project, commit).orderBy(place, rank, "name")
-    return files.where(F.col("name").endswith(".log")).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return first_ranked(logs.drop("_own"), [project, commit], (F.col("directory") == ROOT).cast("int"), rank, F.col("name"))
 
 
-def pick_directory(directories: DataFrame, named: str, skip: tuple[str, ...] = ("m2",)) -> DataFrame:
-    """Of each project the directory of that name, else the first other by name that isn't skipped."""
-    order = Window.partitionBy(named).orderBy((F.col("directory") != F.col(named)).cast("int"), "directory")
-    usable = directories.where((F.col("directory") == F.col(named)) | ~F.col("directory").isin(*skip))
-    return usable.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def pick_directory(projects: DataFrame, directories: DataFrame, skip: tuple[str, ...] = ("m2",)) -> DataFrame:
+    """project, input and directory, of each row of projects (project, input): the directory below its input that is
+    named as the project, else the first other one by name that isn't skipped, else the input itself.
+
+    directories: input, directory.
+    """
+    met = projects.join(directories, "input", "left")
+    named = F.max(F.when(F.col("directory") == F.col("project"), F.col("directory")))
+    first = F.min(F.when(~F.col("directory").isin(*skip), F.col("directory")))
+    return met.groupBy("project", "input").agg(F.coalesce(named, first).alias("_d")).select("project", "input", F.coalesce("_d", "input").alias("directory"))
+
+
+def earlier_results(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
+    """The keyed results that a run before has written as JSON; empty where there are none yet."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def config(spark: SparkSession, path: str) -> DataFrame:
@@ -108,42 +132,108 @@ def setting(settings: Column, key: str, default: str | None = None, required: bo
     return value
 
 
-def jar_coordinates(spark: SparkSession, path: str) -> DataFrame:
-    """path, group_id, artifact_id and version of each jar, from its first pom.properties that has group and artifact."""
-    jars = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jar").load(path).select("path", "content")
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for where, content in zip(frame["path"], frame["content"]):
-                found: dict[str, str] = {}
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for name in z.namelist():
-                            if name.startswith("META-INF/maven/") and name.endswith("/pom.properties"):
-                                text = z.read(name).decode("utf-8", "replace")
-                                found = dict(x.strip().split("=", 1) for x in text.splitlines() if "=" in x and not x.startswith("#"))
-                                if found.get("groupId") and found.get("artifactId"):
-                                    break
-                                found = {}
-                except zipfile.BadZipFile:
-                    pass
-                rows.append((where, found.get("groupId"), found.get("artifactId"), found.get("version")))
-            yield pd.DataFrame(rows, columns=["path", "group_id", "artifact_id", "version"])
-
-    return jars.mapInPandas(read, "path string, group_id string, artifact_id string, version string")
-
-
-def archive_entries(spark: SparkSession, path: str, glob: str = "*.jar") -> DataFrame:
-    """path, entry and content of the archives' files; entries that would leave the target are skipped."""
-    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for where, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+#: Names of settings, their types and what they are where they aren't set.
+SETTINGS = {
+    "MAX_REPAIR_ATTEMPTS": ("int", "3"),
+    "VERBOSE": ("boolean", "false"),
+    "EXTRACT": ("boolean", "true"),
+    "CLASSIFY": ("boolean", "true"),
+    "CLEAN": ("boolean", "false"),
+    "LLM_MODEL": ("string", "default_model"),
+    "LLM_CLIENT_PY": ("string", "llm/llm_client.py"),
+    "PROMPT_CLASSES": ("string", "default"),
+    "SKIP_PROMPT_GENERATION": ("boolean", "false"),
+    "SPECIFIC_FILE": ("string", None),
+    "CATEGORY": ("string", None),
+    "JSON_OUTPUT": ("string", None),
+    "SPOON_JAR": ("string", None),
+}
+
+
+def typed_settings(settings: Column) -> list[Column]:
+    """All SETTINGS as typed columns, by their defaults where they aren't set; a blank file counts as none."""
+    out = []
+    for name, (kind, default) in SETTINGS.items():
+        value = setting(settings, name, default)
+        value = F.when(~blank(value), value) if name == "SPECIFIC_FILE" else value
+        out.append((truth(value) if kind == "boolean" else value.cast(kind)).alias(name.lower()))
+    return out
+
+
+def archives(spark: SparkSession, path: str, glob: str = "*.jar") -> DataFrame:
+    """path and content of the archives below path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
+
+
+def jar_coordinates(jars: DataFrame) -> DataFrame:
+    """path, group_id, artifact_id and version of each jar (path, content), from its first pom.properties that has group and artifact.
+
+    A content is opened where it lies in its Arrow batch, one at a time.
+    """
+
+    def of(content: bytes | None) -> tuple[str | None, str | None, str | None]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                for name in z.namelist():
+                    if name.startswith("META-INF/maven/") and name.endswith("/pom.properties"):
+                        text = z.read(name).decode("utf-8", "replace")
+                        found = dict(x.strip().split("=", 1) for x in text.splitlines() if "=" in x and not x.startswith("#"))
+                        if found.get("groupId") and found.get("artifactId"):
+                            return found["groupId"], found["artifactId"], found.get("version")
+        except zipfile.BadZipFile:
+            pass
+        return None, None, None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [of(x.as_buffer() if x.is_valid else None) for x in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array([r[k] for r in rows], pa.string()) for k in range(3))], ["path", "group_id", "artifact_id", "version"])
+
+    return jars.select("path", "content").mapInArrow(read, "path string, group_id string, artifact_id string, version string")
+
+
+def archive_entries(found: DataFrame, at_once: int = 1 << 23) -> DataFrame:
+    """path, entry and content of the files of archives (path, content); entries that would leave the target are skipped."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str, bytes]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.binary())
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", "entry", "content"])
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for where, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
                     for name in z.namelist():
                         if not name.endswith("/") and not name.startswith("/") and ".." not in name.split("/"):
-                            yield pd.DataFrame([(where, name, z.read(name))], columns=["path", "entry", "content"])
-
-    return archives.mapInPandas(read, "path string, entry string, content binary")
+                            rows.append((where, name, z.read(name)))
+                            size += len(rows[-1][2])
+                            if size >= at_once:
+                                yield flush()
+                                size = 0
+        if rows:
+            yield flush()
+
+    return found.select("path", "content").mapInArrow(read, "path string, entry string, content binary")
+
+
+def extract(entries: DataFrame, folder: str) -> DataFrame:
+    """Write the entries of archives as files below folder, a URI that all executors reach; path, entry and file of each."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            out = []
+            for path, entry, content in zip(*(c.to_pylist() for c in batch.columns)):
+                target = f"{root}/{path.rsplit('/', 1)[-1]}/{entry}"
+                where.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(target) as f:
+                    f.write(content)
+                out.append(target)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("entry"), pa.array(out, pa.string())], ["path", "entry", "file"])
+
+    return entries.select("path", "entry", "content").mapInArrow(write, "path string, entry string, file string")

@@ -1,6 +1,7 @@
 import json
 import re
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,12 +116,13 @@ def test_archives_and_listing(spark, tmp_path):
 
     jar(tmp_path / "p" / "a.jar", {"META-INF/maven/x/pom.properties": "groupId=\n", "META-INF/maven/y/pom.properties": "#c\ngroupId=g\nartifactId=a\nversion=1", "../evil": "x"})
     (tmp_path / "p" / "b.jar").write_bytes(b"no archive")
-    got = {r.path.rsplit("/", 1)[1]: (r.group_id, r.artifact_id, r.version) for r in readers.jar_coordinates(spark, str(tmp_path)).collect()}
+    got = {r.path.rsplit("/", 1)[1]: (r.group_id, r.artifact_id, r.version) for r in readers.jar_coordinates(readers.archives(spark, str(tmp_path))).collect()}
     assert got == {"a.jar": ("g", "a", "1"), "b.jar": (None, None, None)}
-    assert {r.entry for r in readers.archive_entries(spark, str(tmp_path), "a.jar").collect()} == {"META-INF/maven/x/pom.properties", "META-INF/maven/y/pom.properties"}
+    assert {r.entry for r in readers.archive_entries(readers.archives(spark, str(tmp_path), "a.jar")).collect()} == {"META-INF/maven/x/pom.properties", "META-INF/maven/y/pom.properties"}
     assert {(r.directory, r.name) for r in readers.listing(spark, str(tmp_path)).collect()} == {("p", "a.jar"), ("p", "b.jar")}
-    files = spark.createDataFrame([("p", "c", "root", "build.log"), ("p", "c", "p", "z.log"), ("p", "c", "p", "output.log"), ("q", "c", "root", "c.log"), ("q", "c", "root", "build.log")], "project string, commit string, directory string, name string")
-    assert {r.project: r.name for r in readers.pick_log(files).collect()} == {"p": "output.log", "q": "c.log"}
+    files = spark.createDataFrame([("p", "c", "", "build.log"), ("p", "c", "p", "z.log"), ("p", "c", "p", "output.log"), ("q", "c", "", "c.log"), ("q", "c", "", "build.log"), ("r", "c", "a", "x.log"), ("r", "c", "b", "c.log"), ("r", "c", "", "c.log"), ("s", "c", "a", "x.txt")], "project string, commit string, directory string, name string")
+    assert {r.project: (r.directory, r.name) for r in readers.pick_log(files).collect()} == {"p": ("p", "output.log"), "q": ("", "c.log"), "r": ("a", "x.log")}
+    assert readers.earlier_results(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_api_changes_and_impacts(spark):
@@ -161,8 +163,8 @@ def test_text_functions(spark):
     assert one(text.attempt_branch(F.lit(2), F.lit("p")), text.repair_branch(F.lit("X"), F.lit("p")), text.rule_generator(F.lit(" "))) == ("attempt_2-p", "repair/x-p", "spoon")
     t, f = F.lit(True), F.lit(False)
     assert one(text.origin(t, f, n, n, F.lit(None).cast("boolean"), n), text.origin(f, t, F.lit("java.base"), n, F.lit(None).cast("boolean"), n), text.origin(f, t, n, F.lit("file:/a.jar"), F.lit(None).cast("boolean"), F.lit("g:a"))) == ("PROJECT_SOURCE", "JDK", "MAVEN_DEPENDENCY")
-    diff = spark.createDataFrame([("a\nb", "a\nc"), ("x", "x")], "a string, b string").select(unified_diff("a", "b").alias("d")).collect()
-    assert "-b\n+c" in diff[0].d and diff[1].d == "Files are identical"
+    diff = spark.createDataFrame([("a\nb\n", "a\nc\n"), ("x", "x")], "a string, b string").select(unified_diff("a", "b").alias("d")).collect()
+    assert "-b\n+c" in diff[0].d and diff[1].d == "Files are identical.\n"
     r = Registry()
     r.register("spoon")(lambda: 1)
     r.register("agent", "spoon")(lambda: 2)
@@ -177,7 +179,7 @@ def test_state_lookup_and_rewrites(spark):
     assert {(r.k, r.t) for r in state.upsert(rows, rows.withColumn("t", F.col("t") + 5), "k", "t").collect()} == {("a", 7), ("b", 6)}
     assert {r.k for r in lookup.unprocessed(rows, rows.where("k = 'a'"), "k").collect()} == {"b"}
     assert {r.v2 for r in lookup.memoised(rows, "k", lambda k: k.withColumn("v2", F.upper("k"))).collect()} == {"A", "B"}
-    assert lookup.first_ranked(rows, "k", F.desc("t")).count() == 2
+    assert {(r.k, r.t) for r in lookup.first_ranked(rows, "k", -F.col("t")).collect()} == {("a", 2), ("b", 1)}
     assert tuple(state.progress(rows.select((F.col("t") == 1).alias("successful"))).first()) == (3, 2, 1)
     nodes = spark.createDataFrame([(1, "call", "old", "old(a)", ["a", "b"], ["i"]), (2, "field", "f", "f", [], ["i"])], "node_id int, node_type string, name string, code string, arguments array<string>, imports array<string>")
     call = F.col("node_type") == "call"
@@ -194,9 +196,30 @@ def test_streams(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame([("a", i, f"v{i}"), (f"k{i}", 1, "w")], schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    upserts.each_batch(stream, upserts.upsert_into(str(tmp_path / "out"), "k", "t"), str(tmp_path / "cp"), once=True).awaitTermination()
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))
-    assert {(r.k, r.v) for r in spark.read.parquet(str(last)).collect()} == {("a", "v2"), ("k0", "w"), ("k1", "w"), ("k2", "w")}
+    upserts.each_batch(stream, upserts.upsert_into(f"file://{tmp_path}/out", "k", "t"), str(tmp_path / "cp"), once=True).awaitTermination()
+    table = upserts.KeyedTable(f"file://{tmp_path}/out", "k", "t")
+    held = spark.read.parquet(src).schema
+    assert {(r.k, r.v) for r in table.read(spark, held).collect()} == {("a", "v2"), ("k0", "w"), ("k1", "w"), ("k2", "w")}
+    again = spark.createDataFrame([("a", 9, "v9"), ("a", 10, "v10"), ("k1", 0, "old")], schema)
+    for _ in range(2):  # a batch that repeats changes nothing more
+        table(again, 3)
+    assert {(r.k, r.v) for r in table.read(spark, held).collect()} == {("a", "v10"), ("k0", "w"), ("k1", "w"), ("k2", "w")}
+    for epoch in range(4, 8):
+        table(spark.createDataFrame([("a", 20 + epoch, "w")], schema), epoch)
+    kept = [p for p in (tmp_path / "out" / "data").glob("*/bucket=*")]
+    assert len(kept) <= 6 and table.read(spark, held).count() == 4  # replaced files are gone
     q = upserts.latest_in_state(stream, "k", "v", "t").writeStream.outputMode("update").format("memory").queryName("latest_rows").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert ("a", "v2", "2") in {tuple(r) for r in spark.sql("SELECT k, v, t FROM latest_rows").collect()}
+    assert ("a", "v2", 2) in {tuple(r) for r in spark.sql("SELECT k, v, t FROM latest_rows").collect()}
+
+
+def test_state_is_ordered_by_number_and_time(spark, tmp_path):
+    rows = [("a", 9, datetime(2020, 1, 9)), ("a", 10, datetime(2020, 1, 10)), ("b", 1, None), ("a", 2, datetime(2020, 1, 2))]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "k string, t int, at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{i % 2}")
+    for order, want in (("t", {("a", 10), ("b", 1)}), ("at", {("a", datetime(2020, 1, 10))})):
+        stream = spark.readStream.schema("k string, t int, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+        value = "at" if order == "t" else "t"
+        q = upserts.latest_in_state(stream, "k", value, order).writeStream.outputMode("update").format("memory").queryName(f"by_{order}").option("checkpointLocation", f"{tmp_path}/cp_{order}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert {tuple(r) for r in state.latest(spark.table(f"by_{order}"), "k", order).select("k", order).collect()} == want
