@@ -1,18 +1,24 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of 12 or more letters, digits and +/_-; a word has as many as it
-has such runs, numbered from 0. The forest scores every one. It looks at its length,
-its character transitions and shares, how much of it a dictionary of fragments covers,
-at paths, and at what stands before it: the neighbouring words, and in its word the run
-and the characters before it. It is trained on labelled findings, a small table, and
-then written as one SQL expression, so a scan is a projection of one row and an explode
-of its candidates: DataFrame functions only, no shuffle and no join. Training evaluates
-the same SQL on the labelled findings and grows the trees on the driver.
+has such runs, numbered from 0, and none overlaps another. The forest scores every one.
+It looks at its length and shares of characters; at character transitions: changes
+between letters and digits, of case, runs of consonants, and pairs of letters that words
+don't have; at how much of it a dictionary covers, the commonest words of a text table
+and a list of fragments; at paths; and at what stands before it: the neighbouring words,
+and in its word the run and the characters before it. It is trained on labelled
+findings, a small table, and then written as one SQL expression, so a scan is a
+projection of one row and an explode of its candidates: DataFrame functions only. Training
+evaluates the same SQL on the labelled findings and grows the trees on the driver. The
+dictionary is counted over all words of the table, with partial sums before the shuffle;
+its ``most`` words are all that reaches the driver.
 
 Defined results: candidates of words with a digit are rows whatever their score, those
 of words without one (most long words of prose) are rows where they are secrets; null
-and empty texts have no findings, so no rows; a finding that repeats is a row each time; null doc_ids are kept; further columns are ignored; an
-empty table gives an empty result.
+and empty texts have no findings, so no rows; a very long text is cut into words whole,
+in its row; a finding that repeats is a row each time; equally common words are taken by
+their spelling; null doc_ids are kept; further columns are ignored whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ DICTIONARY = ("password", "secret", "version", "example", "python", "package", "
 
 _RUN = "[A-Za-z0-9+/_-]{12,}"
 _MARKED = "pass|pwd|secret|token|api.?key|auth|credential|private"
-_OTHER = "commit|sha|md5|hash|checksum|digest|uuid|guid|http|isbn|order|invoice|serial|version"
+_OTHER = "commit|sha|md5|hash|checksum|digest|integrity|base64|image/|uuid|guid|http|isbn|order|invoice|serial|version"
 
 #: Of a candidate c: what its word has before it (pre) and on both sides (around); by_* tell of the neighbouring words.
 FEATURES = {
@@ -39,15 +45,23 @@ FEATURES = {
     "digits": "length(regexp_replace(c, '[^0-9]+', '')) / greatest(length(c), 1)",
     "capitals": "length(regexp_replace(c, '[^A-Z]+', '')) / greatest(length(c), 1)",
     "transitions": "length(regexp_replace(regexp_replace(regexp_replace(c, '[0-9]+', '0'), '[a-z]+', 'a'), '[A-Z]+', 'A')) / greatest(length(c), 1)",
+    "mixed": "regexp_count(c, '[A-Za-z][0-9]|[0-9][A-Za-z]') / greatest(length(c), 1)",
+    "flips": "regexp_count(c, '[a-z][A-Z][A-Z]|[A-Z][a-z][A-Z]|[A-Z][A-Z][a-z][A-Z]') / greatest(length(c), 1)",
+    "consonants": "length(regexp_replace(regexp_replace(lower(c), '[bcdfghjklmnpqrstvwxz]{4,}', '    '), '[^ ]+', '')) / greatest(length(c), 1)",
+    "odd_pairs": "regexp_count(lower(c), 'q[^u]|[jqvxz][jqvxz]|[bcdfghjklmnpqrstvwxz][jqx]|[jx][bcdfghklmnpqrstvw]') / greatest(length(c), 1)",
     "vowels": "length(regexp_replace(lower(c), '[^aeiou]+', '')) / greatest(length(c), 1)",
     "hex": "CASE WHEN c RLIKE '^[0-9a-f]+$' THEN 1 ELSE 0 END",
     "dictionary": f"1 - length(regexp_replace(lower(c), '{'|'.join(DICTIONARY)}', '')) / greatest(length(c), 1)",
+    "known": "aggregate(split(lower(regexp_replace(c, '([a-z])([A-Z])', '$1 $2')), '[^a-z]+'), 0, (a, x) -> a + CASE WHEN x IN ({words}) THEN length(x) ELSE 0 END) / greatest(length(c), 1)",
     "path": "length(regexp_replace(around, '[^/.]+', ''))",
+    "rooted": "CASE WHEN around RLIKE '^[^A-Za-z0-9]*(~|[.]{0,2}/|[A-Za-z]:|(https?|ftp|file|s3):)?/[A-Za-z.]' THEN 1 ELSE 0 END",
+    "file": "CASE WHEN around RLIKE '[.](js|py|java|c|h|go|rs|html?|css|json|xml|ya?ml|md|txt|jar|png|jpe?g|gif|svg|zip|gz|so|dll|exe)[^A-Za-z0-9]*$' THEN 1 ELSE 0 END",
     "dashes": "length(regexp_replace(c, '[^-]+', ''))",
+    "uuid": "CASE WHEN c RLIKE '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$' THEN 1 ELSE 0 END",
     "marked": f"CASE WHEN by_marked OR pre RLIKE '{_MARKED}' THEN 1 ELSE 0 END",
     "assigned": "CASE WHEN by_assigned OR pre RLIKE '[=:]' THEN 1 ELSE 0 END",
     "other": f"CASE WHEN by_other OR pre RLIKE '{_OTHER}' THEN 1 ELSE 0 END",
-    "issued": "CASE WHEN c RLIKE '^(AKIA|ASIA|gh[pousr]_|sk_live_|xox[abp]-|AIza)' THEN 1 ELSE 0 END",
+    "issued": "CASE WHEN c RLIKE '^(AKIA|ASIA|gh[pousr]_|sk_live_|xox[abp]-|AIza|glpat-|npm_|eyJ[A-Za-z0-9])' THEN 1 ELSE 0 END",
 }
 
 
@@ -55,14 +69,15 @@ FEATURES = {
 KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth_token", "client_secret")
 
 
-def labelled_findings(n: int = 1500, seed: int = 31) -> list[tuple[str, str, str, str, bool]]:
+def labelled_findings(n: int = 1500, seed: int = 31, known: tuple[str, ...] = ()) -> list[tuple[str, str, str, str, bool]]:
     """(two words before, the word before, the word, the word after, is a secret)."""
     r = random.Random(seed)
     some = lambda letters, k: "".join(r.choices(letters, k=k))
     low, up, dig, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
     every = low + up + dig
     word = lambda: some(low, r.randint(2, 9))
-    fragment = lambda: r.choice(DICTIONARY)
+    common = known or DICTIONARY
+    fragment = lambda: r.choice(common if r.random() < 0.5 else DICTIONARY)
     secret = lambda: r.choice([some(hexa, r.choice([16, 18, 20, 32, 40, 64])), some(every, r.randint(16, 44)), some(every + "+/", r.choice([24, 32, 40]))])
     key = lambda: r.choice(KEYS)
     good = [
@@ -73,8 +88,16 @@ def labelled_findings(n: int = 1500, seed: int = 31) -> list[tuple[str, str, str
         lambda: (word(), f"{key()}:", f'"{secret()}"'),
         lambda: (key(), "=", f'"{secret()}"'),
         lambda: (key(), r.choice(["=", "is", ":"]), secret()),
+        lambda: (word(), word(), f"{r.choice(['postgres', 'mysql', 'amqp'])}://{word()}:{secret().replace('/', 'x')}@{word()}.com/{word()}"),
+        lambda: (word(), word(), f'{{"{key()}":"{secret()}"}}'),
+        lambda: (r.choice(["Authorization:", "bearer", word()]), "Bearer", "eyJ" + some(every, 33)),
     ]
     bad = [
+        lambda: (word(), '"integrity":', f'"sha512-{some(every + "+/", 86)}=="'),
+        lambda: (word(), word(), f"data:image/png;base64,iVBORw0KGgo{some(every + '+/', 60)}"),
+        lambda: (word(), word(), f"{fragment()}/{fragment()}/{fragment().capitalize()}{fragment().capitalize()}{some(dig, 1)}.{r.choice(['js', 'py', 'java'])}"),
+        lambda: (word(), word(), f"{fragment()}-{fragment()}-{some(dig, 1)}.{some(dig, 1)}.{some(dig, 2)}.jar"),
+        lambda: (word(), word(), fragment().upper() + "_" + fragment().upper() + "_" + some(dig, 2)),
         lambda: (word(), r.choice(["commit", "sha1", "md5:", "checksum", "digest"]), some(hexa, r.choice([32, 40, 64]))),
         lambda: (word(), word(), some(hexa, r.choice([32, 40]))),
         lambda: (word(), r.choice(["uuid", "id", word()]), "-".join(some(hexa, k) for k in (8, 4, 4, 4, 12))),
@@ -182,16 +205,24 @@ def _candidates(p2: str, p1: str, word: str, n1: str) -> str:
     return let("runs", f"regexp_extract_all({word}, '{_RUN}', 0)", let("gaps", f"split({word}, '{_RUN}')", let("before", f"lower(concat_ws(' ', {p2}, {p1}))", let("beside", beside, each))))
 
 
-def _with_features(found: DataFrame) -> DataFrame:
-    return found.withColumns({f"f_{k}": F.expr(f"cast({v} AS double)") for k, v in FEATURES.items()})
+def dictionary(table: DataFrame, most: int = 2000) -> tuple[str, ...]:
+    """The commonest words of 4 to 16 letters a to z, in any case, of all texts of a table (text)."""
+    words = F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")
+    found = table.select(F.explode(words).alias("w")).where("length(w) BETWEEN 4 AND 16").groupBy("w").agg(F.count("*").alias("n"))
+    return tuple(r["w"] for r in found.orderBy(F.desc("n"), "w").limit(most).collect())  # most rows at the most
 
 
-def forest(spark: SparkSession, findings: list[tuple[str, str, str, str, bool]], trees: int = 21, depth: int = 6, seed: int = 37) -> list[Tree]:
-    """Grown from findings and labelled_letters(). Of a labelled word every run has its label, but KEYS are none."""
+def _with_features(found: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    words = ", ".join(f"'{w}'" for w in (*known, *DICTIONARY))
+    return found.withColumns({f"f_{k}": F.expr(f"cast({v.replace('{words}', words)} AS double)") for k, v in FEATURES.items()})
+
+
+def forest(spark: SparkSession, findings: list[tuple[str, str, str, str, bool]], known: tuple[str, ...] = (), trees: int = 21, depth: int = 7, seed: int = 37) -> list[Tree]:
+    """Grown from findings and labelled_letters(). Of a labelled word every run has its label, but KEYS and words of the dictionary are none."""
     quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     values = ", ".join(f"({quoted(a)}, {quoted(b)}, {quoted(w)}, {quoted(n)}, {str(y).lower()})" for a, b, w, n, y in findings + labelled_letters())
     found = spark.sql(f"SELECT * FROM VALUES {values} AS t(p2, p1, word, n1, y)").select("y", F.explode(F.expr(_candidates("p2", "p1", "word", "n1"))).alias("x")).select("y", "x.*")
-    rows = _with_features(found.withColumn("y", F.col("y") & ~F.col("c").isin(*KEYS))).select(*[f"f_{k}" for k in FEATURES], "y").collect()
+    rows = _with_features(found.withColumn("y", F.col("y") & ~F.col("c").isin(*KEYS)), known).select(*[f"f_{k}" for k in FEATURES], "y").collect()
     x, y = np.array([r[:-1] for r in rows], float), np.array([r[-1] for r in rows], float)
     rng, out = np.random.default_rng(seed), []
     for _ in range(trees):
@@ -217,11 +248,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.explode(F.expr(_FOUND)).alias("f")).select("doc_id", "f.word_no", "f.x.*")
 
 
-def scan(docs: DataFrame, trees: list[Tree] | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, word_no and run_no (from 0), candidate, score and is_secret of each candidate listed."""
-    trees = trees or forest(docs.sparkSession, labelled_findings())
+def scan(docs: DataFrame, trees: list[Tree] | None = None, threshold: float = 0.5, known: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, word_no and run_no (from 0), candidate, score and is_secret of each candidate listed.
+
+    known: the dictionary, by default that of docs; trees, if given, are those grown with it.
+    """
+    known = dictionary(docs) if known is None else known
+    trees = trees or forest(docs.sparkSession, labelled_findings(known=known), known)
     score = f"({' + '.join(t.sql() for t in trees)}) / {len(trees)}"
-    out = _with_features(candidates(docs)).withColumn("score", F.expr(score))
+    out = _with_features(candidates(docs), known).withColumn("score", F.expr(score))
     # Always listed; not deterministic to the optimizer, which else moves the condition below the features and repeats them in it.
     listed = F.col("listed") | (F.spark_partition_id() < 0)
     out = out.select("doc_id", "word_no", "run_no", F.col("c").alias("candidate"), "score", (F.col("score") >= threshold).alias("is_secret"), listed.alias("listed"))
