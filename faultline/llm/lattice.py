@@ -300,7 +300,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, recall: float = 0.9
                         out[np.ix_(i, j)] = _close(_short(a.take(i)), _short(b.take(j)), reach(int(d), least))
                 return out & same
 
-            hot = dealt(many.select("group", *KEY, "id", "sketch", F.lit(1).alias("copies")), "group", block)
+            hot = dealt(many.select("group", *KEY, "id", "sketch", F.lit(1).alias("copies")), work, "hot", "group", block)
             edges = edges.unionByName(counted(hot, "group", alike).select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b"))
         edges = work.keep(edges.distinct(), "edges")
         groups = components(edges, work, "groups").withColumnRenamed("component", "group")
@@ -310,7 +310,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, recall: float = 0.9
             return x @ (x if a is b else _unit(b.column("vector").to_pylist(), width)).T >= least
 
         near = groups.join(classes.select("id", "vector", "copies"), "id")
-        near = dealt(near, "group", block, "octet_length(vector)", 1 << 23)
+        near = dealt(near, work, "near", "group", block, "octet_length(vector)", 1 << 23)
         links = summed(work.keep(counted(near, "group", cosine), "pairs"), work, "links")
         known = classes.drop("vector").join(links, "id", "left").where("copies > 1 OR links > 0")
         known = known.select("label", "f1", "f2", "vec_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))

@@ -98,7 +98,7 @@ def sorted_groups(df: DataFrame, keys: list[str], of: Callable[[pa.Table], pa.Ta
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: in_groups(batches, keys, of), schema)
 
 
-def dealt(members: DataFrame, group: str, rows: int, size: str = "0", most: int = 1 << 22, band: str = "0") -> DataFrame:
+def dealt(members: DataFrame, space: Workspace, name: str, group: str, rows: int, size: str = "0", most: int = 1 << 22, band: str = "0") -> DataFrame:
     """members with own, a block of their group, and others, all blocks that it has to meet, itself included.
 
     A block has about ``rows`` members and ``most`` of their sizes at the most. Members
@@ -110,8 +110,10 @@ def dealt(members: DataFrame, group: str, rows: int, size: str = "0", most: int
     beside = sizes.select(group, F.explode(F.array(*[F.col("_band") + d for d in (-1, 0, 1)])).alias("_to"), F.col("_band").alias("_at"), "_n")
     all_ = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda h: number(F.col("_at"), h))
     beside = beside.groupBy(group, "_to").agg(F.flatten(F.collect_list(all_)).alias("others"), F.max(F.when(F.col("_to") == F.col("_at"), F.col("_n"))).alias("_n")).withColumnRenamed("_to", "_band")
+    # Written, so that the join has nothing above its exchanges and a hot group's side can be split.
+    beside = space.keep(beside.where("_n IS NOT NULL"), f"{name}-blocks")
     own = number(F.col("_band"), F.pmod(F.xxhash64("id"), F.col("_n")))
-    return banded.join(beside.where("_n IS NOT NULL"), [group, "_band"]).select(*members.columns, own.alias("own"), "others")
+    return banded.join(beside, [group, "_band"]).select(*members.columns, own.alias("own"), "others")
 
 
 def counted(members: DataFrame, group: str, linked: Callable[[pa.Table, pa.Table], np.ndarray]) -> DataFrame:

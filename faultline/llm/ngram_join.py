@@ -165,7 +165,7 @@ def candidates(classes: DataFrame, space: Workspace, runs: int, least: int, smal
         second = f"CASE WHEN pmod(xxhash64(bucket, 3), 4) = 0 AND {c} != {d} THEN array({key(c)}, {key(d)}) ELSE array({key(c)}) END"
         if level + 1 < levels:
             rows = large.select("id", F.explode(F.expr(second)).alias("bucket"))
-    members = dealt(large.select("bucket", "id", "sketch", F.lit(1).alias("copies")), "bucket", 1024)
+    members = dealt(large.select("bucket", "id", "sketch", F.lit(1).alias("copies")), space, "rest", "bucket", 1024)
     everything = counted(members, "bucket", lambda a, b: _alike(_matrix(a), _matrix(b)) >= least)
     return edges.unionByName(space.keep(everything.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b"), "rest"))
 
@@ -228,7 +228,7 @@ def linked_classes(rows: DataFrame, space: Workspace, threshold: float, size: in
     groups = components(edges, space, "groups").withColumnRenamed("component", "group")
     near = groups.join(classes.select("id", "place.file", "place.at", "copies", "n"), "id")
     band = f"floor(ln(n) / {math.log(1 / threshold) * 1.0001!r})" if threshold < 1 else "n"
-    wanted = space.keep(dealt(near, "group", block, "8 * n", 1 << 22, band).drop("n"), "wanted")
+    wanted = space.keep(dealt(near, space, "groups", "group", block, "8 * n", 1 << 22, band).drop("n"), "wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
