@@ -1,22 +1,24 @@
 """Personal data: patterns, and a linear-chain conditional random field over word shapes.
 
 The field labels white-space words as email, ip, card, phone or none. Its features are
-the shapes of a word and of its neighbours (runs of equal character classes), the
-word's length and its number of digits. It is trained on a small labelled table of
-sentences, by gradients of the log-likelihood, and decoded by Viterbi over numpy
-batches of chains. A chain is a stretch of words near one that holds a digit, an @ or
-a +; words farther off can't be part of these kinds and are none.
+the shapes of a word and of its neighbours (runs of equal character classes; words that
+spell a digit, at or dot have shapes of their own), the word's length and its number of
+digits. It is trained on a small labelled table of sentences, by gradients of the
+log-likelihood, and decoded by Viterbi over numpy batches: every word of every text, in
+windows of words that overlap on either side, so long texts are as many rows of a batch.
 
-What the patterns find stays; the field adds spans that overlap none of them. Adjacent
-words of one label may be several items, such as a list with a number a line: what the
-patterns leave of them is parted so that plausible items cover most digits.
+What the patterns find stays; the field adds spans that overlap none of them: numbers
+written another way, and addresses and numbers that are spelled out. Adjacent words of
+one label may be several items, such as a list with a number a line: what the patterns
+leave of them is parted so that plausible items cover most digits.
 
 Every text is read whole, within its row: no shuffle, and memory is bounded by a
 batch of about 1 MB of text or one text.
 
-Defined results: a null text is empty and has no spans; rows that repeat get a row
-each; null doc_ids are kept; further columns are ignored by find() and kept by
-redact(); an empty table gives an empty result.
+Defined results: a null text is empty and has no spans; of equally likely labels of a
+word the first of none, email, ip, card and phone counts; rows that repeat get a row
+each; null doc_ids are kept; further columns are ignored by find() and kept by redact(),
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,7 +91,12 @@ def patterns(text: str) -> list[Span]:
 # --- the labelled table -------------------------------------------------------
 
 
-def labelled_table(sentences: int = 900, seed: int = 23) -> list[list[tuple[str, str]]]:
+#: Words that spell digits, and those that spell signs of addresses.
+NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "oh")
+SIGNS = {"at": "@", "[at]": "@", "(at)": "@", "dot": ".", "[dot]": ".", "(dot)": "."}
+
+
+def labelled_table(sentences: int = 1200, seed: int = 23) -> list[list[tuple[str, str]]]:
     """Sentences of (word, label): prose, personal data in several spellings, and numbers that are none."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choices("0123456789", k=n))
@@ -109,6 +116,19 @@ def labelled_table(sentences: int = 900, seed: int = 23) -> list[list[tuple[str,
         sep = r.choice([" ", "-"])
         return sep.join(digits(n) for n in parts).split(" ")
 
+    def spelled_email():
+        at, dot = r.choice([("at", "dot"), ("[at]", "[dot]"), ("(at)", "(dot)")])
+        return [name(), at, *f" {dot} ".join(name() for _ in range(r.randint(2, 3))).split()]
+
+    def spelled_phone():
+        return r.choices(NUMBERS[:10], k=r.randint(9, 12)) if r.random() < 0.5 else [digits(1) for _ in range(r.randint(9, 12))]
+
+    def spelled_ip():
+        return r.choice(["[.]", " . ", "(.)", " dot "]).join(str(r.randint(1, 255)) for _ in range(4)).split()
+
+    def loose():
+        return r.choice([["at"], ["dot"], [r.choice(NUMBERS)], [r.choice(NUMBERS), r.choice(NUMBERS)], [name(), "at", name()], [digits(1), digits(1)], ["."]])
+
     def phone():
         shape = r.choice(["+1 (ddd) 555-dddd", "(ddd) ddd-dddd", "+dd ddd ddddddd", "+d ddd-ddd-dddd", "ddd-ddd-dddd", "+dd.ddd.ddd.dddd"])
         return "".join(digits(1) if c == "d" else c for c in shape).split(" ")
@@ -120,7 +140,7 @@ def labelled_table(sentences: int = 900, seed: int = 23) -> list[list[tuple[str,
     for _ in range(sentences):
         row = prose(r.randint(1, 5))
         for _ in range(r.randint(0, 2)):
-            kind, make = r.choice([("email", email), ("ip", ip), ("card", card), ("phone", phone), ("none", number), ("none", number), ("none", number)])
+            kind, make = r.choice([("email", email), ("ip", ip), ("card", card), ("phone", phone), ("email", spelled_email), ("phone", spelled_phone), ("ip", spelled_ip), ("none", loose), ("none", loose), ("none", number), ("none", number), ("none", number)])
             got = make()
             got[-1] += r.choice(["", "", "", ".", ","])
             row += [(w, kind) for w in got] + prose(r.randint(1, 4))
@@ -137,7 +157,20 @@ _CLASS[48:58] = 3
 for _k, _c in enumerate("@.-()+", 4):
     _CLASS[ord(_c)] = _k if _k < 9 else 10
 _CLASS[words.SPACE] = 0
-_FAR = 3
+#: Words of a window, and those on either side of it that are decoded with it.
+_WINDOW, _BESIDE = 48, 16
+
+
+def _spelled() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words with shapes of their own, sorted, and those shapes."""
+    known = {**dict.fromkeys(NUMBERS, 1), **{k: 2 if v == "@" else 3 for k, v in SIGNS.items()}}
+    data, bounds = words.flat(pa.array([" ".join(known)]))
+    h = words.hashes(data, *words.words(data, bounds))
+    order = np.argsort(h)
+    return h[order], np.array(list(known.values()), np.uint64)[order]
+
+
+_SPELLED, _SPELLED_AS = _spelled()
 
 
 class Words:
@@ -156,27 +189,27 @@ class Words:
         count = lambda mask: (lambda c: c[self.ends] - c[self.starts])(np.concatenate([[0], np.cumsum(mask)]))
         self.digits = count(kind == 3)
         self.length = self.ends - self.starts
+        own = words.hashes(data, self.starts, self.ends)
+        at = np.minimum(np.searchsorted(_SPELLED, own), len(_SPELLED) - 1)
+        spelled = _SPELLED[at] == own
+        self.shape[spelled] = _SPELLED_AS[at[spelled]]
         self.sign = (self.digits + count((kind == 4) | (kind == 10))) > 0
         self.doc = np.searchsorted(bounds, self.starts, "right") - 1
 
 
-def chains(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First and last (exclusive) word of each stretch of words within _FAR words of a sign, within a text."""
+def windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of a text's words the first and last (exclusive) that are decoded, and those whose labels count."""
     n = len(w.starts)
-    if not n or not w.sign.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    mark = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(w.sign)
-    first = np.searchsorted(w.doc, w.doc[at])
-    last = np.searchsorted(w.doc, w.doc[at], "right")
-    np.add.at(mark, np.maximum(at - _FAR, first), 1)
-    np.add.at(mark, np.minimum(at + _FAR + 1, last), -1)
-    near = np.cumsum(mark)[:-1] > 0
-    new = near.copy()
-    new[1:] &= ~near[:-1] | (w.doc[1:] != w.doc[:-1])
-    end = near.copy()
-    end[:-1] &= ~near[1:] | (w.doc[1:] != w.doc[:-1])
-    return np.flatnonzero(new), np.flatnonzero(end) + 1
+    if not n:
+        return (np.zeros(0, np.int64),) * 4
+    begin = np.flatnonzero(np.append(True, w.doc[1:] != w.doc[:-1]))
+    end = np.append(begin[1:], n)
+    each = -(-(end - begin) // _WINDOW)
+    nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    begin, end = np.repeat(begin, each), np.repeat(end, each)
+    core = begin + nth * _WINDOW
+    core_end = np.minimum(core + _WINDOW, end)
+    return np.maximum(core - _BESIDE, begin), np.minimum(core_end + _BESIDE, end), core, core_end
 
 
 class Field:
@@ -235,31 +268,35 @@ class Field:
                 v[k] = 0.999 * v[k] + 0.001 * grad**2
                 x -= rate * (m[k] / (1 - 0.9**r)) / (np.sqrt(v[k] / (1 - 0.999**r)) + 1e-8)
 
-    def decode(self, w: Words, first: np.ndarray, last: np.ndarray, batch: int = 4096) -> np.ndarray:
-        """The likeliest label of each word; words outside the chains get 0."""
+    def decode(self, w: Words, first: np.ndarray, last: np.ndarray, core: np.ndarray | None = None, core_end: np.ndarray | None = None, batch: int = 2048) -> np.ndarray:
+        """The likeliest label of each word in the chains from first to last; of those from core to core_end, if given, they are kept."""
+        core, core_end = (first, last) if core is None else (core, core_end)
         out = np.zeros(len(w.starts), np.int8)
         order = np.argsort(last - first, kind="stable")
         index = self.index(w)
         for at in range(0, len(order), batch):
-            f, e = first[order[at : at + batch]], last[order[at : at + batch]]
+            pick = order[at : at + batch]
+            f, e, c, d = first[pick], last[pick], core[pick], core_end[pick]
             longest = int((e - f).max())
-            score, back = None, []
-            for t in range(longest):
+            back = np.zeros((longest, len(f), self.n_labels), np.int8)
+            score = self.emit[index[f]].sum(1) + self.edge[0]
+            for t in range(1, longest):
                 live = f + t < e
-                s = self.emit[index[np.where(live, f + t, 0)]].sum(1)
-                if t == 0:
-                    score = s + self.edge[0]
-                    continue
                 path = score[:, :, None] + self.step
                 best = path.argmax(1)
-                back.append(np.where(live[:, None], best, np.arange(self.n_labels)))
-                score = np.where(live[:, None], np.take_along_axis(path, best[:, None, :], 1)[:, 0] + s, score)
+                now = np.take_along_axis(path, best[:, None, :], 1)[:, 0] + self.emit[index[np.where(live, f + t, 0)]].sum(1)
+                if live.all():
+                    back[t], score = best, now
+                else:
+                    back[t] = np.where(live[:, None], best, np.arange(self.n_labels))
+                    score = np.where(live[:, None], now, score)
             label = (score + self.edge[1]).argmax(1)
+            row = np.arange(len(f))
             for t in range(longest - 1, -1, -1):
-                live = f + t < e
-                out[(f + t)[live]] = label[live]
+                kept = (f + t >= c) & (f + t < d)
+                out[(f + t)[kept]] = label[kept]
                 if t:
-                    label = back[t - 1][np.arange(len(f)), label]
+                    label = back[t][row, label]
         return out
 
 
@@ -267,8 +304,8 @@ def trained(table: list[list[tuple[str, str]]], rounds: int = 120) -> Field:
     w = Words(*words.flat(pa.array([" ".join(x for x, _ in row) for row in table])))
     y = np.array([(("none",) + KINDS).index(label) for row in table for _, label in row])
     field = Field(np.unique(w.shape))
-    first, last = chains(w)
-    field.train(field.index(w), y, first, last, rounds)
+    first = np.flatnonzero(np.append(True, w.doc[1:] != w.doc[:-1]))
+    field.train(field.index(w), y, first, np.append(first[1:], len(w.starts)), rounds)
     return field
 
 
@@ -282,12 +319,24 @@ def default_field() -> Field:
 _TRIM = ".,;:!?\"'<>[]{}*$%&#|"
 
 
+_NUMBER_WORD = re.compile(rf"(?i)\b({'|'.join(NUMBERS)})\b")
+_SPELLED_EMAIL = re.compile(r"(?i)[a-z0-9._%+-]+\s?[\[( ]\s?at\s?[\]) ]\s?[a-z0-9-]+(\s?([\[( ]\s?dot\s?[\]) ]|\.)\s?[a-z0-9-]+)+")
+_DOT = re.compile(r"(?i)\[\.\]|\(\.\)|\bdot\b|\.")
+
+
+def digits_of(text: str) -> int:
+    """Its digits, as such or as words."""
+    n = sum(map(text.count, "0123456789"))
+    return n if n == len(text) or text.lower() == text.upper() else n + len(_NUMBER_WORD.findall(text))
+
+
 def plausible(kind: str, text: str) -> bool:
-    n = sum(c in "0123456789" for c in text)
+    n = digits_of(text)
     if kind == "email":
-        return "@" in text[1:-1]
+        return "@" in text[1:-1] or _SPELLED_EMAIL.fullmatch(text) is not None
     if kind == "ip":
-        return text.count(".") == 3 and n >= 4
+        parts = [x.strip() for x in _DOT.split(text)]
+        return len(parts) == 4 and n >= 4 and all(x.isascii() and x.isdigit() and int(x) <= 255 for x in parts if len(x) < 5) and all(len(x) < 5 for x in parts)
     return 13 <= n <= 19 if kind == "card" else 9 <= n <= 15
 
 
@@ -302,8 +351,8 @@ def items(kind: str, text: str, pieces: list[tuple[int, int]]) -> list[tuple[int
         parts: list[tuple[int, int]] = []
         whole, signed = False, False  # of the last part: has a complete address, has an @
         for a, b in pieces:
-            at = "@" in text[a:b]
-            if not parts or (signed and (at or whole)):
+            at = "@" in text[a:b] or text[a:b].lower() in SIGNS and SIGNS[text[a:b].lower()] == "@"
+            if not parts or (signed and (at and "@" in text[a:b] or whole)):
                 parts.append((a, b))
                 whole = signed = False
             parts[-1] = (parts[-1][0], b)
@@ -313,7 +362,7 @@ def items(kind: str, text: str, pieces: list[tuple[int, int]]) -> list[tuple[int
         return [trimmed(text, a, b) for a, b in parts if plausible(kind, text[slice(*trimmed(text, a, b))])]
     n = len(pieces)
     most = {"ip": 12, "card": 19, "phone": 15}[kind]
-    digits = [sum(c in "0123456789" for c in text[a:b]) for a, b in pieces]
+    digits = [digits_of(text[a:b]) for a, b in pieces]
     opens = [text[a : a + 1] for a, _ in pieces]
     breaks = [0, *(any(c in "\r\n" for c in text[x[1] : y[0]]) for x, y in zip(pieces, pieces[1:]))]
     # Of the first i pieces: digits covered, what speaks against it, items, and the last item's first piece (or none).
@@ -379,11 +428,11 @@ def spans_of(column: pa.Array, field: Field) -> list[tuple[list[Span], list[Span
     """Of each text its base spans and those that the field adds; places in code points, ends exclusive."""
     data, bounds = words.flat(column)
     w = Words(data, bounds)
-    label = field.decode(w, *chains(w))
+    label = field.decode(w, *windows(w))
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     texts = column.to_pylist()
     signs = np.zeros(len(column), bool)
-    signs[w.doc[w.sign]] = True
+    signs[w.doc[w.sign]] = True  # all that a pattern finds has a digit, an @ or a +
     out: list[tuple[list[Span], list[Span]]] = [([], []) for _ in texts]
     for d in np.flatnonzero(signs).tolist():
         out[d] = (patterns(texts[d]), [])
