@@ -13,10 +13,15 @@ attempts that were committed; what a lost executor left behind is never read. A
 holds one frame at a time. Payload digests are counted before the shuffle; hot
 digests meet in a sort-merge join whose large partitions can be split.
 
+A bundle begins with a frame of its own that describes it. A record's id is unique in
+the archive, whatever the pages' ids; these are headers beside it, also that of the
+response which a revisit's digest names.
+
 Defined results: a null html is an empty payload; null ids stay null and are never
-referred to; rows that repeat the id of their response are responses too; control
-characters in a url are percent-encoded, a null url gets no header; further columns
-are ignored; an empty table gives an empty archive.
+referred to; rows that repeat the id of their response are responses too; a very long
+payload is a frame of its own, up to the 4 GB that a seek table can name, and an error
+beyond; control characters in a url are percent-encoded, a null url gets no header;
+further columns are ignored whatever their names; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -48,17 +55,28 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(record_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC record. A revisit has no block; the length of its payload is a header of its own."""
+def info(name: str, date: str) -> bytes:
+    """The record that a bundle begins with."""
+    block = b"format: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name.rsplit('/', 1)[-1]}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(record_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "1970-01-01T00:00:00Z", place: str = "") -> bytes:
+    """One WARC record. A revisit has no block; the length of its payload is a header of its own.
+
+    Its id is the page's, which may be null or repeat, and with place, that of the record in its archive, no other's.
+    """
     urn = lambda x: f"<urn:page:{'' if x is None else x}>"
     revisit = refers_to is not None
     block = b"" if revisit else _HTTP + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(record_id)}", f"WARC-Date: {date}"]
+    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place}/{record_id}')}>" if place else urn(record_id)
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}", f"X-Page-ID: {urn(record_id)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if ord(c) > 31 and ord(c) != 127 else f"%{ord(c):02X}" for c in url))
     head += [f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
-        head += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {_PROFILE}"]
+        head += [f"X-Refers-To-Page-ID: {urn(refers_to)}", f"WARC-Profile: {_PROFILE}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -82,7 +100,9 @@ class Bundle:
         self.at, self.entries = 0, []
 
     def frame(self, data: bytes) -> tuple[int, int, int]:
-        """The frame's number, place and size."""
+        """The frame's number, place and size; the seek table has 32 bits for a frame's length."""
+        if len(data) >= 1 << 32:
+            raise ValueError(f"a frame of {len(data)} bytes is too long for a seek table")
         packed = self.packer.compress(data)
         self.out.write(packed)
         self.entries.append((len(packed), len(data)))
@@ -132,8 +152,9 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 26) -> DataFrame:
-    """Write the archive below folder, a URI that all executors reach; the index, kept there as a table."""
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 26, date: str | None = None) -> DataFrame:
+    """Write the archive below folder, a URI that all executors reach; the index, kept there as a table. date: of all records, by default now."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = fs.FileSystem.from_uri(folder)
@@ -157,7 +178,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, frame_bytes: int
                 if bundle is None:
                     name = f"{folder}/bundles/{task.partitionId():06}-{task.taskAttemptId()}-{count}.warc.zst"
                     bundle, count = Bundle(where.open_output_stream(fs.FileSystem.from_uri(name)[1], compression=None)), count + 1
-                held.append((page, record(page, url, html.encode(), refers_to)))
+                    bundle.frame(info(name, date))
+                held.append((page, record(page, url, html.encode(), refers_to, date, f"{name}#{bundle.at}.{len(held)}")))
                 pending += len(held[-1][1])
                 if pending >= frame_bytes:
                     yield flush()
@@ -191,14 +213,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         data, at, rows = unpack.decompress(f.read(size)), 0, []
                         while at < len(data):
                             head, block, at = parse(data, at)
+                            if head["warc-type"] == "warcinfo":
+                                continue
                             n, digest = int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:")
                             if head["warc-type"] == "response":
                                 payload = block[block.index(b"\r\n\r\n") + 4 :]
                                 if (len(payload), base32_sha1(payload)) != (n, digest):
-                                    raise ValueError(f"{file} holds a damaged payload of {head['warc-record-id']}")
-                            rows.append((number(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], n, digest, number(head.get("warc-refers-to"))))
+                                    raise ValueError(f"{file} holds a damaged payload of {head['x-page-id']}")
+                            rows.append((number(head["x-page-id"]), head.get("warc-target-uri"), head["warc-type"], n, digest, number(head.get("x-refers-to-page-id"))))
                         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in RECORD.split(", ")])
+                        if rows:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in RECORD.split(", ")])
 
     files = index(spark, folder).select("file").distinct()
     return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(of, RECORD)

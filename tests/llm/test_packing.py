@@ -2,10 +2,12 @@ import random
 import zlib
 from array import array
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from faultline.llm import packing
+from faultline.llm import packing, tokens
 from faultline.llm.tokens import default_path
 
 SCHEMA = "doc_id long, text string, length string, task int"
@@ -76,3 +78,70 @@ def test_plan_against_best_fit_decreasing(seed):
         else:
             gaps.append(capacity - s)
     assert len(held) <= len(gaps) * 1.01 + 1
+
+
+def test_ids_when_hashes_clash(monkeypatch):
+    """Pieces are told apart though a poor hash gives eight values only."""
+    plain = tokens.hashes
+    monkeypatch.setattr(tokens, "hashes", lambda data, a, b: plain(data, a, b) & np.uint64(7))
+    monkeypatch.setattr(tokens, "_OPEN", {})
+    text = " ".join(random.Random(3).choices("alpha beta gamma delta, epsilon. zeta 12 eta; theta iota (kappa) lambda mu".split(), k=400))
+    got = tokens.tokenizer(default_path()).ids(pa.array([text, "beta alpha", None]))
+    model = Tokenizer.from_file(default_path())
+    assert [list(array("I", x)) for x in got] == [model.encode(t, add_special_tokens=False).ids for t in (text, "beta alpha", "")]
+
+
+def swept(counts, capacity, tasks):
+    """The rounds as sweeps over rows: documents and gaps range-sorted and cut into ranges, with carries between the ranges.
+
+    A sequence's rows, each a length, in the order in which they are placed.
+    """
+    left = sorted(s for s, n in counts.items() for _ in range(n))
+    placed = [[s] for s in reversed(left) if 2 * s > capacity]
+    left = [s for s in left if 2 * s <= capacity]
+    while left:
+        gaps = sorted((capacity - sum(x), k) for k, x in enumerate(placed) if sum(x) < capacity)
+        rows = sorted([(s, 0, i) for i, s in enumerate(left)] + [(g, 1, k) for g, k in gaps])
+        cut = -(-len(rows) // tasks)
+        carry, taken = [], {}
+        for at in range(0, len(rows), cut):  # each range is one task's; what waits there goes on to the next
+            waiting = carry
+            for size, kind, k in rows[at : at + cut]:
+                if kind == 0:
+                    waiting = [*waiting, k]
+                elif waiting:  # the longest that waits has the highest rank
+                    taken[k] = waiting[-1]
+                    waiting = waiting[:-1]
+            carry = waiting
+        if taken:
+            for k, i in taken.items():
+                placed[k].append(left[i])
+            gone = set(taken.values())
+            left = [s for i, s in enumerate(left) if i not in gone]
+        else:
+            n = -(-sum(left) // capacity)
+            placed += [[s] for s in reversed(left[-n:])]
+            left = left[:-n]
+    return placed
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 50])
+def test_runs_are_the_sweeps_over_rows(tasks):
+    """Where all lengths differ, moving runs of equal sizes is the sweep over rows, row for row; cuts into ranges change nothing."""
+    r = random.Random(11)
+    capacity = 4096
+    sizes = r.sample(range(1, capacity + 1), 700)
+    got = {}
+    for size, first, n, each, sequence, offset in packing.plan(dict.fromkeys(sizes, 1), capacity).tolist():
+        assert (first, n, each) == (0, 1, 1)
+        got.setdefault(sequence, []).append((offset, size))
+    ours = sorted([s for _, s in sorted(x)] for x in got.values())
+    assert ours == sorted(swept(dict.fromkeys(sizes, 1), capacity, tasks))
+
+
+def test_intervals_stay_few():
+    """Rounds and intervals don't grow with the number of documents: a hundred times as many give about as many."""
+    sizes = random.Random(5).choices(range(1, 4097), weights=[4097 - s for s in range(1, 4097)], k=20_000)
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    few, many = (len(packing.plan({s: n * k for s, n in counts.items()}, 4096)) for k in (1, 100))
+    assert few <= 8 * 4096 and many <= 2 * few

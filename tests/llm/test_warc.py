@@ -2,6 +2,9 @@ import base64
 import hashlib
 import io
 
+import pytest
+import zstandard
+
 from faultline.llm import warc
 from faultline.llm.shared import Workspace
 
@@ -33,11 +36,19 @@ def test_round_trip_and_random_access(spark):
         folder = Workspace(spark, "warc").path
         index = warc.write(df, folder, least_bytes=least, frame_bytes=frame, bundle_bytes=500)
         assert rows(warc.read(spark, folder)) == expected(PAGES, least)
-        entries = index.collect()
+        entries, seen = index.collect(), set()
         assert len(entries) == len(PAGES)
         for e in entries:
             head, block, end = warc.parse(warc.read_record(e.file, e.frame_at, e.frame_size, e.at, e.size))
-            assert end == e.size and head["warc-record-id"] == f"<urn:page:{'' if e.record_id is None else e.record_id}>"
+            assert end == e.size and head["x-page-id"] == f"<urn:page:{'' if e.record_id is None else e.record_id}>"
+            seen.add(head["warc-record-id"])
+        assert len(seen) == len(PAGES)  # though pages' ids repeat or are null
+        for name in {e.file for e in entries}:
+            with warc._open(name) as f:
+                place, size, _ = warc.seek_table(f)[0]
+                f.seek(place)
+                head, block, _ = warc.parse(zstandard.ZstdDecompressor().decompress(f.read(size)))
+            assert head["warc-type"] == "warcinfo" and head["warc-filename"] == name.rsplit("/", 1)[1] and b"WARC" in block
 
 
 def test_empty(spark):
@@ -54,8 +65,6 @@ def test_whole_table(spark, sf_dir):
 
 
 def test_frames_are_plain_zstandard():
-    import zstandard
-
     out = io.BytesIO()
     out.close = lambda: None
     b = warc.Bundle(out)
@@ -64,3 +73,12 @@ def test_frames_are_plain_zstandard():
     b.close()
     assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out.getvalue()), read_across_frames=True).read() == b"one" * 50 + b"two" * 50
     assert [x[2] for x in warc.seek_table(out)] == [150, 150]
+
+
+def test_frames_beyond_the_seek_table_are_refused():
+    class Long(bytes):
+        def __len__(self):
+            return 1 << 32
+
+    with pytest.raises(ValueError, match="too long"):
+        warc.Bundle(io.BytesIO()).frame(Long())
