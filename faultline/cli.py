@@ -1,12 +1,16 @@
-"""Command line: classify logs, compare API snapshots, report impacts, count version combinations.
+"""Command line: classify logs, compare API snapshots, report impacts, run over records, count version combinations.
 
     python -m faultline.cli classify LOG [-j OUT]
     python -m faultline.cli diff OLD NEW [OUT]
     python -m faultline.cli impact USAGES CLASSES [-o OUT] [--simple-names] [--dependency TEXT]
+    python -m faultline.cli report --project DIR --file FILE --line N --changes CLASSES --old JAR --new JAR [-o OUT]
+    python -m faultline.cli lines --project DIR [--file FILE] [--line N]
+    python -m faultline.cli run -i RECORDS -p PROJECTS -o OUT [-c CATEGORY] [-f NAME] [-j OUT] [--force] [-a N] [-t N] [--no-classify]
     python -m faultline.cli combinations RECORDS [-c CATEGORY] [-o OUT]
 
 Inputs are logs, or JSON with the schemas in faultline.schemas; snapshots are JSON rows
-with fullyQualifiedName and columns to compare. Exit: 1 for wrong arguments, 2 for a failure.
+with fullyQualifiedName and columns to compare. At most --rows rows are printed; files
+hold all. Exit: 1 for wrong arguments, 2 for a failure.
 """
 
 from __future__ import annotations
@@ -15,9 +19,11 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline import schemas
-from faultline.operators import apidiff, buildlog, combos, impact
+from faultline.operators import apidiff, buildlog, combos, constructs, impact
+from faultline.plans import batch
 from faultline.sources import readers, writers
 
 
@@ -29,6 +35,7 @@ class _Parser(argparse.ArgumentParser):
 
 def parser() -> argparse.ArgumentParser:
     out = _Parser(prog="faultline")
+    out.add_argument("--rows", type=int, default=1000)
     kinds = out.add_subparsers(dest="what", required=True, parser_class=_Parser)
     p = kinds.add_parser("classify")
     p.add_argument("log")
@@ -43,6 +50,26 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output")
     p.add_argument("--simple-names", action="store_true")
     p.add_argument("--dependency")
+    p = kinds.add_parser("report")
+    for name in ("project", "file", "changes", "old", "new"):
+        p.add_argument(f"--{name}", required=True)
+    p.add_argument("--line", type=int, required=True)
+    p.add_argument("-o", "--output")
+    p = kinds.add_parser("lines")
+    p.add_argument("--project", required=True)
+    p.add_argument("--file")
+    p.add_argument("--line", type=int)
+    p = kinds.add_parser("run")
+    p.add_argument("-i", "--input", required=True)
+    p.add_argument("-p", "--projects", required=True)
+    p.add_argument("-o", "--output", required=True)
+    p.add_argument("-c", "--category", type=_category)
+    p.add_argument("-f", "--file")
+    p.add_argument("-j", "--json-output")
+    p.add_argument("-a", "--attempts", type=_at_least_one, default=1)
+    p.add_argument("-t", "--threads", type=_at_least_one, default=4)
+    p.add_argument("--force", action="store_true")
+    p.add_argument("--no-classify", action="store_true")
     p = kinds.add_parser("combinations")
     p.add_argument("records")
     p.add_argument("-c", "--category")
@@ -50,14 +77,34 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def _show(rows: DataFrame, column: str | None = None) -> None:
-    for row in rows.toLocalIterator():
-        print(row[column] if column else row.asDict(recursive=True))
+def _category(name: str) -> str:
+    if name.upper() not in schemas.RECORD_CATEGORIES:
+        raise argparse.ArgumentTypeError(f"no failure category: {name}")
+    return name.upper()
+
+
+def _at_least_one(n: str) -> int:
+    if int(n) < 1:
+        raise argparse.ArgumentTypeError("must be >= 1")
+    return int(n)
+
+
+def _constructs(spark: SparkSession, project: str, file: str | None, line: int | None) -> DataFrame:
+    sources = readers.source_files(spark, project)
+    if file:
+        sources = sources.where(F.col("file").endswith(file))
+    found = constructs.scan(sources)
+    return found if line is None else found.where(F.col("lineNumber") == line)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("faultline").getOrCreate()
+
+    def _show(rows: DataFrame, column: str | None = None) -> None:
+        for row in rows.limit(a.rows).toLocalIterator():
+            print(row[column] if column else row.asDict(recursive=True))
+
     try:
         if a.what == "classify":
             found = buildlog.reports(readers.logs(spark, a.log))
@@ -75,6 +122,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             found = impact.impacts(usages, spark.read.schema(schemas.CLASS_CHANGE).json(a.classes), a.simple_names)
             writers.write_json(found, a.output)
             _show(found)
+        elif a.what == "report":
+            usages = _constructs(spark, a.project, a.file, None).withColumn("dependency", F.lit(None).cast(schemas.DEPENDENCY)).withColumn("file", F.lit(a.file))
+            asked = spark.createDataFrame([(a.project, a.file, a.line, a.old, a.new)], "project string, file string, lineNumber int, oldJar string, newJar string")
+            good, bad = impact.requests(asked)
+            for row in bad.collect():  # one at most
+                raise ValueError(row["reason"])
+            found = impact.reports(good, usages, spark.read.schema(schemas.CLASS_CHANGE).json(a.changes))
+            writers.write_json(found, a.output, pretty=True)
+            _show(found)
+        elif a.what == "lines":
+            _show(_constructs(spark, a.project, a.file, a.line))
+        elif a.what == "run":
+            if a.no_classify:
+                _show(readers.records(spark, f"{a.input}/{a.file}.json" if a.file else a.input))
+            else:
+                results, rejected = batch.run(spark, a.input, a.projects, a.output, a.category, a.file, a.force)
+                writers.write_json(results, a.json_output, pretty=True)
+                _show(results)
+                _show(rejected.select("breakingCommit", "reason"))
         else:
             found = combos.combinations(readers.records(spark, a.records), a.category)
             writers.write_json(found, a.output)

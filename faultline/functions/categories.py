@@ -20,12 +20,30 @@ PATTERNS = (
 )
 
 
+#: Lower-case texts of which any match of a pattern holds one, so that most texts are never searched by it.
+GUARDS = {
+    "JAVA_VERSION_FAILURE": ("class file",),
+    "TEST_FAILURE": ("tests run:", "test failures", "maven-surefire-plugin"),
+    "WERROR_FAILURE": ("-werror specified",),
+    "ENFORCER_FAILURE": ("maven-enforcer-plugin", "maven-hpi-plugin"),
+    "DEPENDENCY_RESOLUTION_FAILURE": ("could not resolve dependencies", "processing the poms", "artifacts could not be resolved"),
+    "DEPENDENCY_LOCK_FAILURE": ("dependency-lock-maven-plugin",),
+    "BUILD_SUCCESS": ("build success",),
+    "COMPILATION_FAILURE": ("compilation error", "takari-lifecycle-plugin", "compilation_error"),
+}
+
+
 def first_match(text: Column, patterns: tuple[tuple[str, str], ...] = PATTERNS, otherwise: str = "UNKNOWN") -> Column:
     """The name of the first pattern found in text; a CASE, so later ones aren't tried."""
     text = F.coalesce(text, F.lit(""))
-    out = None
+    low, out = F.lower(text), None
     for name, pattern in patterns:
         hit = text.rlike(pattern)
+        if patterns is PATTERNS:
+            some = F.lit(False)
+            for guard in GUARDS[name]:
+                some = some | F.contains(low, F.lit(guard))
+            hit = some & hit
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(otherwise)
 

@@ -31,6 +31,7 @@ CLASS_CHANGE = _CLASS
 COMPARISON_REPORT = f"oldJar STRING, newJar STRING, generatedAt STRING, summary STRUCT<totalClasses BIGINT, changedClasses BIGINT, changedMembers BIGINT>, classes ARRAY<STRUCT<{_CLASS}>>"
 
 _ORIGIN = "STRUCT<origin STRING, groupId STRING, artifactId STRING, version STRING, sourcePath STRING>"
+DEPENDENCY = _ORIGIN
 CONSTRUCT_USAGE = f"constructType STRING, signature STRING, dependency {_ORIGIN}, file STRING, lineNumber INT, codeLine STRING, fullyQualifiedName STRING, memberQualifiedName STRING"
 _MATCH = f"STRUCT<matchType STRING, elementType STRING, name STRING, qualifiedName STRING, qualifiedSignature STRING, {_STATUS}, compatibilityChanges ARRAY<STRUCT<type STRING, semanticVersionImpact STRING>>, changedMemberCount INT, signature {_CHANGE}, value {_CHANGE}, parameterTypes ARRAY<STRING>>"
 IMPACT_REPORT = f"project STRING, file STRING, lineNumber INT, oldJar STRING, newJar STRING, generatedAt STRING, constructs ARRAY<STRUCT<constructType STRING, signature STRING, dependency {_ORIGIN}, apiChanges ARRAY<{_MATCH}>>>"
@@ -39,5 +40,6 @@ VERSION_COMBINATION = "dependencyGroupId STRING, dependencyArtifactId STRING, pr
 ATTEMPT = "attemptCount INT, processId STRING, failureCategory STRING, logFileParent STRING, successful BOOLEAN, containerId STRING"
 RESULT = f"breakingCommit STRING, processId STRING, fullProcessId STRING, failureCategory STRING, attempts ARRAY<STRUCT<{ATTEMPT}>>"
 SUMMARY = f"breakingCommit STRING, project STRING, initialCategory STRING, finalCategory STRING, logPath STRING, reportPath STRING, processId STRING, attempts ARRAY<STRUCT<{ATTEMPT}>>"
-PROCESSING_RESULT = "breakingCommit STRING, status STRING, logPath STRING, totalErrors INT, errorsByFile MAP<STRING, INT>, finishedAt TIMESTAMP"
+#: A result of one record, as a run keeps it.
+PROCESSED = "project STRING, breakingCommit STRING, containerPath STRING, logPath STRING, failureCategory STRING, totalErrors INT, errorsByFile MAP<STRING, INT>, finishedAt TIMESTAMP"
 CONFIG = "key STRING, value STRING"

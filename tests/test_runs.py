@@ -4,10 +4,11 @@ import time
 import pytest
 
 from faultline import cli
-from faultline.plans import runner
+from faultline.plans import batch, runner
 
 
 def test_runner(spark):
+    assert spark.range(10).count() == 10  # the first job of a session takes longer
     seen = []
     jobs = [("a", lambda: spark.range(10).count()), ("b", lambda: 1 / 0), ("c", lambda: time.sleep(60))]
     got = {o.key: o for o in runner.run(spark, jobs, threads=3, limit=5, each=seen.append)}
@@ -40,3 +41,45 @@ def test_cli(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["diff"], spark)
     assert e.value.code == 1
+
+
+def test_batch_run(spark, tmp_path, capsys):
+    """Records to results: logs by their tiers, a filter, a record by itself, what was done before, and rejects."""
+    log = "[ERROR] A.java:[1,2] bad\nCOMPILATION ERROR"
+    for commit, where in (("c1", "p/build.log"), ("c2", "c2.log"), ("c3", "other/zz.log"), ("c5", "p/build.log")):
+        path = tmp_path / "projects" / commit / where
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(log)
+    (tmp_path / "projects" / "c1" / "build.log").write_text("BUILD SUCCESS")  # the root comes last
+    (tmp_path / "rec").mkdir()
+    for i in range(1, 6):
+        record = {"project": "p", "breakingCommit": f"c{i}", "breakingUpdateReproductionCommand": "run" if i != 5 else " ", "failureCategory": "TEST_FAILURE" if i == 2 else "COMPILATION_FAILURE"}
+        (tmp_path / "rec" / f"r{i}.json").write_text(json.dumps(record))
+    rec, projects, out = (str(tmp_path / x) for x in ("rec", "projects", "out"))
+    assert cli.main(["run", "-i", rec, "-p", projects, "-o", out, "-c", "test_failure"], spark) == 0
+    first = capsys.readouterr().out
+    assert "'c2'" in first and "'c1'" not in first
+    results, rejected = batch.run(spark, rec, projects, out, only="r1")
+    assert {(r.breakingCommit, r.failureCategory, r.totalErrors) for r in results.collect()} == {("c1", "COMPILATION_FAILURE", 1), ("c2", "COMPILATION_FAILURE", 1)}
+    results, rejected = batch.run(spark, rec, projects, out)
+    assert {r.breakingCommit: r.logPath.rsplit("/", 2)[-2:] for r in results.collect()} == {"c1": ["p", "build.log"], "c2": ["c2", "c2.log"], "c3": ["other", "zz.log"]}
+    assert {(r.breakingCommit, r.reason) for r in rejected.collect()} == {("c4", "no log"), ("c5", "no command")}
+    assert results.first().errorsByFile == {"A.java": 1} and results.where("finishedAt IS NULL").count() == 0
+    with pytest.raises(SystemExit):
+        cli.main(["run", "-i", rec, "-p", projects, "-o", out, "-c", "no such"], spark)
+
+
+def test_lines_and_reports(spark, tmp_path, capsys):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "App.java").write_text("import x.Helper;\nclass App {\n  int m() { return Helper.make(new Helper()); }\n}")
+    changes = {"fullyQualifiedName": "x.Helper", "elementType": "CLASS", "changeStatus": "MODIFIED", "detail": {"constructors": [], "methods": [{"memberType": "METHOD", "name": "make", "changeStatus": "REMOVED", "parameterTypes": ["x.Helper"]}], "fields": []}}
+    (tmp_path / "changes.json").write_text(json.dumps(changes))
+    assert cli.main(["lines", "--project", str(tmp_path / "src"), "--line", "1"], spark) == 0
+    assert "'signature': 'x.Helper'" in capsys.readouterr().out
+    asked = ["report", "--project", str(tmp_path / "src"), "--file", "App.java", "--changes", str(tmp_path / "changes.json"), "--old", "o.jar", "--new", "n.jar"]
+    assert cli.main([*asked, "--line", "3", "-o", str(tmp_path / "out")], spark) == 0
+    shown = capsys.readouterr().out
+    assert "x.Helper.make(x.Helper)" in shown and "'matchType': 'CLASS'" in shown and "generatedAt" in shown
+    (part,) = (tmp_path / "out").glob("part-*")
+    assert json.loads(part.read_text())["constructs"]
+    assert cli.main([*asked, "--line", "0"], spark) == 2
