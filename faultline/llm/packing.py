@@ -6,19 +6,25 @@ the successor, the smallest gap that is large enough; where more documents than
 meet, ranks decide. Then gaps are updated, and the next round begins. When a sweep
 places nothing, as many sequences are opened as what is left needs at least.
 
-Lengths are integers up to the capacity, so the two sorted sides are at most
-``2 * capacity`` runs of equal sizes at any number of documents. A round moves rank
-intervals of runs; rows are ranked and placed once, on the executors:
+Lengths are integers up to the capacity, so the sorted documents are at most ``capacity``
+runs of equal lengths at any number of documents, and gaps are runs of sequences that
+were filled alike. The sweep over rows is worked out on these runs: which gap a row gets
+follows from its rank within its length, so a round moves intervals of ranks, and rows
+are ranked and placed once, on the executors:
 
 * a task that cuts texts into pieces also numbers its pieces within each length;
 * counts by (task, length) give each task its first rank; the table joined back is
   that of counts, and a length that a third of all rows have stays spread over tasks;
-* a piece finds its interval by binary search in the list of intervals. It is the
-  only thing that is broadcast, and holds at most ``2 * capacity`` entries a round.
-
-Defined results: a null text is empty; an empty text is the closing id alone; rows
-that repeat are packed each; an empty table gives an empty result; further columns
-of the input are ignored; null doc_ids are kept.
+* a piece finds its interval by binary search in the list of intervals, the only thing
+  that is broadcast. Its length depends on the lengths that occur and on the rounds, not
+  on the number of documents: the README has figures, and tests hold it against sweeps
+  over rows with carries between ranges.
+
+Defined results: a null text is empty; an empty text is the closing id alone; a very
+long text is cut by one task, its ids held whole; of pieces of one length those of
+earlier tasks have the lower ranks, and of equal gaps the sequence opened first is
+filled first; rows that repeat are packed each; null doc_ids are kept; further columns
+are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
