@@ -207,14 +207,12 @@ def rejected_requests(spark, sf_dir):
     return bad.select("file", "lineNumber", F.when(F.col("oldJar").isNull(), "no oldJar").otherwise(F.col("reason")).alias("reason"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT p_name, p_brand, p_type, p_size, p_partkey % 50, p_partkey % 3 = 0, p_partkey % 3 = 1, p_partkey % 7 = 1, p_partkey % 4 <> 0, p_partkey % 5 <> 0, p_partkey % 2 = 0 FROM part)")
+@query(_C + """ SELECT count(*) AS n FROM (SELECT DISTINCT p_partkey % 3 = 1, p.p_name, file, line, fqn, member, p_partkey % 4 <> 0, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END,
+  CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 5 <> 0 THEN p_type END, p_partkey % 4 <> 0 AND p_partkey % 2 = 0 FROM usages u JOIN part p USING (p_partkey))""")
 def distinct_usages(spark, sf_dir):
+    """Usages that differ in more than the white space around their lines."""
     rows = _usages(spark, sf_dir)
-    again = rows.withColumn("codeLine", F.trim("codeLine"))
-    keyed = rows.unionByName(again).withColumn("dependency", F.struct("dependency.*", F.col("p_partkey") % 4, F.col("p_partkey") % 5, F.col("p_partkey") % 2, F.split("signature", " ")))
-    keyed = keyed.withColumn("memberQualifiedName", F.concat_ws("|", F.coalesce("memberQualifiedName", F.lit("")), F.col("p_partkey") % 3, F.col("p_partkey") % 7 == 1)).join(_t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey")
-    keyed = keyed.withColumn("fullyQualifiedName", F.concat_ws("|", "p_brand", "p_type", F.coalesce("fullyQualifiedName", F.lit("")))).withColumn("constructType", F.lit("IMPORT"))
-    return impact.distinct_usages(keyed).agg(F.count("*").alias("n"))
+    return impact.distinct_usages(rows.unionByName(rows.withColumn("codeLine", F.trim("codeLine")))).agg(F.count("*").alias("n"))
 
 
 # --- records, results and state -------------------------------------------------
@@ -288,14 +286,14 @@ def registry_lookup(spark, sf_dir):
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def stream_state(spark, sf_dir):
     """The latest event of each user, held in a stream's state by number, not by text."""
-    from faultline.streaming.upserts import latest_in_state
+    from faultline.streaming.upserts import KeyedTable, each_batch, latest_in_state
 
-    base, name = f"{shared(spark)}/state-{uuid.uuid4().hex}", f"held_{uuid.uuid4().hex}"
-    schema = _t(spark, sf_dir, "events").schema
+    base, schema = f"{shared(spark)}/state-{uuid.uuid4().hex}", _t(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     found = latest_in_state(stream, "user_id", "event_type", "event_id")
-    found.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
-    return state.latest(spark.table(name), "user_id", "event_id").select("user_id", "event_id", "event_type")
+    table = KeyedTable(_uri(f"{base}/table"), "user_id", "event_id", buckets=16)
+    each_batch(found, table, f"{base}/checkpoint", once=True, mode="update").awaitTermination()
+    return table.read(spark, found.schema).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT window_start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type FROM events) GROUP BY ALL")
@@ -377,6 +375,30 @@ def artifact_folders(spark, sf_dir):
     return spark.read.parquet(path).select("artifact_kind", "name", "content")
 
 
+@query(f"""SELECT 'recipes' AS artifact_kind, CAST(n_nationkey AS STRING) AS name, 'package a;' || chr(10) || 'public class R' || CAST(n_nationkey AS STRING) || ' extends Recipe {{ }}' AS content FROM nation
+  UNION ALL SELECT 'runs', CAST(n_nationkey AS STRING), '<activeRecipes><recipe>a.R' || CAST(n_nationkey AS STRING) || '</recipe></activeRecipes>' FROM nation""")
+def recipe_artifacts(spark, sf_dir):
+    """The recipes of replies and what runs them, kept in folders for their kinds, and read again."""
+    path = f"{shared(spark)}/recipes-{uuid.uuid4().hex}"
+    code = F.concat(F.lit("package a;\npublic class R"), "n_nationkey", F.lit(" extends Recipe { }"))
+    writers.write_recipes(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.concat(F.lit("Here:\n```java\n"), code, F.lit("\n```\n")).alias("reply")), path)
+    return spark.read.parquet(path).select("artifact_kind", F.col("name").cast("string").alias("name"), "content")
+
+
+_JAR = "'org/' || replace(lower(n_name), ' ', '') || '/a/' || CAST(n_regionkey AS STRING) || '/a-' || CAST(n_regionkey AS STRING) || '.jar'"
+
+
+@query(f"""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'm2/' || {_JAR} WHEN n_nationkey % 3 = 0 THEN 'central/' || {_JAR} WHEN n_nationkey % 5 = 0 THEN 'other/' || {_JAR} END AS jar,
+  CASE WHEN n_nationkey % 2 = 0 THEN 1 WHEN n_nationkey % 3 = 0 THEN 2 WHEN n_nationkey % 5 = 0 THEN 3 END AS tier FROM nation""")
+def jar_lookup(spark, sf_dir):
+    """The jar of each dependency in the first of three repositories that has it."""
+    nation = _t(spark, sf_dir, "nation")
+    version = F.col("n_regionkey").cast("string")
+    rows = nation.select("n_nationkey", text.artifact_path(F.concat(F.lit("org."), F.replace(F.lower("n_name"), F.lit(" "), F.lit(""))), F.lit("a"), version).alias("below"))
+    tiers = [(rows.where(F.col("n_nationkey") % d == 0).select("below", F.concat(F.lit(f"{root}/"), "below").alias("jar")), ["below"]) for root, d in (("m2", 2), ("central", 3), ("other", 5))]
+    return lookup.tiered(rows, tiers, "jar").select("n_nationkey", "jar", "tier")
+
+
 _CONFIG = "CASE n_nationkey % 6 WHEN 0 THEN '# ' || n_name WHEN 1 THEN '  ' WHEN 2 THEN ' ' || lower(n_name) || ' = ' || n_name || '=x' WHEN 3 THEN '=' || n_name WHEN 4 THEN n_name ELSE 'last= ' || n_name || ' ' END"
 
 

@@ -16,9 +16,9 @@ from pyspark.sql.types import StructField, StructType
 from faultline.operators.state import latest
 
 
-def each_batch(stream: DataFrame, consume: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+def each_batch(stream: DataFrame, consume: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, mode: str = "append") -> StreamingQuery:
     """Hand every micro-batch to consume."""
-    writer = stream.writeStream.foreachBatch(consume).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(consume).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

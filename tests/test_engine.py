@@ -92,6 +92,11 @@ def test_reports_combinations_and_sinks(spark, tmp_path):
     good, bad = state.validated(records)
     assert good.count() == 0 and {r.reason for r in bad.collect()} == {"no commit", "no command"}
     assert records.select(writers.as_json("project", "failureCategory").alias("j")).where("project = 'q'").first().j.count("null") == 0
+    assert [r.record.breakingCommit for r in readers.report_files(spark, str(tmp_path / "1.json")).collect()] == ["c2"]
+    assert {r.organisation for r in readers.records(spark, str(tmp_path), {"projectOrganisation": "organisation"}).collect()} == {None}
+    writers.write_json(records.select("project", "breakingCommit"), str(tmp_path / "pretty"), pretty=True)
+    shown = "".join(p.read_text() for p in sorted((tmp_path / "pretty").glob("part-*")))
+    assert '{\n  "project" : "p",\n  "breakingCommit" : "c1"\n}' in shown
     (tmp_path / "9.json").write_text("{broken")
     with pytest.raises(Exception):  # noqa: B017
         readers.records(spark, str(tmp_path)).collect()
@@ -165,6 +170,7 @@ def test_text_functions(spark):
     assert one(text.origin(t, f, n, n, F.lit(None).cast("boolean"), n), text.origin(f, t, F.lit("java.base"), n, F.lit(None).cast("boolean"), n), text.origin(f, t, n, F.lit("file:/a.jar"), F.lit(None).cast("boolean"), F.lit("g:a"))) == ("PROJECT_SOURCE", "JDK", "MAVEN_DEPENDENCY")
     diff = spark.createDataFrame([("a\nb\n", "a\nc\n"), ("x", "x")], "a string, b string").select(unified_diff("a", "b").alias("d")).collect()
     assert "-b\n+c" in diff[0].d and diff[1].d == "Files are identical.\n"
+    assert re.fullmatch("[0-9a-f]{8}", one(text.short_id())[0])
     r = Registry()
     r.register("spoon")(lambda: 1)
     r.register("agent", "spoon")(lambda: 2)
