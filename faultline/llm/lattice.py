@@ -276,7 +276,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, recall: float = 0.9
                         how, dimension = plan(unit.shape[1], n, least, recall), np.full(part.num_rows, unit.shape[1], np.int32)
                         short = pa.array([r.tobytes() for r in sketch(unit)], pa.binary())
                         met = np.concatenate([cells(unit, t, how.parts, how.scale, how.probes) for t in range(how.tables)], 1)
-                        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(dimension), pa.array(list(met), pa.list_(pa.int64())), short, pa.array(np.full(len(met), 1 + how.probes, np.int32))], ["id", "label", "dimension", "cells", "sketch", "each"])
+                        each = pa.array(np.full(len(met), 1 + how.probes, np.int32))
+                        out = [part.column("id"), part.column("label"), pa.array(dimension), pa.array(list(met), pa.list_(pa.int64())), short, each]
+                        yield pa.RecordBatch.from_arrays(out, ["id", "label", "dimension", "cells", "sketch", "each"])
 
         shorts = work.keep(classes.select("id", "label", "vector").mapInArrow(hashed, "id long, label string, dimension int, cells array<long>, sketch binary, each int"), "cells")
         met = shorts.select("id", "label", "dimension", "each", F.posexplode("cells").alias("nth", "cell"))

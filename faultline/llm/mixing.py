@@ -215,7 +215,8 @@ def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
             x, n = features(column(batch, "row.text"))
             p = posteriors(x, m.weights)
             best = pa.array([m.domains[i] for i in p.argmax(1)])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n.astype(np.int64)), best, pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rates(p, m.steps, m.least))], ["row", *(f.name for f in made)])
+            shares, rate = pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rates(p, m.steps, m.least))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n.astype(np.int64)), best, shares, rate], ["row", *(f.name for f in made)])
 
     return rows.mapInArrow(of, T.StructType([*rows.schema.fields, *made]))
 

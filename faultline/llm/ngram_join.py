@@ -150,7 +150,8 @@ def candidates(classes: DataFrame, space: Workspace, runs: int, least: int, smal
         rows = rows if level == 0 else space.keep(rows, f"rows-{level}")
         sizes = space.keep(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1"), f"sizes-{level}")
         live = rows.join(sizes, "bucket").withColumn("chunk", F.when(F.col("n") > chunk, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / chunk))).otherwise(0)).withColumn("extra", F.lit(False))
-        leads = sizes.where(F.col("n") > chunk).select("bucket", F.col("lead").alias("id"), "n", "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / chunk) - 1)).alias("chunk"), F.lit(True).alias("extra"))
+        chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / chunk) - 1)).alias("chunk")
+        leads = sizes.where(F.col("n") > chunk).select("bucket", F.col("lead").alias("id"), "n", "lead", chunks, F.lit(True).alias("extra"))
         cols = ["bucket", "chunk", "id", "n", "lead", "extra"]
         held = live.select(*cols).unionByName(leads.select(*cols)).join(classes.select("id", "sketch"), "id")
         found = space.keep(sorted_groups(held, ["bucket", "chunk"], near, "a long, b long, bucket long, near long"), f"near-{level}")
@@ -220,7 +221,12 @@ class Joined(NamedTuple):
 def linked_classes(rows: DataFrame, space: Workspace, threshold: float, size: int, recall: float, block: int) -> Joined:
     ratio = Fraction(threshold).limit_denominator(10_000)
     every = space.keep(sketches(rows, size), "sketches")
-    classes = every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("file", "at")).alias("place"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    classes = every.where("n > 0").groupBy("f1", "f2", "n").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.min(F.struct("file", "at")).alias("place"),
+        F.count("*").alias("copies"),
+        F.first("sketch").alias("sketch"),
+    )
     # Numbered as they are written, so every later reading finds the same numbers.
     classes = space.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     deviation = math.sqrt(COORDINATES * threshold * (1 - threshold))
@@ -249,7 +255,8 @@ def linked_classes(rows: DataFrame, space: Workspace, threshold: float, size: in
     pairs = space.keep(counted(members, "group", linked), "pairs")
     links = space.keep(summed(pairs, space, "links"), "summed")
     known = classes.drop("sketch", "place").join(links, "id", "left").where("copies > 1 OR links > 0")
-    return Joined(every.drop("sketch"), space.keep(known.select("f1", "f2", "n", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component")), "known"))
+    known = known.select("f1", "f2", "n", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
+    return Joined(every.drop("sketch"), space.keep(known, "known"))
 
 
 def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.995, block: int = 2048, space: Workspace | None = None) -> DataFrame:

@@ -66,7 +66,8 @@ def cut(docs: DataFrame, capacity: int, path: str, closing: int, with_ids: bool)
                     seen[n] += 1
                     if with_ids:
                         ids.append(part)
-            out = [pa.array(docs, pa.int64()), pa.array(nth, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(docs), pa.int32()), pa.array(place, pa.int64())]
+            out = [pa.array(docs, pa.int64()), pa.array(nth, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            out += [pa.array([task] * len(docs), pa.int32()), pa.array(place, pa.int64())]
             names = [x.split()[0] for x in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 

@@ -134,13 +134,34 @@ def labelled_table(sentences: int = 1200, seed: int = 23) -> list[list[tuple[str
         return "".join(digits(1) if c == "d" else c for c in shape).split(" ")
 
     def number():
-        return [r.choice([digits(r.randint(1, 6)), f"{digits(1)},{digits(3)}", f"${digits(2)}.{digits(2)}", f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{name()}{digits(2)}", f"{digits(2)}%", f"#{digits(3)}", f"({digits(1)})", f"+{digits(1)}", f"@{name()}", f"{digits(20)}{name()}", f"{digits(4)}-{digits(4)}", f"{name()}={digits(6)}{name()}{digits(4)}"])]
-
+        some = [
+            digits(r.randint(1, 6)),
+            f"{digits(1)},{digits(3)}",
+            f"${digits(2)}.{digits(2)}",
+            f"{digits(1)}.{digits(1)}",
+            f"{digits(1)}.{digits(1)}.{digits(1)}",
+            f"20{digits(2)}-{digits(2)}-{digits(2)}",
+            f"{digits(2)}:{digits(2)}",
+            f"{name()}{digits(2)}",
+            f"{digits(2)}%",
+            f"#{digits(3)}",
+            f"({digits(1)})",
+            f"+{digits(1)}",
+            f"@{name()}",
+            f"{digits(20)}{name()}",
+            f"{digits(4)}-{digits(4)}",
+            f"{name()}={digits(6)}{name()}{digits(4)}",
+        ]
+        return [r.choice(some)]
+
+    items = [("email", email), ("ip", ip), ("card", card), ("phone", phone)]
+    spelled = [("email", spelled_email), ("phone", spelled_phone), ("ip", spelled_ip)]
+    makers = [*items, *spelled, ("none", loose), ("none", loose), ("none", number), ("none", number), ("none", number)]
     out = []
     for _ in range(sentences):
         row = prose(r.randint(1, 5))
         for _ in range(r.randint(0, 2)):
-            kind, make = r.choice([("email", email), ("ip", ip), ("card", card), ("phone", phone), ("email", spelled_email), ("phone", spelled_phone), ("ip", spelled_ip), ("none", loose), ("none", loose), ("none", number), ("none", number), ("none", number)])
+            kind, make = r.choice(makers)
             got = make()
             got[-1] += r.choice(["", "", "", ".", ","])
             row += [(w, kind) for w in got] + prose(r.randint(1, 4))
@@ -469,7 +490,9 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             count = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found])
             spans = pa.array([joined(base + more) for base, more in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *count, digest, spans, pa.array([len(more) for _, more in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            added = pa.array([len(more) for _, more in found], pa.int64())
+            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *count, digest, spans, added], names)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(of, schema)

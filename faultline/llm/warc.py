@@ -58,7 +58,8 @@ def base32_sha1(payload: bytes) -> str:
 def info(name: str, date: str) -> bytes:
     """The record that a bundle begins with."""
     block = b"format: WARC File Format 1.1\r\n"
-    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name.rsplit('/', 1)[-1]}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}"]
+    head += [f"WARC-Filename: {name.rsplit('/', 1)[-1]}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
