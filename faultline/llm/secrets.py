@@ -118,6 +118,13 @@ def labelled_findings(n: int = 1500, seed: int = 31, known: tuple[str, ...] = ()
     return out
 
 
+#: Syllables of European words, also those that join consonants.
+CLUSTERS = (
+    "th he an er en es on at ou ei ie re st sh nd le ai as os de te ra heit keit para wh ti ou be ach und icht lich ein die pf"
+    " tz ck sch schl schr schw str spr ll rr ss tt ff zz ng nk nt ld rt rst chts tzt pft ngs ghts rld gth mpf ndsch zu zer zw kn kr kl fl gl br cht"
+).split()
+
+
 def labelled_letters(n: int = 1500, seed: int = 41) -> list[tuple[str, str, str, str, bool]]:
     """As labelled_findings, of words without a digit."""
     r = random.Random(seed)
@@ -125,7 +132,7 @@ def labelled_letters(n: int = 1500, seed: int = 41) -> list[tuple[str, str, str,
     some = lambda letters, k: "".join(r.choices(letters, k=k))
     word = lambda: some(low, r.randint(2, 9))
     near = lambda: r.choice([word(), word(), word(), *KEYS[:5], "token:", "="])
-    syllable = lambda: r.choice([*DICTIONARY, *"th he an er en es on at ou ei ie re st sh nd le ai as os de te ra heit keit para wh ti ou be ach und icht lich ein die pf".split()])
+    syllable = lambda: r.choice([*DICTIONARY, *CLUSTERS])
     long = lambda: (lambda s: s if len(s) > 11 else s + syllable() + "tion" + syllable() + "ation")("".join(syllable() for _ in range(r.randint(4, 8))))
     ended = lambda s: s + r.choice(["", "", "", ".", ",", ")", '"'])
     secret = lambda: some(low + up, r.randint(16, 44))
