@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import fim, lattice, licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, warc
+from faultline.llm import fim, lattice, licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, trie, warc
 from faultline.llm.shared import Workspace, table
 
 
@@ -67,6 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", "domain", *[F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(mix.domains)], "rate")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.of_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -91,5 +96,6 @@ ORACLE = {
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_embedding_near_dedup": lattice.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
     "op13_fill_in_middle": fim.ORACLE,
 }
