@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import fim, lattice, licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, trie, warc
+from faultline.llm import fim, fingerprint, lattice, licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, trie, warc
 from faultline.llm.shared import Workspace, table
 
 
@@ -67,6 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", "domain", *[F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(mix.domains)], "rate")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.of_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.of_conversations(table(spark, sf_dir, "conversations"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
