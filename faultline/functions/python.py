@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import difflib
 import re
-from bisect import bisect_left
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +15,72 @@ from pyspark.sql.types import StringType
 IDENTICAL = "Files are identical.\n"
 
 
-def matching(a: list[str], b: list[str], small: int = 1 << 20) -> list[tuple[int, int]]:
-    """Pairs of places of lines that stay, growing in both.
+def _masks(a: list[str], often: int = 64) -> Callable[[str], int]:
+    """Of a line the places in a where it is, as bits; masks of lines that are there often are kept, others made when asked."""
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    kept: dict[str, int] = {}
+
+    def of(line: str) -> int:
+        if line in kept:
+            return kept[line]
+        at = places.get(line)
+        if at is None:
+            return 0
+        bits = bytearray(len(a) // 8 + 1)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        mask = int.from_bytes(bits, "little")
+        if len(at) >= often:
+            kept[line] = mask
+        return mask
+
+    return of
+
+
+def _row(a: list[str], b: list[str]) -> np.ndarray:
+    """Of each i the length of the longest common subsequence of a[:i] and b, by rows of bits."""
+    n, mask = len(a), _masks(a)
+    full = (1 << n) - 1
+    v = full
+    for x in b:
+        u = v & mask(x)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _short(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence, read back from all rows of bits."""
+    mask, full = _masks(a), (1 << len(a)) - 1
+    v, rows = full, []
+    for x in b:
+        u = v & mask(x)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+        elif j > 1 and not rows[j - 2] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
 
-    Common ends are taken first, then lines that occur once in either, as the longest
-    run that grows in both; between those it begins anew. Where there are none, pieces
-    whose sides multiply to ``small`` at most are compared line by line, and larger ones
-    count as replaced. So the time is n log n and the memory n for texts of n lines.
+def matching(a: list[str], b: list[str], bits: int = 1 << 24) -> list[tuple[int, int]]:
+    """Pairs of places of lines that stay, growing in both: as many as can be, for texts of any size.
+
+    Rows of the table of common subsequences are held as bits, 64 lines a step. A table
+    of more than ``bits`` is halved where the best paths meet, so memory grows with the
+    lines alone; the result is as long either way.
     """
+    here, there = set(a), set(b)
+    x, y = [i for i, v in enumerate(a) if v in there], [j for j, v in enumerate(b) if v in here]
+    a, b = [a[i] for i in x], [b[j] for j in y]
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -35,48 +93,14 @@ def matching(a: list[str], b: list[str], small: int = 1 << 20) -> list[tuple[int
             out.append((m, n))
         if i == m or j == n:
             continue
-        once = lambda x, lo, hi: {v: k for v, k in _counts(x, lo, hi).items() if k >= 0}
-        there = once(b, j, n)
-        both = [(k, there[v]) for v, k in sorted(once(a, i, m).items(), key=lambda e: e[1]) if v in there]
-        if both:
-            at = (i, j)
-            for x, y in [*_growing(both), (m, n)]:
-                todo.append((at[0], x, at[1], y))
-                if x < m:
-                    out.append((x, y))
-                at = (x + 1, y + 1)
-        elif (m - i) * (n - j) <= small:
-            for block in difflib.SequenceMatcher(None, a[i:m], b[j:n], autojunk=False).get_matching_blocks():
-                out += [(i + block.a + k, j + block.b + k) for k in range(block.size)]
-    return sorted(out)
-
-
-def _counts(x: list[str], lo: int, hi: int) -> dict[str, int]:
-    """The place of each line that occurs once, -1 for others."""
-    out: dict[str, int] = {}
-    for k in range(lo, hi):
-        out[x[k]] = -1 if x[k] in out else k
-    return out
-
-
-def _growing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest part of pairs, sorted by their first, that grows in their second."""
-    ends: list[int] = []
-    last: list[int] = []
-    before = [-1] * len(pairs)
-    for k, (_, y) in enumerate(pairs):
-        at = bisect_left(ends, y)
-        before[k] = last[at - 1] if at else -1
-        if at == len(ends):
-            ends.append(y)
-            last.append(k)
-        else:
-            ends[at], last[at] = y, k
-    out, k = [], last[-1]
-    while k >= 0:
-        out.append(pairs[k])
-        k = before[k]
-    return out[::-1]
+        if (m - i) * (n - j) <= bits or n - j == 1:
+            out += [(i + p, j + q) for p, q in _short(a[i:m], b[j:n])]
+            continue
+        half = (j + n) // 2
+        met = _row(a[i:m], b[j:half]) + _row(a[i:m][::-1], b[half:n][::-1])[::-1]
+        k = i + int(met.argmax())
+        todo += [(i, k, j, half), (k, m, half, n)]
+    return sorted((x[i], y[j]) for i, j in out)
 
 
 def diff(old: str, new: str, context: int = 3) -> str:

@@ -179,6 +179,25 @@ def anti_processed(spark, sf_dir):
     return lookup.unprocessed(_t(spark, sf_dir, "customer"), done, "c_custkey").select("c_custkey", "c_name")
 
 
+@query(r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), l AS (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[1:-2] ELSE x END AS x, x[-1] = '' AS ended FROM d),
+  e AS (SELECT doc_id, len(x) AS n, ended, x, list_distinct(x) AS y FROM l), f AS (SELECT *, CASE WHEN ended OR n = 0 OR list_position(x, x[-1]) = n THEN 0 ELSE 1 END AS moved FROM e)
+  SELECT doc_id, n - len(y) + CASE WHEN n > len(y) THEN moved ELSE 0 END AS removed, CASE WHEN n > len(y) THEN moved ELSE 0 END AS added FROM f""")
+def diff_sizes(spark, sf_dir):
+    """How many lines the diff of each document against its text without repeated lines takes away and adds: no more than must be.
+
+    What ends a text without a line end differs from the same words within it.
+    """
+    from faultline.functions.python import unified_diff
+
+    text_ = F.coalesce("text", F.lit(""))
+    ended = text_.endswith("\n")
+    lines = F.split(F.when(ended, F.expr("substring(coalesce(text, ''), 1, length(text) - 1)")).otherwise(text_), "\n")
+    once = F.concat(F.array_join(F.array_distinct(lines), "\n"), F.when(ended, "\n").otherwise(""))
+    found = _t(spark, sf_dir, "documents").select("doc_id", F.filter(F.slice(F.split(unified_diff(text_, once), "\n"), 3, 1 << 30), lambda x: ~x.startswith("\\")).alias("x"))
+    marked = lambda m: F.size(F.filter("x", lambda x: x.startswith(m))).cast("long")
+    return found.select("doc_id", marked("-").alias("removed"), marked("+").alias("added"))
+
+
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_key(spark, sf_dir):
     return state.latest(_t(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")

@@ -1,3 +1,4 @@
+import random
 import re
 import time
 
@@ -53,6 +54,34 @@ def test_diffs_apply(a, b, ended):
     assert got == python.IDENTICAL if old == new else applied(old, got) == new
 
 
+def kept(a, b):
+    """The length of the longest common subsequence, by its plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+@given(st.lists(st.sampled_from("abcdxyz"), max_size=40), st.lists(st.sampled_from("abcdxyz"), max_size=40), st.sampled_from([1, 30, 1 << 24]))
+def test_diffs_are_minimal(a, b, bits):
+    got = python.matching(a, b, bits)
+    assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+    assert len(got) == kept(a, b)
+
+
+def test_diff_of_lines_that_all_repeat():
+    """Three edits in 1,500 lines of eight kinds change three lines, and in 60,000 lines as well."""
+    for n, seed in ((1500, 1), (60_000, 2)):
+        r = random.Random(seed)
+        old = [f"kind {r.randrange(8)}\n" for _ in range(n)]
+        new = [*old[:100], "added\n", *old[100 : n // 2], *old[n // 2 + 1 : n - 50], "other\n", *old[n - 50 :]]
+        marks = [x[0] for x in python.diff("".join(old), "".join(new)).split("\n")[2:] if x]
+        assert (marks.count("-"), marks.count("+")) == (1, 2)
+
+
 def test_diffs_of_tabs_and_long_texts():
     """Tabs differ from spaces, and a text of 50,000 lines takes seconds."""
     assert python.diff("a\tb\n", "a       b\n") != python.IDENTICAL
