@@ -92,7 +92,10 @@ def _at_least_one(n: str) -> int:
 def _constructs(spark: SparkSession, project: str, file: str | None, line: int | None) -> DataFrame:
     sources = readers.source_files(spark, project)
     if file:
-        sources = sources.where(F.col("file").endswith(file))
+        sources = sources.where(F.col("file").endswith("/" + file.lstrip("./")))
+        found = [r.file for r in sources.select("file").limit(9).collect()]
+        if len(found) > 1:
+            raise ValueError(f"several files are named {file}: {', '.join(sorted(found))}")
     found = constructs.scan(sources)
     return found if line is None else found.where(F.col("lineNumber") == line)
 
@@ -102,8 +105,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("faultline").getOrCreate()
 
     def _show(rows: DataFrame, column: str | None = None) -> None:
-        for row in rows.limit(a.rows).toLocalIterator():
-            print(row[column] if column else row.asDict(recursive=True))
+        n = 0
+        for row in rows.limit(a.rows + 1).toLocalIterator():
+            n += 1
+            if n <= a.rows:
+                print(row[column] if column else row.asDict(recursive=True))
+        if n > a.rows:
+            print(f"only the first {a.rows} rows are shown", file=sys.stderr)
 
     try:
         if a.what == "classify":

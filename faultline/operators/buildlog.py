@@ -99,13 +99,18 @@ def wanted(logs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def processed(records: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of upgrade records and the logs found for them (breakingCommit, logPath, content) the result of each, and what can't be run with a reason.
+    """Of upgrade records and the logs found for them (project, breakingCommit, logPath, content) the result of each, and what can't be run with a reason.
 
+    Logs without a project column are their commit's, whatever the project.
     A result has the record's project, commit and container path, the log's path, its
     category, errors in all and by file (null if none), and the time of the query.
     """
     good, bad = validated(records)
-    with_log = good.join(logs, "breakingCommit", "left")
+    if "project" in logs.columns:
+        own = logs.select(F.coalesce("project", F.lit("")).alias("_project"), F.col("breakingCommit").alias("_commit"), "logPath", "content")
+        with_log = good.join(own, (F.coalesce("project", F.lit("")) == F.col("_project")) & (F.col("breakingCommit") == F.col("_commit")), "left").drop("_project", "_commit")
+    else:
+        with_log = good.join(logs, "breakingCommit", "left")
     bad = bad.unionByName(with_log.where("logPath IS NULL").select(*good.columns, F.lit("no log").alias("reason")))
     found = reports(with_log.where("logPath IS NOT NULL").select(F.col("logPath").alias("log_id"), "content").dropDuplicates(["log_id"]))
     rows = with_log.where("logPath IS NOT NULL").drop("content").join(found, F.col("logPath") == F.col("originalFailurePath"))

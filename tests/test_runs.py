@@ -69,6 +69,73 @@ def test_batch_run(spark, tmp_path, capsys):
         cli.main(["run", "-i", rec, "-p", projects, "-o", out, "-c", "no such"], spark)
 
 
+def _record(folder, name, project, commit, **more):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{name}.json").write_text(json.dumps({"project": project, "breakingCommit": commit, "breakingUpdateReproductionCommand": "run", **more}))
+
+
+def _log(projects, commit, project, text):
+    path = projects / commit / project / "build.log"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+
+
+def test_projects_that_share_a_commit(spark, tmp_path):
+    """Each project gets its own log's result; a run over results of before keeps one a project and commit."""
+    rec, projects, out = tmp_path / "rec", tmp_path / "projects", str(tmp_path / "out")
+    for name, project, text in (("a", "left", "COMPILATION ERROR"), ("b", "right", "BUILD SUCCESS")):
+        _record(rec, name, project, "c1")
+        _log(projects, "c1", project, text)
+    for force in (False, False, True):
+        results, rejected = batch.run(spark, str(rec), str(projects), out, force=force)
+        assert sorted((r.project, r.breakingCommit, r.failureCategory, r.logPath.split("/")[-2]) for r in results.collect()) == [("left", "c1", "COMPILATION_FAILURE", "left"), ("right", "c1", "BUILD_SUCCESS", "right")]
+        assert rejected.count() == 0
+
+
+def test_records_that_repeat_or_clash(spark, tmp_path):
+    rec, projects = tmp_path / "rec", tmp_path / "projects"
+    _record(rec, "a", "p", "c1")
+    _record(rec, "b", "p", "c1")
+    _record(rec, "c", "p", "c2", failureCategory="TEST_FAILURE")
+    _record(rec, "d", "p", "c2", failureCategory="ENFORCER_FAILURE")
+    for c in ("c1", "c2"):
+        _log(projects, c, "p", "BUILD SUCCESS")
+    results, rejected = batch.run(spark, str(rec), str(projects), str(tmp_path / "out"))
+    assert [r.breakingCommit for r in results.collect()] == ["c1"]
+    assert [(r.breakingCommit, r.reason) for r in rejected.collect()] == [("c2", "records clash")]
+
+
+def test_results_survive_a_driver_lost_while_they_are_replaced(spark, tmp_path):
+    rec, projects, out = tmp_path / "rec", tmp_path / "projects", tmp_path / "out"
+    _record(rec, "a", "p", "c1")
+    _log(projects, "c1", "p", "BUILD SUCCESS")
+    batch.run(spark, str(rec), str(projects), str(out))
+    (out / "results").rename(out / "results-new")  # lost behind the removal of the old table
+    _record(rec, "b", "p", "c2")
+    _log(projects, "c2", "p", "COMPILATION ERROR")
+    results, _ = batch.run(spark, str(rec), str(projects), str(out))
+    assert {r.breakingCommit for r in results.collect()} == {"c1", "c2"}
+    (out / "results-new").mkdir()  # lost while the new table was written
+    (out / "results-new" / "part-0.json").write_text("{")
+    results, _ = batch.run(spark, str(rec), str(projects), str(out))
+    assert {r.breakingCommit for r in results.collect()} == {"c1", "c2"}
+
+
+def test_files_are_told_by_whole_names(spark, tmp_path, capsys):
+    for name in ("x/A.java", "x/BA.java", "y/B.java", "z/B.java"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"import {name[0]}.{name[2:-5]};\n" * 2)
+    asked = ["lines", "--project", str(tmp_path), "--file"]
+    assert cli.main([*asked, "A.java"], spark) == 0
+    shown = capsys.readouterr().out
+    assert "'x.A'" in shown and "x.BA" not in shown
+    assert cli.main([*asked, "B.java"], spark) == 2 and "several files" in capsys.readouterr().err
+    assert cli.main([*asked, "y/B.java"], spark) == 0 and "'y.B'" in capsys.readouterr().out
+    assert cli.main(["--rows", "1", *asked, "A.java"], spark) == 0
+    shown = capsys.readouterr()
+    assert shown.out.count("constructType") == 1 and "only the first 1 rows" in shown.err
+
+
 def test_lines_and_reports(spark, tmp_path, capsys):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "App.java").write_text("import x.Helper;\nclass App {\n  int m() { return Helper.make(new Helper()); }\n}")
