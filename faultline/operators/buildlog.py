@@ -1,17 +1,23 @@
 """Build logs: from lines to errors, to reports by file.
 
-Every step works on one log's lines by window or group, so logs spread over tasks.
+A log that lies in a row is read within it (errors_of, kept_lines); a table of lines is
+read by windows, a log a task (errors, within), or by segments (operators.segments).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.categories import first_match
 from faultline.functions.text import container_path, strip_leading
 from faultline.operators.state import validated
-from faultline.sources.readers import numbered_lines
+from faultline.sources.readers import split_lines
+
+#: Of a line whether something holds.
+Condition = Callable[[Column], Column]
 
 #: Where the errors of a log begin and end, and how an error's first line looks.
 START = "[WARNING] For more or less details"
@@ -42,17 +48,59 @@ def error_lines(lines: DataFrame) -> DataFrame:
     return within(lines, F.contains(line, F.lit(START)), line.startswith(WARNING), line.startswith(END))
 
 
-def errors(lines: DataFrame) -> DataFrame:
-    """log_id, seq, filePath, lineNumber, columnNumber, message and details of each error."""
+def marked(lines: DataFrame) -> DataFrame:
+    """lines with _header, whether an error begins there, and _rest, the detail that a line adds to one, if any."""
     line = F.col("line")
     header = line.rlike(HEADER)
     rest = strip_leading(F.substring(line, 8, 1 << 30))
-    detail = ~header & line.startswith("[ERROR]") & (rest != "") & ~rest.startswith("->")
-    rows = islands(error_lines(lines).withColumn("_header", header), F.col("_header"), "log_id", "n", "seq").where(F.col("_header") | detail)
-    head = lambda i: F.max(F.when(F.col("_header"), F.regexp_extract(line, HEADER, i)))
-    details = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_header"), F.struct("n", rest.alias("text"))))), lambda x: x["text"])
-    out = rows.groupBy("log_id", "seq").agg(head(1).alias("filePath"), head(2).alias("_l"), head(3).alias("_c"), head(4).alias("message"), details.alias("details"))
-    return out.select("log_id", F.col("seq").cast("int"), "filePath", F.expr("try_cast(_l AS int)").alias("lineNumber"), F.expr("try_cast(nullif(_c, '') AS int)").alias("columnNumber"), "message", "details")
+    return lines.withColumn("_header", header).withColumn("_rest", F.when(~header & line.startswith("[ERROR]") & (rest != "") & ~rest.startswith("->"), rest))
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """Errors of marked lines numbered by seq."""
+    rows = rows.where(F.col("_header") | F.col("_rest").isNotNull())
+    head = F.max(F.when(F.col("_header"), F.col("line"))).alias("head")
+    details = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_header"), F.struct("n", F.col("_rest").alias("text"))))), lambda x: x["text"])
+    return _parsed(rows.groupBy("log_id", "seq").agg(head, details.alias("details")))
+
+
+def _parsed(found: DataFrame) -> DataFrame:
+    """log_id, seq, the parts of head, and details."""
+    part = lambda i: F.regexp_extract("head", HEADER, i)
+    number = lambda i: F.nullif(part(i), F.lit("")).try_cast("int")
+    return found.select("log_id", F.col("seq").cast("int").alias("seq"), part(1).alias("filePath"), number(2).alias("lineNumber"), number(3).alias("columnNumber"), part(4).alias("message"), "details")
+
+
+def errors(lines: DataFrame) -> DataFrame:
+    """log_id, seq, filePath, lineNumber, columnNumber, message and details of each error; lines: log_id, n, line.
+
+    Where logs lie in rows of their own, errors_of is cheaper; for logs of any length see segments.errors.
+    """
+    return assembled(islands(marked(error_lines(lines)), F.col("_header"), "log_id", "n", "seq"))
+
+
+def kept_lines(lines: Column, starts: Condition, skipped: Condition, ends: Condition) -> Column:
+    """within() over an array of lines: a struct of first, the place of the first line kept, and lines."""
+    first = lambda flags: F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("long"))
+    start = first(F.transform(lines, starts))
+    after = first(F.transform(F.slice(lines, start + 1, F.size(lines)), lambda x: ~skipped(x)))
+    begin = F.when(start.isNull(), F.lit(0).cast("long")).otherwise(start + after - 1)
+    rest = F.slice(lines, begin + 1, F.size(lines))
+    end = first(F.transform(rest, ends))
+    return F.when(begin.isNotNull(), F.struct(begin.cast("int").alias("first"), F.slice(rest, F.lit(1), F.coalesce(end - 1, F.size(lines).cast("long")).cast("int")).alias("lines")))
+
+
+def errors_of(logs: DataFrame) -> DataFrame:
+    """As errors, of logs that lie in rows (log_id, content): all within the row, so nothing is shuffled."""
+    cut = logs.select("log_id", split_lines(F.col("content")).alias("_all"))
+    kept = cut.select("log_id", kept_lines(F.col("_all"), lambda x: F.contains(x, F.lit(START)), lambda x: x.startswith(WARNING), lambda x: x.startswith(END))["lines"].alias("_lines"))
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(HEADER), i)), lambda i: i.isNotNull())
+    kept = kept.where(F.size("_lines") > 0).withColumn("_heads", heads)
+    rest = lambda x: strip_leading(F.substring(x, 8, 1 << 30))
+    detail = lambda x: x.startswith("[ERROR]") & (rest(x) != "") & ~rest(x).startswith("->")
+    below = lambda h, k: F.slice("_lines", h + 2, F.coalesce(F.get("_heads", k + 1), F.size("_lines")) - h - 1)
+    records = F.transform("_heads", lambda h, k: F.struct(F.get("_lines", h).alias("head"), F.transform(F.filter(below(h, k), detail), rest).alias("details")))
+    return _parsed(kept.select("log_id", F.posexplode(records).alias("seq", "r")).select("log_id", (F.col("seq") + 1).alias("seq"), "r.head", "r.details"))
 
 
 def by_file(found: DataFrame) -> DataFrame:
@@ -76,7 +124,7 @@ def reports(logs: DataFrame) -> DataFrame:
     A null or empty content is UNKNOWN and has no errors. Each log is read once.
     """
     category = logs.select("log_id", first_match(F.col("content")).alias("failureCategory"))
-    grouped = by_file(errors(numbered_lines(logs)))
+    grouped = by_file(errors_of(logs))
     none = F.array().cast("array<struct<filePath:string,errors:array<struct<lineNumber:int,columnNumber:int,message:string,details:array<string>>>>>")
     return category.join(grouped, "log_id", "left").select(F.col("log_id").alias("originalFailurePath"), "failureCategory", F.coalesce("errorsByFile", none).alias("errorsByFile"))
 

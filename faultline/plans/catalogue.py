@@ -114,9 +114,10 @@ f AS (SELECT *, CASE WHEN st IS NULL THEN 0 ELSE min(CASE WHEN n > st AND NOT st
 t AS (SELECT *, min(CASE WHEN n >= fr AND contains(line, '|') THEN n END) OVER w AS upto FROM f WINDOW w AS (PARTITION BY doc_id))
 SELECT doc_id, n, line FROM t WHERE n >= fr AND (upto IS NULL OR n < upto)""")
 def range_prune(spark, sf_dir):
-    line = F.col("line")
-    lines = readers.numbered_lines(_t(spark, sf_dir, "documents"), "doc_id", "text")
-    return buildlog.within(lines, line.rlike("[.]$"), line.startswith("The"), F.contains(line, F.lit("|")), "doc_id")
+    lines = _t(spark, sf_dir, "documents").select("doc_id", readers.split_lines(F.col("text")).alias("lines"))
+    kept = buildlog.kept_lines(F.col("lines"), lambda x: x.rlike("[.]$"), lambda x: x.startswith("The"), lambda x: F.contains(x, F.lit("|")))
+    rows = lines.select("doc_id", kept.alias("kept")).select("doc_id", "kept.first", F.posexplode("kept.lines").alias("n", "line"))
+    return rows.select("doc_id", (F.col("first") + F.col("n")).alias("n"), "line")
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first, string_agg(cast(l_linenumber AS VARCHAR) || ':' || cast(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS e FROM lineitem GROUP BY ALL)

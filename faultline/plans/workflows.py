@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import categories, prompts, text
-from faultline.operators import apidiff, buildlog, combos, constructs, impact, lookup, rewrite, state
+from faultline.operators import apidiff, buildlog, combos, constructs, impact, lookup, rewrite, segments, state
 from faultline.plans import repair
 from faultline.plans.catalogue import _R, _case, _records, _t, _uri, query
 from faultline.plans.storage import shared
@@ -64,10 +64,29 @@ r AS (SELECT log_id, string_agg(filePath || '=' || c, ';' ORDER BY first) AS fil
 
 @query(_E + " SELECT log_id, seq, filePath, lineNumber, columnNumber, message, details FROM e")
 def build_errors(spark, sf_dir):
-    found = buildlog.errors(readers.numbered_lines(_logs(spark, sf_dir)))
+    found = buildlog.errors_of(_logs(spark, sf_dir))
     return found.withColumn("details", F.array_join("details", " / "))
 
 
+#: One log of all documents: it says once where its errors begin, and at times that they end.
+_GIANT = LOG.replace("doc_id % 3 = 0", "doc_id = 17").replace("'[ERROR] -> [Help 1]', CASE", "CASE WHEN doc_id % 5000 = 4903 THEN '[ERROR] -> [Help 1]' END, CASE")
+
+
+def giant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one log, 32 documents a segment."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("log_id"), F.expr(_GIANT).alias("content"))
+    lines = readers.numbered_lines(docs)
+    return lines.select(F.lit("all").alias("log_id"), F.floor(F.col("log_id") / 32).alias("segment"), (F.col("log_id") * 64 + F.col("n")).alias("n"), "line")
+
+
+@query(_E.replace(LOG, _GIANT).replace(f"CASE WHEN NOT ({MISSING}) THEN", "CASE WHEN true THEN").replace("\nlines AS (", "\nown AS (", 1).replace("\ns AS (SELECT", "\nlines AS (SELECT 'all' AS log_id, row_number() OVER (ORDER BY log_id::BIGINT, n) AS n, line FROM own),\ns AS (SELECT", 1)
+  + " SELECT seq, filePath, lineNumber, columnNumber, message, details FROM e")
+def giant_log_errors(spark, sf_dir):
+    """The errors of one log made of all documents, scanned by segments."""
+    found = segments.errors(giant_lines(spark, sf_dir))
+    return found.select("seq", "filePath", "lineNumber", "columnNumber", "message", F.array_join("details", " / ").alias("details"))
+
+
 @query(_E + f""" SELECT logs.log_id AS originalFailurePath, {_case("coalesce(content, '')", categories.PATTERNS, 'UNKNOWN')} AS failureCategory, coalesce(files, '') AS files, coalesce(total, 0) AS total, files IS NULL AS no_map FROM logs LEFT JOIN r USING (log_id)""")
 def build_reports(spark, sf_dir):
     found = buildlog.reports(_logs(spark, sf_dir))
@@ -79,7 +98,7 @@ def build_reports(spark, sf_dir):
 @query(_E + """ SELECT log_id, filePath || ' (' || c || ')' AS line FROM g UNION ALL SELECT log_id, '  line ' || lineNumber || ': ' || message FROM e
   UNION ALL SELECT log_id, '    ' || rest FROM d WHERE detail""")
 def printed_reports(spark, sf_dir):
-    return writers.printed(buildlog.by_file(buildlog.errors(readers.numbered_lines(_logs(spark, sf_dir)))))
+    return writers.printed(buildlog.by_file(buildlog.errors_of(_logs(spark, sf_dir))))
 
 
 @query(_E + f""" SELECT CAST(event_id AS STRING) AS breakingCommit, '/' || CAST(user_id AS STRING) AS containerPath, log_id AS logPath, {_case("coalesce(content, '')", categories.PATTERNS, 'UNKNOWN')} AS failureCategory, coalesce(total, 0) AS totalErrors, files, true AS has_time

@@ -50,6 +50,16 @@ def logs(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log_id"), F.col("value").alias("content"))
 
 
+def long_logs(spark: SparkSession, path: str) -> DataFrame:
+    """log_id, segment, n and line of logs of any length: a segment is a split of the file, so many tasks read one log.
+
+    segment orders a log's splits and n the lines of a split; see operators.segments.
+    """
+    source = F.col("_metadata")
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.log").text(path)
+    return rows.select(source["file_path"].alias("log_id"), source["file_block_start"].alias("segment"), F.monotonically_increasing_id().alias("n"), strip_trailing(F.col("value")).alias("line"))
+
+
 def source_files(spark: SparkSession, path: str, glob: str = "*.java") -> DataFrame:
     """file and content of the files below path at any depth."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from faultline import schemas
 from faultline.functions import categories, text
 from faultline.functions.python import Registry, unified_diff
-from faultline.operators import apidiff, buildlog, combos, impact, lookup, rewrite, state
+from faultline.operators import apidiff, buildlog, combos, impact, lookup, rewrite, segments, state
 from faultline.sources import readers, writers
 from faultline.streaming import upserts
 
@@ -51,10 +51,13 @@ def plain(content):
 
 def test_errors_and_reports(spark):
     logs = spark.createDataFrame(list(LOGS.items()), "log_id string, content string")
-    got = {}
-    for r in buildlog.errors(readers.numbered_lines(logs)).orderBy("log_id", "seq").collect():
-        got.setdefault(r.log_id, []).append((r.filePath, r.lineNumber, r.columnNumber, r.message, list(r.details)))
-    assert got == {k: v for k, c in LOGS.items() if (v := plain(c))}
+    lines = readers.numbered_lines(logs)
+    ways = [buildlog.errors(lines), buildlog.errors_of(logs), *(segments.errors(segments.segmented(lines, size=k)) for k in (1, 2, 3, 100))]
+    for found in ways:
+        got = {}
+        for r in found.orderBy("log_id", "seq").collect():
+            got.setdefault(r.log_id, []).append((r.filePath, r.lineNumber, r.columnNumber, r.message, list(r.details)))
+        assert got == {k: v for k, c in LOGS.items() if (v := plain(c))}
     reports = {r.originalFailurePath: r for r in buildlog.reports(logs).collect()}
     assert {k: r.failureCategory for k, r in reports.items()} == {k: "COMPILATION_FAILURE" if k == "inline" else "BUILD_SUCCESS" if k == "none" else "UNKNOWN" for k in LOGS}
     assert reports["empty"].errorsByFile == [] and [f.filePath for f in reports["marked"].errorsByFile] == ["B.java", "/project/src/Foo.java"]
