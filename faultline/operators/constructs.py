@@ -1,4 +1,7 @@
-"""Constructs on source lines, told by their shapes: there is no parser, so types are known by their imports only."""
+"""Constructs on source lines, told by the shapes of their code: there is no parser, so types are known by their imports only.
+
+Comments, strings, characters and text blocks aren't code; see operators.lexing.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import normal_line
+from faultline.operators import lexing
 from faultline.sources.readers import numbered_lines
 
-#: A kind, the pattern of its code, and the group that names it; Java and RE2 read them alike.
+#: A call's name isn't one of these.
+_NO_CALL = r"(?!(?:if|for|while|switch|catch|try|return|synchronized|super|this|assert|throw|new|else|do|case|yield)\b)"
+#: A kind, the pattern of its code, and the group that names it.
 SHAPES = (
     ("IMPORT", r"^\s*import\s+(?:static\s+)?([\w.]+)", 1),
     ("ANNOTATION_USAGE", r"@([A-Z]\w*)", 1),
     ("CONSTRUCTOR_CALL", r"\bnew\s+([A-Z][\w.]*)\s*\(", 1),
     ("METHOD_INVOCATION", r"\b([A-Za-z_]\w*\.[a-z_]\w*)\s*\(", 1),
+    # A call on what another gave, as c in a.b().c(); then one without a qualifier, unless its body shows that it is declared.
+    ("METHOD_INVOCATION", r"[)\]]\s*\.\s*([a-z_]\w*)\s*\(", 1),
+    ("METHOD_INVOCATION", r"(?:^|[^\w.$\s]|\b(?:return|throw|else|do|case|assert|yield))\s*\b" + _NO_CALL + r"([a-z_]\w*)\s*\((?![^()]*\)\s*(?:\{|throws\b))", 1),
     ("METHOD_REFERENCE", r"\b([A-Za-z_]\w*::\w+)", 1),
     ("CATCH", r"\bcatch\s*\(\s*(?:final\s+)?([A-Z][\w.]*)", 1),
     ("THROW", r"\bthrow\s+new\s+([A-Z][\w.]*)", 1),
@@ -35,26 +44,30 @@ def found(line: Column) -> Column:
 
 
 def imports(lines: DataFrame) -> DataFrame:
-    """file, simple and qualified name of each type that a file imports; lines: file, n, line."""
-    name = F.regexp_extract("line", r"^\s*import\s+([\w.]+)\s*;", 1)
-    rows = lines.select("file", name.alias("qualified")).where("qualified != ''")
-    return rows.select("file", F.substring_index("qualified", ".", -1).alias("simple"), "qualified").distinct()
+    """file, simple and qualified name of each type that a file imports, and of each member that it imports as static; lines: file, n, line."""
+    name = lambda i: F.regexp_extract("line", r"^\s*import\s+(static\s+)?([\w.]+)\s*;", i)
+    rows = lines.select("file", (name(1) != "").alias("static"), name(2).alias("qualified")).where("qualified != ''")
+    return rows.select("file", F.substring_index("qualified", ".", -1).alias("simple"), "qualified", "static").distinct()
 
 
 def scan(files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """The constructs on the lines asked for (file, lineNumber from 1), or on all, of files (file, content).
 
     constructType, signature, file, lineNumber, codeLine, fullyQualifiedName and
-    memberQualifiedName; the latter two where an import of the file tells the type.
+    memberQualifiedName; the latter two where an import of the file tells the type or
+    the member.
     """
-    lines = numbered_lines(files, "file", "content")
-    rows = lines.select("file", (F.col("n") + 1).alias("lineNumber"), "line")
+    lines = lexing.code_lines(numbered_lines(files, "file", "content"))
+    rows = lines.select("file", (F.col("n") + 1).alias("lineNumber"), "line", "code")
     if asked is not None:
         rows = rows.join(asked.select("file", "lineNumber").distinct(), ["file", "lineNumber"], "left_semi")
-    rows = rows.select("file", "lineNumber", normal_line(F.col("line")).alias("codeLine"), F.explode(found(F.col("line"))).alias("x")).select("file", "lineNumber", "codeLine", "x.*")
+    rows = rows.select("file", "lineNumber", normal_line(F.col("line")).alias("codeLine"), F.explode(found(F.col("code"))).alias("x")).select("file", "lineNumber", "codeLine", "x.*")
     member = F.col("constructType").isin("METHOD_INVOCATION", "METHOD_REFERENCE")
-    rows = rows.withColumn("simple", F.when(member, F.regexp_extract("signature", r"^(\w+)", 1)).otherwise(F.substring_index("signature", ".", -1)))
-    known = rows.join(imports(lines), ["file", "simple"], "left")
+    alone = member & ~F.col("signature").rlike(r"\W")
+    simple = F.when(member, F.regexp_extract("signature", r"^(\w+)", 1)).otherwise(F.substring_index("signature", ".", -1))
+    rows = rows.withColumn("simple", simple).withColumn("static", F.coalesce(alone, F.lit(False)))
+    known = rows.join(imports(lines.withColumn("line", F.col("code"))), ["file", "simple", "static"], "left")
     qualified = F.when(F.col("constructType") == "IMPORT", F.col("signature")).otherwise(F.col("qualified"))
     part = F.regexp_extract("signature", r"(\w+)$", 1)
-    return known.select("constructType", "signature", "file", "lineNumber", "codeLine", F.when(~member, qualified).alias("fullyQualifiedName"), F.when(member & F.col("qualified").isNotNull(), F.concat_ws(".", "qualified", part)).alias("memberQualifiedName"))
+    of_member = F.when(F.col("static"), F.col("qualified")).otherwise(F.concat_ws(".", "qualified", part))
+    return known.select("constructType", "signature", "file", "lineNumber", "codeLine", F.when(~member, qualified).alias("fullyQualifiedName"), F.when(member & F.col("qualified").isNotNull(), of_member).alias("memberQualifiedName"))

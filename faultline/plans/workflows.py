@@ -558,6 +558,20 @@ def line_constructs(spark, sf_dir):
     return constructs.scan(files).select("file", "lineNumber", "constructType", "signature", "fullyQualifiedName", "memberQualifiedName")
 
 
+_HIDDEN = r"""'import org.a.Helper; // import org.no.Line;' || chr(10) || 'import static org.a.Tools.' || lower(p_mfgr[1:12]) || ';' || chr(10) || '/* import org.no.Block;' || chr(10) || repeat('  new Hidden(' || CAST(p_size AS STRING) || ').call(); // still hidden' || chr(10), p_size) || ' end of it */ class P { int q = Helper.of(1).size(); }' || chr(10)
+  || 'String s = "new Quoted(1) /* no comment " + trim(x); char c = ' || chr(39) || '"' || chr(39) || '; b.two(); // ' || chr(39) || chr(10) || 'String t = ' || repeat('"', 3) || chr(10) || '  new Text().block(); \\' || repeat('"', 3) || ' still' || chr(10) || '  ' || repeat('"', 3) || ' + new Real(); /* c */ done(/**/);' || chr(10) || 'if (a) { return make(2); } void declared(int x) { }'""".replace("p_mfgr[1:12]", "'Make'")
+
+
+@query("""SELECT CAST(p_partkey AS STRING) AS file, CASE WHEN k.line <= 3 THEN k.line ELSE k.line + p_size - 1 END AS lineNumber, k.kind AS constructType, k.sig AS signature, k.full AS fullyQualifiedName, k.member AS memberQualifiedName
+  FROM part, (VALUES (1, 'IMPORT', 'org.a.Helper', 'org.a.Helper', NULL), (2, 'IMPORT', 'org.a.Tools.make', 'org.a.Tools.make', NULL), (5, 'CLASS_DECLARATION', 'P', NULL, NULL), (5, 'METHOD_INVOCATION', 'Helper.of', NULL, 'org.a.Helper.of'),
+    (5, 'METHOD_INVOCATION', 'size', NULL, NULL), (6, 'METHOD_INVOCATION', 'trim', NULL, NULL), (6, 'METHOD_INVOCATION', 'b.two', NULL, NULL), (9, 'CONSTRUCTOR_CALL', 'Real', NULL, NULL),
+    (9, 'METHOD_INVOCATION', 'done', NULL, NULL), (10, 'METHOD_INVOCATION', 'make', NULL, 'org.a.Tools.make')) k(line, kind, sig, "full", member)""")
+def hidden_constructs(spark, sf_dir):
+    """The constructs of sources with more of them in comments, strings and text blocks, which don't count."""
+    files = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), F.expr(_HIDDEN).alias("content"))
+    return constructs.scan(files).select("file", "lineNumber", "constructType", "signature", "fullyQualifiedName", "memberQualifiedName")
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree for each order: the order, its lines below it, and a leaf below each line."""
     orders = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") * 100).alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit("class").alias("node_type"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("code"), F.array().cast("array<string>").alias("arguments"), F.col("o_orderkey").alias("file"))
