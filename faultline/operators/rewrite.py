@@ -20,19 +20,28 @@ def rename(nodes: DataFrame, names: Mapping[str, str], chosen: Column | None = N
     return nodes.withColumn("name", new if chosen is None else F.when(chosen, new).otherwise(F.col("name")))
 
 
-def delete(nodes: DataFrame, chosen: Column, deep: bool = True, most: int = 64) -> DataFrame:
-    """nodes without the chosen ones and, if deep and parents are known, what is below them; a round for each level, and an error beyond ``most`` levels."""
-    deep = deep and "parent_id" in nodes.columns
-    gone = nodes.where(F.coalesce(chosen, F.lit(False))).select("node_id")
-    left = nodes.join(gone, "node_id", "left_anti")
-    for _ in range(most if deep else 0):
-        orphans = left.join(gone.select(F.col("node_id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("node_id")
-        if not orphans.limit(1).count():
-            return left
-        left, gone = checkpointed(left.join(orphans, "node_id", "left_anti")), checkpointed(orphans)
-    if deep:
-        raise ValueError(f"the tree has more than {most} levels")
-    return left
+def delete(nodes: DataFrame, chosen: Column, deep: bool = True) -> DataFrame:
+    """nodes without the chosen ones and, if deep and parents are known, what is below them.
+
+    Each node points to one above it and knows whether a chosen one lies up to there. A
+    round doubles all distances, so a tree of n levels takes log2(n) rounds, whatever n.
+    A parent that isn't among the nodes ends a path; nodes on a circle of parents are
+    below the chosen ones on it. Trees with intervals need no rounds: operators.trees.
+    """
+    hit = F.coalesce(chosen, F.lit(False))
+    if not deep or "parent_id" not in nodes.columns:
+        return nodes.where(~hit)
+    marks = checkpointed(nodes.select("node_id", F.col("parent_id").alias("up"), hit.alias("hit")))
+    ways = marks.where("up IS NOT NULL")
+    # A path that is longer than there are nodes goes in a circle.
+    for _ in range(marks.count().bit_length()):
+        if not ways.where("NOT hit").limit(1).count():
+            break
+        top = marks.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("above"))
+        marks = checkpointed(marks.join(top, "up", "left").select("node_id", F.when(~F.coalesce("above", F.lit(False)), F.col("next")).alias("up"), (F.col("hit") | F.coalesce("above", F.lit(False))).alias("hit")))
+        ways = marks.where("up IS NOT NULL")
+    gone = marks.where("hit").select("node_id")
+    return nodes.join(gone, "node_id", "left_anti")
 
 
 def find_all(files: DataFrame, pattern: str, node_type: str) -> DataFrame:

@@ -55,15 +55,18 @@ def within(lines: DataFrame, starts: Column, skipped: Column, ends: Column, key:
     return _back(lines, carried, key).where(kept).drop("_top", "_from", "_to")
 
 
-def islands(rows: DataFrame, opens: Column, key: str = "log_id", n: str = "n", record: str = "record") -> DataFrame:
-    """As buildlog.islands: rows numbered by the record that they belong to; a record may go on over many segments."""
-    opens = F.coalesce(opens, F.lit(False)).cast("int")
+def running(rows: DataFrame, value: Column, name: str, key: str, n: str) -> DataFrame:
+    """rows (with segment) with the sum of value up to each, over the whole of its key in the order of segment and n."""
     order = Window.partitionBy(key, "segment").orderBy(n).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(key).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(key, "segment").agg(F.sum(opens).alias("_c"))
-    carried = counts.select(key, "segment", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    numbered = _back(rows.withColumn("_own", F.sum(opens).over(order)), carried, key)
-    return numbered.withColumn(record, F.col("_before") + F.col("_own")).drop("_before", "_own").where(F.col(record) > 0)
+    sums = rows.groupBy(key, "segment").agg(F.sum(value).alias("_c"))
+    carried = sums.select(key, "segment", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    return _back(rows.withColumn("_own", F.sum(value).over(order)), carried, key).withColumn(name, F.col("_before") + F.col("_own")).drop("_before", "_own")
+
+
+def islands(rows: DataFrame, opens: Column, key: str = "log_id", n: str = "n", record: str = "record") -> DataFrame:
+    """As buildlog.islands: rows numbered by the record that they belong to; a record may go on over many segments."""
+    return running(rows, F.coalesce(opens, F.lit(False)).cast("int"), record, key, n).where(F.col(record) > 0)
 
 
 def errors(lines: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import categories, prompts, text
-from faultline.operators import apidiff, buildlog, combos, constructs, impact, lookup, rewrite, segments, state
+from faultline.operators import apidiff, buildlog, combos, constructs, edits, impact, lookup, rewrite, segments, state, trees
 from faultline.plans import repair
 from faultline.plans.catalogue import _R, _case, _records, _t, _uri, query
 from faultline.plans.storage import shared
@@ -630,3 +630,61 @@ def tree_find(spark, sf_dir):
     """A node for every match in sources."""
     files = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("content"))
     return rewrite.find_all(files, "<a [^>]*>", "link").select("file", "nth", "code")
+
+
+#: A class for each supplier, with methods in it, and at times a long chain of blocks; "gone" stands in a comment, too.
+_BLOCKS = """'class S' || CAST(s_suppkey AS STRING) || ' { // gone {' || chr(10) || repeat('  void keep() { a(b[1]); }' || chr(10) || '  void gone() { if (x) { y(z(1)); } }' || chr(10), s_nationkey % 4 + 1) || repeat('  while (w) {' || chr(10), s_suppkey % 10 * 30) || '  gone: for (;;) { } ' || repeat('}', s_suppkey % 10 * 30) || chr(10) || '}'"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file"), F.expr(_BLOCKS).alias("content"))
+
+
+#: Nodes and parents of the same sources, from characters: comments are cut off line by line, and no literal has a bracket.
+_TREE = f"""t AS (SELECT CAST(s_suppkey AS STRING) AS file, regexp_replace({_BLOCKS}, '//[^' || chr(10) || ']*', '', 'g') AS code FROM supplier),
+c AS (SELECT file, unnest(string_split(code, '')) AS c, generate_subscripts(string_split(code, ''), 1) AS i FROM t),
+b AS (SELECT file, c, i, row_number() OVER (PARTITION BY file ORDER BY i) - 1 AS k, sum(CASE WHEN c IN ('{{', '(', '[') THEN 1 ELSE -1 END) OVER (PARTITION BY file ORDER BY i) + CASE WHEN c IN ('{{', '(', '[') THEN 0 ELSE 1 END AS depth FROM c WHERE c IN ('{{', '}}', '(', ')', '[', ']')),
+o AS (SELECT b.*, lead(k) OVER (PARTITION BY file, depth ORDER BY k) AS post FROM b),
+n AS (SELECT o.file, k AS pre, post, depth, c AS kind, trim(regexp_extract(substr(code, 1, i - 1), '[^' || chr(10) || ']*$')) AS head FROM o JOIN t USING (file) WHERE c IN ('{{', '(', '[')),
+p AS (SELECT n.*, u.pre AS parent FROM n ASOF LEFT JOIN (SELECT file, pre, depth + 1 AS depth FROM n) u ON n.file = u.file AND n.depth = u.depth AND n.pre > u.pre)"""
+
+
+@query(f"WITH {_TREE} SELECT file, pre, post, depth::INTEGER AS depth, kind, head, parent FROM p")
+def tree_nodes(spark, sf_dir):
+    """The nodes of sources, from a running depth of brackets in code, as intervals, with the node above each."""
+    return trees.with_parents(trees.nodes(_blocks(spark, sf_dir))).select("file", "pre", "post", "depth", "kind", "head", "parent")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, g(file, pre) AS (SELECT file, pre FROM p WHERE kind = '{{' AND contains(head, 'gone') UNION SELECT p.file, p.pre FROM p JOIN g ON p.file = g.file AND p.parent = g.pre)
+  SELECT file, pre FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.file = p.file AND g.pre = p.pre)""")
+def tree_subtrees(spark, sf_dir):
+    """Sources' trees, hundreds of levels deep, without some nodes and all below them: one pass, whatever their depth."""
+    tree = trees.nodes(_blocks(spark, sf_dir))
+    return trees.delete(tree, (F.col("kind") == "{") & F.contains("head", F.lit("gone"))).select("file", "pre")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, g(file, pre, parent) AS (SELECT file, pre, parent FROM p WHERE head = 'gone: for' UNION SELECT p.file, p.pre, p.parent FROM p JOIN g ON p.file = g.file AND p.pre = g.parent)
+  SELECT file, count(DISTINCT pre) AS n, max(pre) AS nearest FROM (SELECT g.file, g.pre FROM g JOIN p ON p.file = g.file AND p.pre = g.pre WHERE head <> 'gone: for') GROUP BY file""")
+def tree_ancestors(spark, sf_dir):
+    """What a node lies in, all levels up."""
+    found = trees.above(trees.nodes(_blocks(spark, sf_dir)), F.col("head") == "gone: for")
+    return found.groupBy("file").agg(F.count("*").alias("n"), F.max("pre").alias("nearest"))
+
+
+@query(f"""SELECT CAST(s_suppkey AS STRING) AS file, sha256({_BLOCKS.replace("void gone() { if (x) { y(z(1)); } }", "").replace("void keep() { a(b[1]); }", "void keep() { call(b[1]); }")}) AS digest FROM supplier""")
+def edited_sources(spark, sf_dir):
+    """Sources with methods taken out and calls renamed; all else, white space and comments, is as it was."""
+    files = _blocks(spark, sf_dir)
+    gone = edits.of_places(files, edits.deletions(trees.nodes(files), (F.col("kind") == "{") & F.col("head").startswith("void gone")))
+    found = gone.unionByName(edits.of_pattern(files, r"\ba\(", "call(", rank=1)).unionByName(edits.of_pattern(files, r"z\(1\)", "never", rank=2))
+    return edits.applied(files, found).select("file", F.sha2("content", 256).alias("digest"))
+
+
+@query(r"""SELECT page_id AS file, sha256(regexp_replace(regexp_replace(html, '<a [^>]*>', '<a>', 'g'), 'href="[^"]*"', 'href=""', 'g')) AS digest, len(regexp_extract_all(html, '<a [^>]*>')) + len(regexp_extract_all(regexp_replace(html, '<a [^>]*>', '', 'g'), 'href="[^"]*"')) AS n FROM pages WHERE html IS NOT NULL""")
+def edited_pages(spark, sf_dir):
+    """Pages whose links lose their attributes; edits of attributes within them give way, others stay."""
+    files = _t(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("file"), F.col("html").alias("content"))
+    found = edits.of_pattern(files, r"<a [^>]*>", "<a>").unionByName(edits.of_pattern(files, r'href="[^"]*"', 'href=""', rank=1))
+    counts = edits.resolved(found).groupBy("file").agg(F.count("*").alias("n"))
+    out = edits.applied(files, found).select("file", F.sha2("content", 256).alias("digest"))
+    return out.join(counts, "file", "left").select("file", "digest", F.coalesce("n", F.lit(0)).alias("n"))
