@@ -6,17 +6,18 @@ alike, so both sides begin with the same logs, classes, replies and trees.
 
 from __future__ import annotations
 
+import functools
 import io
 import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import categories, prompts, text
-from faultline.operators import apidiff, buildlog, combos, constructs, edits, impact, lookup, rewrite, segments, state, trees
+from faultline.operators import apidiff, buildlog, combos, constructs, edits, flow, impact, inheritance, lookup, resolve, rewrite, segments, state, trees
 from faultline.plans import repair
 from faultline.plans.catalogue import _R, _case, _records, _t, _uri, query
 from faultline.plans.storage import shared
@@ -688,3 +689,76 @@ def edited_pages(spark, sf_dir):
     counts = edits.resolved(found).groupBy("file").agg(F.count("*").alias("n"))
     out = edits.applied(files, found).select("file", F.sha2("content", 256).alias("digest"))
     return out.join(counts, "file", "left").select("file", "digest", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# --- inheritance, dependencies of types, and types that flow ----------------------
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, new: bool) -> tuple[DataFrame, DataFrame]:
+    """Members and supertypes: customers are types, below a third of their number; orders are members, in the new snapshot moved up, gone or changed at times."""
+    customer = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    supers = customer.where("k >= 3").select(F.concat(F.lit("C"), "k").alias("type"), F.concat(F.lit("C"), F.floor(F.col("k") / 3)).alias("super"))
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    orders = _t(spark, sf_dir, "orders").where(~((o % 11 == 1) & F.lit(new)))
+    owner = F.when((o % 7 == 0) & (k >= 3) & F.lit(new), F.floor(k / 3)).otherwise(k)
+    value = F.when((o % 13 == 2) & F.lit(new), "changed").otherwise(F.col("o_orderpriority"))
+    members = orders.select(F.concat(F.lit("C"), owner).alias("type"), F.concat(F.lit("m"), o % 40).alias("name"), value.alias("returns"))
+    return members.groupBy("type", "name").agg(F.min("returns").alias("returns")), supers
+
+
+def _sql_snapshot(x: str, new: bool) -> str:
+    owner = "CASE WHEN o_orderkey % 7 = 0 AND o_custkey >= 3 THEN o_custkey // 3 ELSE o_custkey END" if new else "o_custkey"
+    value = "CASE WHEN o_orderkey % 13 = 2 THEN 'changed' ELSE o_orderpriority END" if new else "o_orderpriority"
+    return f"""{x}m AS (SELECT 'C' || ({owner}) AS type, 'm' || (o_orderkey % 40) AS name, min({value}) AS v FROM orders {"WHERE o_orderkey % 11 <> 1" if new else ""} GROUP BY ALL),
+{x}e AS (SELECT type, name, in_, v FROM (SELECT type, name, v, type AS in_, 0 AS d FROM {x}m UNION ALL SELECT a.type, name, v, a.up, a.d FROM {x}m m JOIN a ON a.up = m.type) QUALIFY row_number() OVER (PARTITION BY type, name ORDER BY d, in_) = 1)"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT 'C' || c_custkey AS type, 'C' || (c_custkey // 3) AS up FROM customer WHERE c_custkey >= 3),
+a(type, up, d) AS (SELECT type, up, 1 FROM s UNION SELECT a.type, s.up, a.d + 1 FROM a JOIN s ON s.type = a.up), {_sql_snapshot("o", False)}, {_sql_snapshot("n", True)},
+j AS (SELECT type, name, o.in_ AS was, n.in_ AS now, CASE WHEN o.in_ IS NULL THEN 'NEW' WHEN n.in_ IS NULL THEN 'REMOVED' WHEN o.v IS DISTINCT FROM n.v THEN 'MODIFIED' ELSE 'UNCHANGED' END AS changeStatus FROM oe o FULL JOIN ne n USING (type, name))
+SELECT type, name, changeStatus, was AS declaredBefore, now AS declaredNow FROM j WHERE changeStatus <> 'UNCHANGED' OR was IS DISTINCT FROM now""")
+def inherited_changes(spark, sf_dir):
+    """What changed in all that types have, own or inherited: a member that moved to a supertype is still there."""
+    found = inheritance.compare_effective(_snapshot(spark, sf_dir, False), _snapshot(spark, sf_dir, True), ["name"], ["returns"])
+    return found.select("type", "name", "changeStatus", F.col("moved.oldValue").alias("declaredBefore"), F.col("moved.newValue").alias("declaredNow"))
+
+
+_NAMED = "replace(lower(p_type || ' ' || p_name), ' ', '.')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'java.util.X' || p_size WHEN p_size % 9 = 1 THEN 'own.' || {_NAMED} WHEN p_size % 9 <> 2 THEN 'org.' || {_NAMED} || '.T' || p_size END AS type FROM part),
+w AS (SELECT DISTINCT string_split(lower(p_type || ' ' || p_name), ' ') AS x FROM part),
+i AS (SELECT DISTINCT 'org.' || x[1] AS package, 'wide' AS artifact, 5 AS position FROM w UNION SELECT 'org.' || x[1] || '.' || x[2], 'middle', 2 FROM w WHERE length(x[2]) % 2 = 0 UNION SELECT 'org.' || x[1] || '.' || x[2], 'twin', 1 FROM w WHERE length(x[2]) % 4 = 0 UNION SELECT 'org.' || array_to_string(x, '.'), x[3], 9 FROM w WHERE length(x[3]) = 5),
+d AS (SELECT DISTINCT type FROM t WHERE type IS NOT NULL),
+f AS (SELECT type, artifact FROM d JOIN i ON starts_with(type, package || '.') QUALIFY row_number() OVER (PARTITION BY type ORDER BY length(package) DESC, position) = 1)
+SELECT p_partkey, CASE WHEN starts_with(type, 'own.') AND p_partkey % 2 >= 0 THEN 'PROJECT_SOURCE' WHEN starts_with(type, 'java.') THEN 'JDK' WHEN artifact IS NOT NULL THEN 'MAVEN_DEPENDENCY' ELSE 'UNKNOWN' END AS origin, artifact AS artifactId FROM t LEFT JOIN f USING (type)""")
+def construct_dependencies(spark, sf_dir):
+    """The artifact that each construct's type comes from: that with the longest package, the first in the classpath of several."""
+    part = _t(spark, sf_dir, "part")
+    words = part.select(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ").alias("x")).distinct()
+    upto = lambda k: F.concat(F.lit("org."), F.array_join(F.slice("x", 1, k), "."))
+    second = F.length(F.col("x")[1])
+    rows = [(words, upto(1), F.lit("wide"), 5), (words.where(second % 2 == 0), upto(2), F.lit("middle"), 2), (words.where(second % 4 == 0), upto(2), F.lit("twin"), 1), (words.where(F.length(F.col("x")[2]) == 5), upto(3), F.col("x")[2], 9)]
+    every = [w.select(p.alias("package"), a.alias("artifactId"), F.lit(k).alias("position"), F.concat(a, F.lit(".jar")).alias("path"), F.lit("org").alias("groupId"), F.lit("1").alias("version")) for w, p, a, k in rows]
+    artifacts = functools.reduce(DataFrame.unionByName, every).distinct()
+    name = F.replace(F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lit(" "), F.lit("."))
+    k = F.col("p_size") % 9
+    type_ = F.when(k == 0, F.concat(F.lit("java.util.X"), "p_size")).when(k == 1, F.concat(F.lit("own."), name)).when(k != 2, F.concat(F.lit("org."), name, F.lit(".T"), "p_size"))
+    member = F.col("p_partkey") % 2 == 0
+    constructs_ = part.select("p_partkey", F.when(~member, type_).alias("fullyQualifiedName"), F.when(member, F.concat(type_, F.lit(".call"))).alias("memberQualifiedName"))
+    own = part.select(F.concat(F.lit("own."), name).alias("fullyQualifiedName"), F.lit("src").alias("sourcePath")).distinct()
+    found = resolve.with_dependencies(constructs_, artifacts, own)
+    return found.select("p_partkey", "dependency.origin", "dependency.artifactId")
+
+
+@query("""WITH RECURSIVE n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN o_orderstatus END AS type, lag(o_orderkey) OVER w AS one, CASE WHEN o_orderkey % 9 = 0 THEN lag(o_orderkey, 2) OVER w END AS two FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT id, one AS source FROM n WHERE one IS NOT NULL AND type IS NULL UNION SELECT id, two FROM n WHERE two IS NOT NULL AND type IS NULL),
+r(id, source) AS (SELECT id, source FROM e UNION SELECT r.id, e.source FROM r JOIN e ON e.id = r.source),
+t AS (SELECT r.id, CASE WHEN count(DISTINCT type) = 1 THEN any_value(type) END AS type FROM r JOIN n ON n.id = r.source WHERE type IS NOT NULL GROUP BY r.id)
+SELECT n.id AS node_id, coalesce(n.type, t.type, 'unknown') AS type FROM n LEFT JOIN t ON t.id = n.id""")
+def flowing_types(spark, sf_dir):
+    """Types of what declares none, by what it is given: orders by their customer's orders before, some of which declare theirs."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), F.when(F.col("o_orderkey") % 13 == 0, F.col("o_orderstatus")).alias("type"), F.lag("o_orderkey").over(w).alias("one"), F.when(F.col("o_orderkey") % 9 == 0, F.lag("o_orderkey", 2).over(w)).alias("two"))
+    given = rows.select("node_id", F.explode(F.array("one", "two")).alias("source"))
+    return flow.typed(rows.select("node_id", "type"), given)
