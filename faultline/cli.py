@@ -3,13 +3,15 @@
     python -m faultline.cli classify LOG [-j OUT]
     python -m faultline.cli diff OLD NEW [OUT]
     python -m faultline.cli impact USAGES CLASSES [-o OUT] [--simple-names] [--dependency TEXT]
-    python -m faultline.cli report --project DIR --file FILE --line N --changes CLASSES --old JAR --new JAR [-o OUT]
-    python -m faultline.cli lines --project DIR [--file FILE] [--line N]
+    python -m faultline.cli report --project DIR --file FILE --line N --changes CLASSES --old JAR --new JAR [--classpath JARS] [-o OUT]
+    python -m faultline.cli lines --project DIR [--file FILE] [--line N] [--classpath JARS] [--dependency TEXT]
     python -m faultline.cli run -i RECORDS -p PROJECTS -o OUT [-c CATEGORY] [-f NAME] [-j OUT] [--force] [-a N] [-t N] [--no-classify]
     python -m faultline.cli combinations RECORDS [-c CATEGORY] [-o OUT]
 
 Inputs are logs, or JSON with the schemas in faultline.schemas; snapshots are JSON rows
-with fullyQualifiedName and columns to compare. At most --rows rows are printed; files
+with fullyQualifiedName and columns to compare, or both are jars, whose classes are
+compared with all that they inherit. JARS is a folder of jars, in which the types of
+constructs are looked for; the project's own come first. At most --rows rows are printed; files
 hold all. Exit: 1 for wrong arguments, 2 for a failure.
 """
 
@@ -22,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schemas
-from faultline.operators import apidiff, buildlog, combos, constructs, impact
+from faultline.operators import apidiff, buildlog, combos, constructs, impact, resolve
 from faultline.plans import batch
-from faultline.sources import readers, writers
+from faultline.sources import classfiles, readers, writers
 
 
 class _Parser(argparse.ArgumentParser):
@@ -54,11 +56,14 @@ def parser() -> argparse.ArgumentParser:
     for name in ("project", "file", "changes", "old", "new"):
         p.add_argument(f"--{name}", required=True)
     p.add_argument("--line", type=int, required=True)
+    p.add_argument("--classpath")
     p.add_argument("-o", "--output")
     p = kinds.add_parser("lines")
     p.add_argument("--project", required=True)
     p.add_argument("--file")
     p.add_argument("--line", type=int)
+    p.add_argument("--classpath")
+    p.add_argument("--dependency")
     p = kinds.add_parser("run")
     p.add_argument("-i", "--input", required=True)
     p.add_argument("-p", "--projects", required=True)
@@ -89,15 +94,22 @@ def _at_least_one(n: str) -> int:
     return int(n)
 
 
-def _constructs(spark: SparkSession, project: str, file: str | None, line: int | None) -> DataFrame:
-    sources = readers.source_files(spark, project)
+def _constructs(spark: SparkSession, project: str, file: str | None, line: int | None, jars: str | None = None, dependency: str | None = None) -> DataFrame:
+    every = readers.source_files(spark, project)
+    sources = every
     if file:
-        sources = sources.where(F.col("file").endswith("/" + file.lstrip("./")))
+        sources = every.where(F.col("file").endswith("/" + file.lstrip("./")))
         found = [r.file for r in sources.select("file").limit(9).collect()]
         if len(found) > 1:
             raise ValueError(f"several files are named {file}: {', '.join(sorted(found))}")
     found = constructs.scan(sources)
-    return found if line is None else found.where(F.col("lineNumber") == line)
+    found = found if line is None else found.where(F.col("lineNumber") == line)
+    artifacts = readers.classpath(spark, jars) if jars else spark.createDataFrame([], "package string, position string, path string, groupId string, artifactId string, version string")
+    return impact.filter_dependency(resolve.with_dependencies(found, artifacts, constructs.declared_types(every)), dependency)
+
+
+def _classes(spark: SparkSession, jar: str) -> DataFrame:
+    return classfiles.classes(readers.archive_entries(readers.archives(spark, jar)))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -120,9 +132,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             _show(found.select("originalFailurePath", "failureCategory"))
             _show(writers.printed(found.withColumnRenamed("originalFailurePath", "log_id")), "line")
         elif a.what == "diff":
-            old, new = spark.read.json(a.old), spark.read.json(a.new)
-            values = [c for c in old.columns if c in new.columns and c != "fullyQualifiedName"]
-            found = apidiff.compare(old, new, ["fullyQualifiedName"], values)
+            if a.old.endswith(".jar") and a.new.endswith(".jar"):
+                found = classfiles.compare_archives(_classes(spark, a.old), _classes(spark, a.new))
+            else:
+                old, new = spark.read.json(a.old), spark.read.json(a.new)
+                values = [c for c in old.columns if c in new.columns and c != "fullyQualifiedName"]
+                found = apidiff.compare(old, new, ["fullyQualifiedName"], values)
             writers.write_json(found, a.output)
             _show(found)
         elif a.what == "impact":
@@ -131,7 +146,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             writers.write_json(found, a.output)
             _show(found)
         elif a.what == "report":
-            usages = _constructs(spark, a.project, a.file, None).withColumn("dependency", F.lit(None).cast(schemas.DEPENDENCY)).withColumn("file", F.lit(a.file))
+            usages = _constructs(spark, a.project, a.file, None, a.classpath).withColumn("file", F.lit(a.file))
             asked = spark.createDataFrame([(a.project, a.file, a.line, a.old, a.new)], "project string, file string, lineNumber int, oldJar string, newJar string")
             good, bad = impact.requests(asked)
             for row in bad.collect():  # one at most
@@ -140,7 +155,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             writers.write_json(found, a.output, pretty=True)
             _show(found)
         elif a.what == "lines":
-            _show(_constructs(spark, a.project, a.file, a.line))
+            _show(_constructs(spark, a.project, a.file, a.line, a.classpath, a.dependency))
         elif a.what == "run":
             if a.no_classify:
                 _show(readers.records(spark, f"{a.input}/{a.file}.json" if a.file else a.input))

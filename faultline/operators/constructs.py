@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import normal_line
 from faultline.operators import lexing
+from faultline.plans.storage import checkpointed
 from faultline.sources.readers import numbered_lines
 
 #: A call's name isn't one of these.
@@ -50,6 +51,11 @@ def imports(lines: DataFrame) -> DataFrame:
     return rows.select("file", F.substring_index("qualified", ".", -1).alias("simple"), "qualified", "static").distinct()
 
 
+def coded(files: DataFrame) -> DataFrame:
+    """file, n, line and code of files (file, content), written once, as imports, types and constructs are all looked for in it."""
+    return checkpointed(lexing.code_lines(numbered_lines(files, "file", "content")))
+
+
 def scan(files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """The constructs on the lines asked for (file, lineNumber from 1), or on all, of files (file, content).
 
@@ -57,7 +63,7 @@ def scan(files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     memberQualifiedName; the latter two where an import of the file tells the type or
     the member.
     """
-    lines = lexing.code_lines(numbered_lines(files, "file", "content"))
+    lines = coded(files)
     rows = lines.select("file", (F.col("n") + 1).alias("lineNumber"), "line", "code")
     if asked is not None:
         rows = rows.join(asked.select("file", "lineNumber").distinct(), ["file", "lineNumber"], "left_semi")
@@ -71,3 +77,13 @@ def scan(files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     part = F.regexp_extract("signature", r"(\w+)$", 1)
     of_member = F.when(F.col("static"), F.col("qualified")).otherwise(F.concat_ws(".", "qualified", part))
     return known.select("constructType", "signature", "file", "lineNumber", "codeLine", F.when(~member, qualified).alias("fullyQualifiedName"), F.when(member & F.col("qualified").isNotNull(), of_member).alias("memberQualifiedName"))
+
+
+def declared_types(files: DataFrame) -> DataFrame:
+    """fullyQualifiedName and sourcePath of the types that files (file, content) declare; a file's package is that of its first package line."""
+    lines = coded(files).select("file", "n", "code")
+    package = F.regexp_extract("code", r"^\s*package\s+([\w.]+)\s*;", 1)
+    packages = lines.select("file", "n", package.alias("package")).where("package != ''").groupBy("file").agg(F.min_by("package", "n").alias("package"))
+    names = F.regexp_extract_all("code", F.lit(r"\b(?:class|interface|enum|record)\s+([A-Z]\w*)"), F.lit(1))
+    types = lines.select("file", F.explode(names).alias("name")).join(packages, "file", "left")
+    return types.select(F.concat_ws(".", "package", "name").alias("fullyQualifiedName"), F.col("file").alias("sourcePath")).distinct()

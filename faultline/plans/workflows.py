@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import io
+import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from faultline.operators import apidiff, buildlog, combos, constructs, edits, fl
 from faultline.plans import repair
 from faultline.plans.catalogue import _R, _case, _records, _t, _uri, query
 from faultline.plans.storage import shared
-from faultline.sources import readers, writers
+from faultline.sources import classfiles, readers, writers
 
 # --- logs -----------------------------------------------------------------------
 
@@ -762,3 +763,46 @@ def flowing_types(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), F.when(F.col("o_orderkey") % 13 == 0, F.col("o_orderstatus")).alias("type"), F.lag("o_orderkey").over(w).alias("one"), F.when(F.col("o_orderkey") % 9 == 0, F.lag("o_orderkey", 2).over(w)).alias("two"))
     given = rows.select("node_id", F.explode(F.array("one", "two")).alias("source"))
     return flow.typed(rows.select("node_id", "type"), given)
+
+
+def _class_bytes(name: str, up: str | None, methods: list[str]) -> bytes:
+    """A class file with a superclass and empty abstract methods."""
+    texts = [name, up or "java/lang/Object", "()V", *methods]
+    pool = b"".join(struct.pack(">BH", 1, len(t)) + t.encode() for t in texts) + struct.pack(">BHBH", 7, 1, 7, 2)
+    this = len(texts) + 1
+    head = b"\xca\xfe\xba\xbe" + struct.pack(">HHH", 0, 52, len(texts) + 3) + pool + struct.pack(">HHHHHH", 0x0401, this, this + 1, 0, 0, len(methods))
+    return head + b"".join(struct.pack(">HHHH", 0x0401, 4 + k, 3, 0) for k in range(len(methods))) + struct.pack(">H", 0)
+
+
+def _class_jars(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
+    """path and content of a jar for each nation, with a class for each of its suppliers, whose superclass is that of a third of its number."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for keys in batch.column("keys").to_pylist():
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    for k in keys:
+                        methods = [f"a{i}" for i in range(k % 4) if not (new and k % 5 == 0 and i == 0)] + (["b"] if new and k % 7 == 3 else [])
+                        z.writestr(f"x/S{k}.class", _class_bytes(f"x/S{k}", f"x/S{k // 3}" if k >= 3 else None, methods))
+                    z.writestr("x/cut.class", _class_bytes("x/Cut", None, ["m"])[:-7])
+                    z.writestr("x/other.txt", "no class")
+                out.append(held.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "content"])
+
+    rows = _t(spark, sf_dir, "supplier").groupBy(F.concat("s_nationkey", F.lit(".jar")).alias("path")).agg(F.collect_list("s_suppkey").alias("keys"))
+    return rows.mapInArrow(of, "path string, content binary")
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS k, s_suppkey // 3 AS up FROM supplier WHERE s_suppkey >= 3), a(k, up, d) AS (SELECT k, up, 1 FROM s UNION SELECT a.k, s.up, a.d + 1 FROM a JOIN s ON s.k = a.up),
+om AS (SELECT s_suppkey AS k, 'a' || i AS name FROM supplier, range(4) r(i) WHERE i < s_suppkey % 4), nm AS (SELECT k, name FROM om WHERE NOT (k % 5 = 0 AND name = 'a0') UNION ALL SELECT s_suppkey, 'b' FROM supplier WHERE s_suppkey % 7 = 3),
+oe AS (SELECT * FROM (SELECT k, name, k AS own, 0 AS d FROM om UNION ALL SELECT a.k, name, a.up, a.d FROM om m JOIN a ON a.up = m.k) QUALIFY row_number() OVER (PARTITION BY k, name ORDER BY d) = 1),
+ne AS (SELECT * FROM (SELECT k, name, k AS own, 0 AS d FROM nm UNION ALL SELECT a.k, name, a.up, a.d FROM nm m JOIN a ON a.up = m.k) QUALIFY row_number() OVER (PARTITION BY k, name ORDER BY d) = 1)
+SELECT 'x.S' || k AS type, name, CASE WHEN o.own IS NULL THEN 'NEW' WHEN n.own IS NULL THEN 'REMOVED' ELSE 'UNCHANGED' END AS changeStatus, 'x.S' || o.own AS declaredBefore, 'x.S' || n.own AS declaredNow
+FROM oe o FULL JOIN ne n USING (k, name) WHERE o.own IS DISTINCT FROM n.own""")
+def compared_archives(spark, sf_dir):
+    """What changed between the classes of two sets of jars, read from their class files."""
+    old, new = (classfiles.classes(readers.archive_entries(_class_jars(spark, sf_dir, x))) for x in (False, True))
+    found = classfiles.compare_archives(old, new)
+    return found.select("type", "name", "changeStatus", F.col("moved.oldValue").alias("declaredBefore"), F.col("moved.newValue").alias("declaredNow"))

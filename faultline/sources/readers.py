@@ -202,6 +202,31 @@ def jar_coordinates(jars: DataFrame) -> DataFrame:
     return jars.select("path", "content").mapInArrow(read, "path string, group_id string, artifact_id string, version string")
 
 
+def archive_packages(jars: DataFrame) -> DataFrame:
+    """path and package, of each package that a jar (path, content) has classes in; no class is unpacked."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for where, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_buffer() if content.is_valid else b"")) as z:
+                        names = {x.rpartition("/")[0] for x in z.namelist() if x.endswith(".class") and "/" in x and not x.startswith("META-INF/")}
+                except zipfile.BadZipFile:
+                    continue
+                rows += [(where, x.replace("/", ".")) for x in sorted(names)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["path", "package"])
+
+    return jars.select("path", "content").mapInArrow(read, "path string, package string")
+
+
+def classpath(spark: SparkSession, path: str) -> DataFrame:
+    """package, position, path, groupId, artifactId and version of the jars below a folder, in the order of their paths."""
+    jars = archives(spark, path)
+    known = jar_coordinates(jars).select("path", F.col("group_id").alias("groupId"), F.col("artifact_id").alias("artifactId"), "version")
+    return archive_packages(jars).join(known, "path", "left").select("package", F.col("path").alias("position"), "path", "groupId", "artifactId", "version")
+
+
 def archive_entries(found: DataFrame, at_once: int = 1 << 23) -> DataFrame:
     """path, entry and content of the files of archives (path, content); entries that would leave the target are skipped."""
 

@@ -1,10 +1,17 @@
+import ast
 import json
+import re
 import time
+import zipfile
+from pathlib import Path
 
+import pyspark
 import pytest
 
 from faultline import cli
 from faultline.plans import batch, runner
+from faultline.plans.workflows import _class_bytes
+from faultline.sources import classfiles
 
 
 def test_runner(spark):
@@ -150,3 +157,53 @@ def test_lines_and_reports(spark, tmp_path, capsys):
     (part,) = (tmp_path / "out").glob("part-*")
     assert json.loads(part.read_text())["constructs"]
     assert cli.main([*asked, "--line", "0"], spark) == 2
+
+
+def _jar(path, classes, coordinates=None):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, up, methods in classes:
+            z.writestr(f"{name}.class", _class_bytes(name, up, methods))
+        if coordinates:
+            z.writestr("META-INF/maven/a/pom.properties", "groupId={}\nartifactId={}\nversion={}\n".format(*coordinates))
+
+
+def test_two_archives(spark, tmp_path, capsys):
+    """A method that moves to a superclass isn't removed; one that goes is; jars of the box are read as they are."""
+    _jar(tmp_path / "old.jar", [("x/Base", None, ["own"]), ("x/Sub", "x/Base", ["up", "gone"])])
+    _jar(tmp_path / "new.jar", [("x/Base", None, ["own", "up"]), ("x/Sub", "x/Base", [])])
+    assert cli.main(["diff", str(tmp_path / "old.jar"), str(tmp_path / "new.jar"), str(tmp_path / "out")], spark) == 0
+    rows = [json.loads(x) for p in (tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()]
+    assert {(r["type"], r["name"], r["changeStatus"]) for r in rows} == {("x.Sub", "gone", "REMOVED"), ("x.Sub", "up", "UNCHANGED"), ("x.Base", "up", "NEW")}
+    capsys.readouterr()
+    real = next(p for p in (Path(pyspark.__file__).parent / "jars").glob("jackson-annotations*.jar"))
+    with zipfile.ZipFile(real) as z:
+        found = [classfiles.parsed(z.read(n)) for n in z.namelist() if n.endswith(".class")]
+    assert all(found) and {"com.fasterxml.jackson.annotation.JsonInclude", "com.fasterxml.jackson.annotation.ObjectIdGenerator"} <= {c["type"] for c in found}
+    one = next(c for c in found if c["type"].endswith(".ObjectIdGenerator"))
+    assert {"canUseFor", "forScope"} <= {m["name"] for m in one["members"]} and one["supers"][0] == "java.lang.Object"
+    assert classfiles.parsed(b"no class") is None and classfiles.parsed(b"") is None
+
+
+def test_dependencies_of_lines(spark, tmp_path, capsys):
+    """Types of jars, of the project itself and of the platform; a filter by dependency."""
+    for folder in ("src/app", "jars"):
+        (tmp_path / folder).mkdir(parents=True)
+    _jar(tmp_path / "jars" / "wide.jar", [("org/x/A", None, [])], ("org", "wide", "1"))
+    _jar(tmp_path / "jars" / "deep.jar", [("org/x/y/B", None, [])], ("org", "deep", "2"))
+    (tmp_path / "src" / "app" / "Own.java").write_text("package app;\npublic class Own { }\n")
+    (tmp_path / "src" / "app" / "Main.java").write_text("package app;\nimport org.x.A;\nimport org.x.y.B;\nimport app.Own;\nimport java.util.List;\nimport no.Such;\nclass Main { A a = new A(); int b = B.make(new Own()); }\n")
+    asked = ["lines", "--project", str(tmp_path / "src"), "--file", "Main.java", "--classpath", str(tmp_path / "jars")]
+    assert cli.main(asked, spark) == 0
+    shown = [ast.literal_eval(x) for x in capsys.readouterr().out.splitlines()]
+    found = {(r["constructType"], r["signature"], r["lineNumber"]): (r["dependency"]["origin"], r["dependency"]["artifactId"]) for r in shown}
+    assert found["IMPORT", "org.x.A", 2] == found["CONSTRUCTOR_CALL", "A", 7] == ("MAVEN_DEPENDENCY", "wide")
+    assert found["IMPORT", "org.x.y.B", 3] == found["METHOD_INVOCATION", "B.make", 7] == ("MAVEN_DEPENDENCY", "deep")
+    assert found["IMPORT", "app.Own", 4] == found["CONSTRUCTOR_CALL", "Own", 7] == ("PROJECT_SOURCE", None)
+    assert found["IMPORT", "java.util.List", 5] == ("JDK", None) and found["IMPORT", "no.Such", 6] == ("UNKNOWN", None)
+    assert cli.main([*asked, "--dependency", "deep"], spark) == 0
+    assert {ast.literal_eval(x)["lineNumber"] for x in capsys.readouterr().out.splitlines()} == {3, 7}
+    (tmp_path / "changes.json").write_text(json.dumps({"fullyQualifiedName": "org.x.A", "elementType": "CLASS", "changeStatus": "MODIFIED", "detail": {"constructors": [], "methods": [], "fields": []}}))
+    report = ["report", "--project", str(tmp_path / "src"), "--file", "app/Main.java", "--changes", str(tmp_path / "changes.json"), "--old", "o.jar", "--new", "n.jar", "--line", "7", "--classpath", str(tmp_path / "jars")]
+    assert cli.main(report, spark) == 0
+    (row,) = [ast.literal_eval(re.sub(r"datetime[.]datetime[(][^)]*[)]", "None", x)) for x in capsys.readouterr().out.splitlines()]
+    assert {(c["signature"], c["dependency"]["coordinates"]) for c in row["constructs"]} >= {("A", "org:wide:1"), ("B.make", "org:deep:2")}
