@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.operators.pages import paged
+
 
 def value_change(old: Column, new: Column) -> Column:
     return F.struct(old.alias("oldValue"), new.alias("newValue"), (~old.eqNullSafe(new)).alias("changed"))
@@ -56,3 +58,13 @@ def report(classes: DataFrame, old_jar: str, new_jar: str) -> DataFrame:
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     of_report = F.struct("totalClasses", "changedClasses", "changedMembers").alias("summary")
     return rows.select(F.lit(old_jar).alias("oldJar"), F.lit(new_jar).alias("newJar"), now.alias("generatedAt"), of_report, F.transform("c", lambda x: x["c"]).alias("classes"))
+
+
+def report_pages(classes: DataFrame, old_jar: str, new_jar: str, size: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """report() of any number of classes: a head row without them, but with how many pages they take, and the pages, classes by name."""
+    kept = changed(classes).withColumn("oldJar", F.lit(old_jar)).withColumn("newJar", F.lit(new_jar))
+    counts, pages = paged(kept, ["oldJar", "newJar"], ["fullyQualifiedName"], size)
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    head = classes.agg(*_summary()).select(F.lit(old_jar).alias("oldJar"), F.lit(new_jar).alias("newJar"), now.alias("generatedAt"), F.struct("totalClasses", "changedClasses", "changedMembers").alias("summary"))
+    none = F.lit(0).cast("long")
+    return head.join(counts, ["oldJar", "newJar"], "left").withColumns({c: F.coalesce(c, none) for c in ("items", "pages")}), pages

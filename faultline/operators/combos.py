@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.categories import blank, matches
+from faultline.operators.pages import paged
 
 KEY = ("dependencyGroupID", "dependencyArtifactID", "previousVersion", "newVersion")
 
@@ -46,3 +47,21 @@ def totals(records: DataFrame, category: str | None = None) -> DataFrame:
         F.count_if(wanted).alias("filteredRecords"),
         F.count_distinct(F.when(wanted & _complete(), key)).alias("uniqueCombinations"),
     )
+
+
+def combination_pages(records: DataFrame, category: str | None = None, size: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """combinations() with all records, of any number: heads (the key and count, how many items and pages each list has) and pages of lists.
+
+    Lists are projects, breakingCommits and failureCategories, distinct, sorted and
+    without nulls, and records, whole and in the order of their commits; a page has the
+    key, list, page and items, each a value, and in records the record too.
+    """
+    key = [F.col(f"updatedDependency.{k}").alias(k) for k in KEY]
+    rows = usable(records, category).select(*key, F.struct(*records.columns).alias("record"))
+    none = F.lit(None).cast(rows.schema["record"].dataType)
+    lists = [rows.select(*KEY, F.lit(name).alias("list"), F.col("record")[field].alias("value"), none.alias("record")).where("value IS NOT NULL").distinct() for name, field in (("projects", "project"), ("breakingCommits", "breakingCommit"), ("failureCategories", "failureCategory"))]
+    whole = rows.select(*KEY, F.lit("records").alias("list"), F.col("record.breakingCommit").alias("value"), "record")
+    items = lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(whole)
+    heads, pages = paged(items, [*KEY, "list"], ["value"], size)
+    counts = rows.groupBy(*KEY).agg(F.count("*").alias("count"))
+    return counts.join(heads, [*KEY]), pages

@@ -806,3 +806,26 @@ def compared_archives(spark, sf_dir):
     old, new = (classfiles.classes(readers.archive_entries(_class_jars(spark, sf_dir, x))) for x in (False, True))
     found = classfiles.compare_archives(old, new)
     return found.select("type", "name", "changeStatus", F.col("moved.oldValue").alias("declaredBefore"), F.col("moved.newValue").alias("declaredNow"))
+
+
+# --- lists in pages -----------------------------------------------------------------
+
+
+@query(_R + """, i AS (SELECT g, a, p, n, 'projects' AS list, project AS value FROM u GROUP BY ALL UNION ALL SELECT g, a, p, n, 'breakingCommits', commit_id FROM u GROUP BY ALL UNION ALL SELECT g, a, p, n, 'failureCategories', c FROM u WHERE c IS NOT NULL GROUP BY ALL UNION ALL SELECT g, a, p, n, 'records', commit_id FROM u),
+  z AS (SELECT *, (row_number() OVER (PARTITION BY g, a, p, n, list ORDER BY value COLLATE BINARY) - 1) // 7 AS page FROM i)
+  SELECT g AS dependencyGroupID, a AS dependencyArtifactID, p AS previousVersion, n AS newVersion, list, page, count(*) AS size, string_agg(value, ',' ORDER BY value COLLATE BINARY) AS "values" FROM z GROUP BY ALL""".replace(" COLLATE BINARY", ""))
+def combination_pages(spark, sf_dir):
+    """Version combinations with all their records, and what they have, seven a page."""
+    _, pages = combos.combination_pages(_records(spark, sf_dir), size=7)
+    return pages.select(*combos.KEY, "list", "page", F.size("items").cast("long").alias("size"), F.array_join(F.transform("items", lambda x: x["value"]), ",").alias("values"))
+
+
+@query(_C + """, k AS (SELECT *, row_number() OVER (ORDER BY fqn) - 1 AS i FROM classes WHERE status <> 'UNCHANGED' OR NOT bc)
+  SELECT i // 4 AS page, string_agg(fqn || status, ',' ORDER BY fqn) AS names, (SELECT count(*) FROM classes) AS total, (SELECT count(*) FROM k) AS items, (SELECT (count(*) + 3) // 4 FROM k) AS pages FROM k GROUP BY ALL""")
+def comparison_pages(spark, sf_dir):
+    """A comparison report whose classes are in pages of four, beside its head."""
+    classes = impact.last_of(_classes(spark, sf_dir), "fullyQualifiedName", "n").drop("n")
+    head, pages = apidiff.report_pages(classes, "old.jar", "new.jar", size=4)
+    names = F.array_join(F.transform(F.col("items"), lambda c: F.concat(c["fullyQualifiedName"], c["changeStatus"])), ",")
+    rows = pages.select("oldJar", "newJar", "page", names.alias("names"))
+    return rows.join(head.select("oldJar", "newJar", F.col("summary.totalClasses").alias("total"), "items", "pages"), ["oldJar", "newJar"]).select("page", "names", "total", "items", "pages")

@@ -56,3 +56,9 @@ def write_recipes(replies: DataFrame, path: str) -> None:
     kinds = found.select(F.lit("recipes").alias("artifact_kind"), "name", F.col("code").alias("content"))
     runs = found.select(F.lit("runs").alias("artifact_kind"), "name", recipe_runner(F.col("code")).alias("content"))
     write_artifacts(kinds.unionByName(runs), path)
+
+
+def write_paged(heads: DataFrame, pages: DataFrame, path: str) -> None:
+    """Heads and pages of lists (operators.pages) below path; a page is a row, whatever its list's length."""
+    pages.write.mode("overwrite").parquet(f"{path}/pages")
+    heads.write.mode("overwrite").parquet(f"{path}/heads")
