@@ -295,12 +295,10 @@ def text_diff(spark, sf_dir):
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upsert(spark, sf_dir):
     """The events as a stream in batches of one file, merged by key into a versioned table."""
-    import uuid
-
-    from faultline.plans.storage import shared
+    from faultline.plans.storage import scratch
     from faultline.streaming.upserts import each_batch, upsert_into
 
-    base = f"{shared(spark)}/upsert-{uuid.uuid4().hex}"
+    base = scratch(spark, "upsert")
     schema = _t(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
     table = upsert_into(_uri(f"{base}/table"), "user_id", "ts", "event_id", buckets=16)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +29,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
+
+
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, as a URI; it goes at the driver's end."""
+    folder = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder if re.match(r"\w+:", folder) else f"file://{folder}")
+    return _SCRATCH[-1]
+
+
+def _cleared() -> None:
+    for folder in _SCRATCH:
+        with contextlib.suppress(OSError, ValueError):
+            where, path = fs.FileSystem.from_uri(folder)
+            where.delete_dir(path)
+
+
+atexit.register(_cleared)

@@ -9,9 +9,9 @@ from __future__ import annotations
 import functools
 import io
 import struct
-import uuid
 import zipfile
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from faultline.functions import categories, prompts, text
 from faultline.operators import apidiff, buildlog, combos, constructs, edits, flow, impact, inheritance, lookup, resolve, rewrite, segments, state, trees
 from faultline.plans import repair
-from faultline.plans.catalogue import _R, _case, _records, _t, _uri, query
-from faultline.plans.storage import shared
+from faultline.plans.catalogue import _R, _case, _records, _t, query
+from faultline.plans.storage import scratch
 from faultline.sources import classfiles, readers, writers
+from faultline.streaming import attempts, growing
 
 # --- logs -----------------------------------------------------------------------
 
@@ -287,7 +288,7 @@ def repair_progress(spark, sf_dir):
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
 def resumed_run(spark, sf_dir):
     """What a run has still to do, by the results that one before wrote as JSON."""
-    path = f"{shared(spark)}/results-{uuid.uuid4().hex}"
+    path = scratch(spark, "results")
     done = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("breakingCommit"), F.lit("p").alias("processId"), F.col("o_orderdate").alias("t"))
     writers.write_json(state.latest(done, "breakingCommit", "t").drop("t"), path)
     rows = _t(spark, sf_dir, "customer").withColumn("breakingCommit", F.col("c_custkey").cast("string"))
@@ -309,10 +310,10 @@ def stream_state(spark, sf_dir):
     """The latest event of each user, held in a stream's state by number, not by text."""
     from faultline.streaming.upserts import KeyedTable, each_batch, latest_in_state
 
-    base, schema = f"{shared(spark)}/state-{uuid.uuid4().hex}", _t(spark, sf_dir, "events").schema
+    base, schema = scratch(spark, "state"), _t(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     found = latest_in_state(stream, "user_id", "event_type", "event_id")
-    table = KeyedTable(_uri(f"{base}/table"), "user_id", "event_id", buckets=16)
+    table = KeyedTable(f"{base}/table", "user_id", "event_id", buckets=16)
     each_batch(found, table, f"{base}/checkpoint", once=True, mode="update").awaitTermination()
     return table.read(spark, found.schema).select("user_id", "event_id", "event_type")
 
@@ -331,7 +332,7 @@ def windowed_counts(spark, sf_dir):
 
 def _written(entries: DataFrame, name: str) -> str:
     """A folder below the shared one that holds entries (path, entry, content) as files."""
-    folder = _uri(f"{shared(entries.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    folder = scratch(entries.sparkSession, name)
     readers.extract(entries, folder).write.format("noop").mode("overwrite").save()
     return folder
 
@@ -390,7 +391,7 @@ def extracted_sources(spark, sf_dir):
 @query("SELECT 'diffs' AS artifact_kind, n_name AS name, '--- original' || chr(10) || '+++ updated' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || ' ' || n_name || chr(10) || '-old' || chr(10) || '+new' || chr(10) AS content FROM nation")
 def artifact_folders(spark, sf_dir):
     """Diffs kept in a folder for their kind, and read again."""
-    path = f"{shared(spark)}/artifacts-{uuid.uuid4().hex}"
+    path = scratch(spark, "artifacts")
     text_ = lambda last: F.concat("n_name", F.lit(f"\n{last}\n"))
     writers.write_diffs(_t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), text_("old").alias("original"), text_("new").alias("updated")), path)
     return spark.read.parquet(path).select("artifact_kind", "name", "content")
@@ -400,7 +401,7 @@ def artifact_folders(spark, sf_dir):
   UNION ALL SELECT 'runs', CAST(n_nationkey AS STRING), '<activeRecipes><recipe>a.R' || CAST(n_nationkey AS STRING) || '</recipe></activeRecipes>' FROM nation""")
 def recipe_artifacts(spark, sf_dir):
     """The recipes of replies and what runs them, kept in folders for their kinds, and read again."""
-    path = f"{shared(spark)}/recipes-{uuid.uuid4().hex}"
+    path = scratch(spark, "recipes")
     code = F.concat(F.lit("package a;\npublic class R"), "n_nationkey", F.lit(" extends Recipe { }"))
     writers.write_recipes(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.concat(F.lit("Here:\n```java\n"), code, F.lit("\n```\n")).alias("reply")), path)
     return spark.read.parquet(path).select("artifact_kind", F.col("name").cast("string").alias("name"), "content")
@@ -829,3 +830,42 @@ def comparison_pages(spark, sf_dir):
     names = F.array_join(F.transform(F.col("items"), lambda c: F.concat(c["fullyQualifiedName"], c["changeStatus"])), ",")
     rows = pages.select("oldJar", "newJar", "page", names.alias("names"))
     return rows.join(head.select("oldJar", "newJar", F.col("summary.totalClasses").alias("total"), "items", "pages"), ["oldJar", "newJar"]).select("page", "names", "total", "items", "pages")
+
+
+# --- streams ------------------------------------------------------------------------
+
+
+@query(_E.replace(LOG, _GIANT).replace(f"CASE WHEN NOT ({MISSING}) THEN", "CASE WHEN true THEN").replace("\nlines AS (", "\nown AS (", 1).replace("\ns AS (SELECT", "\nlines AS (SELECT (log_id::BIGINT // 128)::VARCHAR AS log_id, row_number() OVER (ORDER BY log_id::BIGINT, n) AS n, line FROM own),\ns AS (SELECT", 1)
+  + " SELECT log_id, seq, filePath, lineNumber, message, details FROM e")
+def growing_logs(spark, sf_dir):
+    """Logs of 128 documents each that grow over three batches of a stream, cut wherever; each error once."""
+    base = scratch(spark, "growing")
+    one = F.struct("doc_id", F.expr(_GIANT).alias("text"))
+    logs = _t(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 128).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["text"]), "\n").alias("text"))
+    for k in (1, 2, 3):
+        part = F.when(F.lit(k == 3), F.concat("text", F.lit("\n"))).otherwise(F.substring("text", F.lit(1), F.floor(F.length("text") * k / 3).cast("int")))
+        entries = logs.select(F.lit("logs").alias("path"), F.concat(F.lit("g"), "g", F.lit(".log")).alias("entry"), part.cast("binary").alias("content"))
+        readers.extract(entries, f"{base}/in").write.format("noop").mode("overwrite").save()
+        growing.keep_lines(growing.stream(spark, f"{base}/in"), f"{base}/lines", f"{base}/checkpoint", once=True).awaitTermination()
+    found = growing.kept_errors(spark, f"{base}/lines")
+    return found.select(F.regexp_extract("log_id", r"g(\d+)\.log$", 1).alias("log_id"), "seq", "filePath", "lineNumber", "message", F.array_join("details", " / ").alias("details"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events), m AS (SELECT max(ms) - 600000 AS mark FROM e),
+  g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 36000500 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS run FROM g),
+  s AS (SELECT user_id, run, min(ms) AS began, max(ms) AS ended, count(*) AS attempts, string_agg(event_type, ',' ORDER BY ms, event_id) AS categories, bool_or(event_type = 'click') AS succeeded FROM r GROUP BY ALL)
+  SELECT CAST(user_id AS VARCHAR) AS "commit", began, ended, attempts, categories, succeeded FROM s, m WHERE ended + 36000500 < mark""")
+def attempt_runs(spark, sf_dir):
+    """Runs of attempts that are over, from state with timers: events of a user with no gap of ten hours."""
+    base, before = scratch(spark, "runs"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    stream = spark.readStream.schema(_t(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    tried = stream.select(F.col("user_id").alias("breakingCommit"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("n"), F.col("event_type").alias("category"))
+    attempts.with_rocksdb(spark)
+    try:
+        found = attempts.closed_runs(tried, timedelta(milliseconds=36_000_500), success="click")
+        found.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    ms = lambda c: F.unix_millis(c).alias(c)
+    return spark.read.schema(attempts.RUN).parquet(f"{base}/out").select(F.col("breakingCommit").alias("commit"), ms("began"), ms("ended"), "attempts", F.array_join("categories", ",").alias("categories"), "succeeded")
