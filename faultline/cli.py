@@ -5,13 +5,15 @@
     python -m faultline.cli impact USAGES CLASSES [-o OUT] [--simple-names] [--dependency TEXT]
     python -m faultline.cli report --project DIR --file FILE --line N --changes CLASSES --old JAR --new JAR [--classpath JARS] [-o OUT]
     python -m faultline.cli lines --project DIR [--file FILE] [--line N] [--classpath JARS] [--dependency TEXT]
-    python -m faultline.cli run -i RECORDS -p PROJECTS -o OUT [-c CATEGORY] [-f NAME] [-j OUT] [--force] [-a N] [-t N] [--no-classify]
+    python -m faultline.cli run -i RECORDS -p PROJECTS -o OUT [-c CATEGORY] [-f NAME] [-j OUT] [--force] [-a N] [-t N] [--clean] [--verbose] [--no-classify]
     python -m faultline.cli combinations RECORDS [-c CATEGORY] [-o OUT]
 
 Inputs are logs, or JSON with the schemas in faultline.schemas; snapshots are JSON rows
 with fullyQualifiedName and columns to compare, or both are jars, whose classes are
 compared with all that they inherit. JARS is a folder of jars, in which the types of
-constructs are looked for; the project's own come first. At most --rows rows are printed; files
+constructs are looked for; the project's own come first. A run tries
+records whose build failed again until they had -a attempts, reads logs in -t tasks at
+once, and with --clean forgets the results of runs before. At most --rows rows are printed; files
 hold all. Exit: 1 for wrong arguments, 2 for a failure.
 """
 
@@ -72,8 +74,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-f", "--file")
     p.add_argument("-j", "--json-output")
     p.add_argument("-a", "--attempts", type=_at_least_one, default=1)
-    p.add_argument("-t", "--threads", type=_at_least_one, default=4)
+    p.add_argument("-t", "--threads", type=_at_least_one, default=None)
     p.add_argument("--force", action="store_true")
+    p.add_argument("--clean", action="store_true")
+    p.add_argument("--verbose", action="store_true")
     p.add_argument("--no-classify", action="store_true")
     p = kinds.add_parser("combinations")
     p.add_argument("records")
@@ -160,7 +164,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if a.no_classify:
                 _show(readers.records(spark, f"{a.input}/{a.file}.json" if a.file else a.input))
             else:
-                results, rejected = batch.run(spark, a.input, a.projects, a.output, a.category, a.file, a.force)
+                results, rejected = batch.run(spark, a.input, a.projects, a.output, a.category, a.file, a.force or a.clean, a.attempts, a.threads, a.clean)
+                if a.verbose:
+                    for row in results.groupBy("failureCategory").count().orderBy("failureCategory").collect():  # a row a category
+                        print(f"{row[0]}: {row[1]}", file=sys.stderr)
                 writers.write_json(results, a.json_output, pretty=True)
                 _show(results)
                 _show(rejected.select("breakingCommit", "reason"))

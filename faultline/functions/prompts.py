@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
-from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,10 +35,14 @@ OWN_DIFF = "What changed in the dependency:\n{DEPENDENCY_CHANGE_DIFF}\nWrite rul
 
 
 def templates(folder: str | None = None) -> dict[str, str]:
-    """The text of each formatter: that in folder/<id>.txt, with {NAME} for values, else our own."""
+    """The text of each formatter: that in folder/<id>.txt, with {NAME} for values, else our own. folder: a path or a URI; it has a text for each kind, no more."""
     out = {i: OWN_DIFF if i.startswith("baseline") else OWN for i in IDS}
-    for path in Path(folder).glob("*.txt") if folder else ():
-        out[path.stem] = path.read_text()
+    if folder:
+        where, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        for x in where.get_file_info(fs.FileSelector(path)):
+            if x.extension == "txt":
+                with where.open_input_stream(x.path) as f:
+                    out[x.base_name.removesuffix(".txt")] = f.read().decode()
     return out
 
 

@@ -15,7 +15,7 @@ from faultline.schemas import PROCESSED
 from faultline.sources import readers, writers
 
 
-def logs_of(spark: SparkSession, records: DataFrame, projects: str) -> DataFrame:
+def logs_of(spark: SparkSession, records: DataFrame, projects: str, threads: int | None = None) -> DataFrame:
     """project, breakingCommit, logPath and content of the log of each record that has one, below projects/<commit>."""
     files = readers.listing(spark, projects, "*.log")
     root = re.sub(r"^\w+:/+", "/", projects).rstrip("/") + "/"
@@ -24,6 +24,7 @@ def logs_of(spark: SparkSession, records: DataFrame, projects: str) -> DataFrame
     named = records.select(F.col("breakingCommit").alias("commit"), F.coalesce("project", F.lit("")).alias("project")).distinct()
     picked = readers.pick_log(found.join(named, "commit"))
     content = readers.logs(spark, projects, recursive=True).select(F.col("log_id").alias("path"), "content")
+    content = content.coalesce(threads) if threads else content
     return picked.join(content, "path").select("project", F.col("commit").alias("breakingCommit"), F.col("path").alias("logPath"), "content")
 
 
@@ -59,26 +60,29 @@ def _replace(results: DataFrame, output: str) -> None:
     where.move(f"{path}/results-new", f"{path}/results")
 
 
-def run(spark: SparkSession, source: str, projects: str, output: str, category: str | None = None, only: str | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def run(spark: SparkSession, source: str, projects: str, output: str, category: str | None = None, only: str | None = None, force: bool = False, attempts: int = 1, threads: int | None = None, clean: bool = False) -> tuple[DataFrame, DataFrame]:
     """The results kept below output after the run, and the records that it rejected with a reason.
 
     source: a folder of records, or a file; only: the name of one file in it. Records of
     another category, if one is given, and those that output has a result for are left
-    out; force does the latter anew. A project's commit has one result: of records that
+    out; force does the latter anew, and of those whose build failed so do more attempts
+    than they have had. threads: how many tasks read logs at once. clean: forget what was kept before. A project's commit has one result: of records that
     share both one is kept where they agree, and all are rejected where they don't.
     """
     records = readers.records(spark, f"{source.rstrip('/')}/{only}.json" if only else source)
     if category:
         records = records.where(matches(F.col("failureCategory"), category))
-    before = kept_results(spark, output)
+    before = spark.createDataFrame([], PROCESSED) if clean else kept_results(spark, output)
     records = _keyed(records)
     if not force:
-        records = lookup.unprocessed(records, _keyed(before), "_key")
+        done = (F.col("failureCategory") == "BUILD_SUCCESS") | (F.coalesce("attempts", F.lit(1)) >= attempts)
+        records = lookup.unprocessed(records, _keyed(before.where(F.coalesce(done, F.lit(True)))), "_key")
     same = records.groupBy("_key").agg(F.count_distinct(F.to_json(F.struct(*records.drop("_key").columns))).alias("_n"))
     told = records.dropDuplicates(["_key"]).join(same, "_key")
     clashing = told.where("_n > 1").select("project", "breakingCommit", F.lit("records clash").alias("reason"))
-    results, rejected = buildlog.processed(told.where("_n = 1").drop("_key", "_n"), logs_of(spark, records, projects))
-    now = results.select(*before.columns)
+    results, rejected = buildlog.processed(told.where("_n = 1").drop("_key", "_n"), logs_of(spark, records, projects, threads))
+    tried = _keyed(before).select("_key", F.coalesce("attempts", F.lit(1)).alias("_tried"))
+    now = _keyed(results).join(tried, "_key", "left").withColumn("attempts", F.coalesce("_tried", F.lit(0)) + 1).select(*before.columns)
     kept = _keyed(before).join(_keyed(now).select("_key"), "_key", "left_anti").select(*before.columns).unionByName(now)
     writers.write_json(rejected.select("project", "breakingCommit", "reason").unionByName(clashing), f"{output}/rejected")
     _replace(kept, output)

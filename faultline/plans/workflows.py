@@ -869,3 +869,96 @@ def attempt_runs(spark, sf_dir):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     ms = lambda c: F.unix_millis(c).alias(c)
     return spark.read.schema(attempts.RUN).parquet(f"{base}/out").select(F.col("breakingCommit").alias("commit"), ms("began"), ms("ended"), "attempts", F.array_join("categories", ",").alias("categories"), "succeeded")
+
+
+# --- readers, sinks and orders, over larger tables --------------------------------------
+
+
+@query("""SELECT c_custkey, concat_ws(',', 'c_custkey', CASE WHEN c_acctbal >= 0 THEN 'balance' END, CASE WHEN c_custkey % 3 = 0 THEN 'inner' END, 'list') AS keys, CASE WHEN c_custkey % 3 = 0 THEN '[{"a":1},{}]' ELSE '[]' END AS list FROM customer""")
+def json_sink(spark, sf_dir):
+    """Rows written as JSON: fields that are null are left out, at any depth."""
+    folder = scratch(spark, "json")
+    third = F.col("c_custkey") % 3 == 0
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), F.when(third, F.struct(F.col("c_name").alias("n"), F.lit(None).cast("string").alias("no"))).alias("inner"), F.when(third, F.array(F.struct(F.lit(1).alias("a")), F.struct(F.lit(None).cast("int").alias("a")))).otherwise(F.array().cast("array<struct<a:int>>")).alias("list"))
+    writers.write_json(rows, folder)
+    lines = spark.read.text(folder)
+    return lines.select(F.get_json_object("value", "$.c_custkey").cast("long").alias("c_custkey"), F.array_join(F.json_object_keys("value"), ",").alias("keys"), F.get_json_object("value", "$.list").alias("list"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS author, c_name AS project, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS artifact, row_number() OVER (ORDER BY c_custkey % 97, c_custkey) AS place FROM customer""")
+def ordered_reports(spark, sf_dir):
+    """Reports in files, read with names of our own in the order of their paths; the place is that in which rows come."""
+    customer = _t(spark, sf_dir, "customer")
+    dependency = F.when(F.col("c_custkey") % 2 == 0, F.struct(F.col("c_mktsegment").alias("dependencyArtifactID")))
+    rows = customer.select("c_custkey", F.col("c_name").alias("project"), F.col("c_custkey").cast("string").alias("prAuthor"), dependency.alias("updatedDependency"))
+    name = F.format_string("%03d-%09d.json", F.col("c_custkey") % 97, "c_custkey")
+    folder = _written(rows.select(F.lit("in").alias("path"), name.alias("entry"), writers.as_json("project", "prAuthor", "updatedDependency").cast("binary").alias("content")), "ordered")
+    found = readers.records(spark, f"{folder}/in", {"prAuthor": "author"}).withColumn("_at", F.monotonically_increasing_id())
+    return found.select("author", "project", F.col("updatedDependency.dependencyArtifactID").alias("artifact"), F.row_number().over(Window.orderBy("_at")).alias("place"))
+
+
+@query("""SELECT 'good' AS folder, count(*) AS n, false AS failed FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'bad', NULL, true UNION ALL SELECT 'one', 1, false""")
+def malformed_reports(spark, sf_dir):
+    """A malformed file ends the scan of its folder; others, and one file by its path, are read."""
+    customer = _t(spark, sf_dir, "customer")
+    of = lambda folder, text: F.struct(F.lit(folder).alias("path"), F.concat("c_custkey", F.lit(".json")).alias("entry"), text.cast("binary").alias("content"))
+    good = F.concat(F.lit('{"project": "'), "c_name", F.lit('"}'))
+    bad = F.when(F.col("c_acctbal") < 0, F.concat(F.lit('{"project": '), "c_name")).otherwise(good)
+    folder = _written(customer.where("c_acctbal >= 0").select(of("good", good).alias("x")).select("x.*").unionByName(customer.select(of("bad", bad).alias("x")).select("x.*")), "malformed")
+    one = customer.where("c_acctbal >= 0").agg(F.min("c_custkey")).first()[0]
+
+    def read(name: str, path: str) -> DataFrame:
+        try:
+            n = readers.report_files(spark, path).where("record.project IS NOT NULL").count()
+        except Exception as e:  # noqa: BLE001
+            if "MALFORMED_RECORD" not in str(e):
+                raise
+            n = None
+        return spark.createDataFrame([(name, n, n is None)], "folder string, n long, failed boolean")
+
+    return read("good", f"{folder}/good").unionByName(read("bad", f"{folder}/bad")).unionByName(read("one", f"{folder}/good/{one}.json"))
+
+
+@query("SELECT c_custkey, c_name AS name, coalesce(CASE WHEN c_acctbal < 0 THEN c_mktsegment END, 'none') AS segment, true AS named FROM customer")
+def keyed_settings(spark, sf_dir):
+    """Settings looked up whatever the case of their names, with a default, and a required one."""
+    settings = F.map_filter(F.create_map(F.lit("NAME"), F.col("c_name"), F.lit("SEGMENT"), F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment"))), lambda k, v: v.isNotNull())
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", settings.alias("s"))
+    return rows.select("c_custkey", readers.setting(F.col("s"), "Name").alias("name"), readers.setting(F.col("s"), "segment", "none").alias("segment"), (readers.setting(F.col("s"), "NAME", required=True) != "").alias("named"))
+
+
+@query("SELECT o_orderkey, true AS short, true AS own FROM orders")
+def process_ids(spark, sf_dir):
+    """Each process gets an id of eight hexadecimal digits, which hardly ever is another's."""
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", text.short_id().alias("id"))
+    alike = rows.groupBy(F.substring("id", 1, 4).alias("_b")).agg(F.count("*").alias("_n"))
+    found = rows.withColumn("_b", F.substring("id", 1, 4)).join(alike, "_b")
+    return found.select("o_orderkey", F.col("id").rlike("^[0-9a-f]{8}$").alias("short"), (F.col("_n") < 1000).alias("own"))
+
+
+@query(_R + """, k AS (SELECT g, a, p, n, count(*) AS c FROM u GROUP BY ALL) SELECT g AS dependencyGroupID, a AS dependencyArtifactID, p AS previousVersion, n AS newVersion, row_number() OVER (ORDER BY c DESC, g, a, p, n) AS place FROM k""")
+def ordered_combinations(spark, sf_dir):
+    """Combinations come the most frequent first, ties by key; the place is that in which rows come."""
+    found = combos.combinations(_records(spark, sf_dir)).withColumn("_at", F.monotonically_increasing_id())
+    return found.select(*combos.KEY, F.row_number().over(Window.orderBy("_at")).alias("place"))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)) AS tag FROM pages) SELECT tag, row_number() OVER (ORDER BY tag) AS place, (SELECT count(*) FROM pages, LATERAL (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)) AS x) WHERE x = tag) AS n FROM t""")
+def distinct_tags(spark, sf_dir):
+    """What a visitor flattens, makes distinct and sorts: the tags of all pages."""
+    files = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("content"))
+    found = rewrite.find_all(files, "<[a-z0-9]+[ >]", "tag").select(F.regexp_extract("code", "<([a-z0-9]+)", 1).alias("tag"))
+    counts = found.groupBy("tag").agg(F.count("*").alias("n")).orderBy("tag").withColumn("_at", F.monotonically_increasing_id())
+    return counts.select("tag", F.row_number().over(Window.orderBy("_at")).alias("place"), "n")
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_custkey, o_orderstatus, (o_orderkey % 9)::INTEGER AS i FROM orders)
+  SELECT o_orderkey, 'Kind ' || i || ' of ' || (CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE 'unknown' END) || chr(10) || (CASE WHEN o_orderstatus = 'P' THEN chr(10) || 'Related API changes' || chr(10) || o_orderstatus || chr(10) || chr(10) ELSE '' END) || '0 ends' AS prompt FROM k""")
+def prompt_folder(spark, sf_dir):
+    """Prompts by nine formatters whose texts lie in a folder."""
+    kinds = spark.createDataFrame(list(enumerate(prompts.IDS)), "i int, id string")
+    body = F.concat(F.lit("Kind "), "i", F.lit(" of {PROJECT}\n{FILE_RELATED_CHANGES}{FILE_ERROR_COUNT} ends"))
+    folder = _written(kinds.select(F.lit("texts").alias("path"), F.concat("id", F.lit(".txt")).alias("entry"), body.cast("binary").alias("content")), "prompts")
+    kind = F.element_at(F.array(*[F.lit(i) for i in prompts.IDS]), (F.col("o_orderkey") % 9 + 1).cast("int"))
+    values = F.create_map(F.lit("PROJECT"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")), F.lit("FILE_RELATED_CHANGES"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderstatus")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", prompts.rendered(kind, values, f"{folder}/texts").alias("prompt"))

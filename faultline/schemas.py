@@ -40,6 +40,6 @@ VERSION_COMBINATION = "dependencyGroupId STRING, dependencyArtifactId STRING, pr
 ATTEMPT = "attemptCount INT, processId STRING, failureCategory STRING, logFileParent STRING, successful BOOLEAN, containerId STRING"
 RESULT = f"breakingCommit STRING, processId STRING, fullProcessId STRING, failureCategory STRING, attempts ARRAY<STRUCT<{ATTEMPT}>>"
 SUMMARY = f"breakingCommit STRING, project STRING, initialCategory STRING, finalCategory STRING, logPath STRING, reportPath STRING, processId STRING, attempts ARRAY<STRUCT<{ATTEMPT}>>"
-#: A result of one record, as a run keeps it.
-PROCESSED = "project STRING, breakingCommit STRING, containerPath STRING, logPath STRING, failureCategory STRING, totalErrors INT, errorsByFile MAP<STRING, INT>, finishedAt TIMESTAMP"
+#: A result of one record, as a run keeps it; attempts: how often it was tried.
+PROCESSED = "project STRING, breakingCommit STRING, containerPath STRING, logPath STRING, failureCategory STRING, totalErrors INT, errorsByFile MAP<STRING, INT>, finishedAt TIMESTAMP, attempts INT"
 CONFIG = "key STRING, value STRING"

@@ -99,6 +99,27 @@ def test_projects_that_share_a_commit(spark, tmp_path):
         assert rejected.count() == 0
 
 
+def test_attempts_and_threads(spark, tmp_path, capsys):
+    """What failed is tried again until it had its attempts, what succeeded isn't; a clean run begins anew."""
+    rec, projects, out = tmp_path / "rec", tmp_path / "projects", str(tmp_path / "out")
+    for commit, text in (("c1", "COMPILATION ERROR"), ("c2", "BUILD SUCCESS")):
+        _record(rec, commit, "p", commit)
+        _log(projects, commit, "p", text)
+    run = ["run", "-i", str(rec), "-p", str(projects), "-o", out, "-t", "1"]
+
+    def tried(*more):
+        assert cli.main([*run, *more], spark) == 0
+        return {r.breakingCommit: r.attempts for r in batch.kept_results(spark, out).collect()}
+
+    assert tried() == tried() == {"c1": 1, "c2": 1}
+    assert tried("-a", "3") == {"c1": 2, "c2": 1}
+    assert tried("-a", "3") == tried("-a", "3") == {"c1": 3, "c2": 1}
+    _log(projects, "c1", "p", "BUILD SUCCESS")
+    assert tried("-a", "9") == {"c1": 4, "c2": 1} and tried("-a", "9") == {"c1": 4, "c2": 1}
+    capsys.readouterr()
+    assert tried("--clean", "--verbose") == {"c1": 1, "c2": 1} and "BUILD_SUCCESS: 2" in capsys.readouterr().err
+
+
 def test_records_that_repeat_or_clash(spark, tmp_path):
     rec, projects = tmp_path / "rec", tmp_path / "projects"
     _record(rec, "a", "p", "c1")
