@@ -5,7 +5,9 @@ and the sequence of ids is matched against ordered rules: a rule's ids have to o
 in their order, and the first rule that matches names the licence. A sentence that
 isn't known as a whole is cut at its line ends, and each line is looked up in its place,
 since notices stand alone on lines and licences are found wrapped; so a sentence counts
-once, and the sequence is the text's.
+once, and the sequence is the text's. Signs that mark lines as comments are taken off
+before, so an empty line of a comment parts sentences as any other. Of an SPDX expression
+(with OR, AND, WITH and brackets) that isn't known as a whole each identifier counts.
 
 Everything is a projection of one row: a map of known sentences is a literal of the
 plan, and no row meets another. Texts without any of a few stems, which every known
@@ -118,6 +120,18 @@ SENTENCES = {
     "lgpl-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
     "lgpl-modify": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "lgpl-later-21": "either version 2 1 of the license or at your option any later version",
+    "mit-project": "this project is licensed under the mit license",
+    "mit-see": "licensed under the mit license see the license file",
+    "mit-see-2": "licensed under the mit license see the license file for details",
+    "mit-see-3": "this project is licensed under the mit license see the license file for details",
+    "mit-see-4": "this project is licensed under the mit license see the license md file for details",
+    "mit-distributed": "distributed under the mit license",
+    "apache-short": "licensed under the apache license 2 0",
+    "apache-project": "this project is licensed under the apache license 2 0",
+    "apache-see-2": "this project is licensed under the apache license 2 0 see the license file for details",
+    "apache-see-3": "licensed under the apache license version 2 0 see the license file for details",
+    "gpl3-project": "this project is licensed under the gnu general public license v3 0",
+    "bsd3-project": "this project is licensed under the bsd 3 clause license",
 }
 
 #: Ordered rules: a licence, and ids that occur in this order.
@@ -193,6 +207,18 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-work",)),
     ("CC-BY-4.0", ("cc-by-notice",)),
     ("CC-BY-4.0", ("cc-by-work",)),
+    ("MIT", ("mit-project",)),
+    ("MIT", ("mit-see",)),
+    ("MIT", ("mit-see-2",)),
+    ("MIT", ("mit-see-3",)),
+    ("MIT", ("mit-see-4",)),
+    ("MIT", ("mit-distributed",)),
+    ("Apache-2.0", ("apache-short",)),
+    ("Apache-2.0", ("apache-project",)),
+    ("Apache-2.0", ("apache-see-2",)),
+    ("Apache-2.0", ("apache-see-3",)),
+    ("GPL-3.0-only", ("gpl3-project",)),
+    ("BSD-3-Clause", ("bsd3-project",)),
 )
 
 #: Each known sentence has one of these.
@@ -224,13 +250,16 @@ def _first(column: str) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids in their order, license (null if none) and licenses (all, in the rules' order)."""
     known = F.create_map(*[F.lit(x) for text, i in ((SENTENCES[k], n) for k, n in _NUMBER.items()) for x in (text, i)])
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), f"(?md){MARKS}", "")
     out = docs.select("doc_id", text.alias("_text"))
     worth = F.lit(False)
     for stem in STEMS:
         worth = worth | F.contains("_text", F.lit(stem))
     number = lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")))
-    lines = lambda s: F.filter(F.transform(F.split(s, "\n"), number), lambda i: i.isNotNull())
+    known_ones = lambda x: F.filter(x, lambda i: i.isNotNull())
+    spdx = lambda line: known_ones(F.transform(F.split(F.regexp_extract(line, SPDX, 1), JOINS), lambda i: number(F.concat(F.lit("spdx license identifier "), i))))
+    line = lambda x: F.transform(F.array(number(x)), lambda i: F.when(i.isNotNull(), F.array(i)).when(F.contains(x, F.lit("spdx-license-identifier")), spdx(x)))[0]
+    lines = lambda s: F.flatten(F.filter(F.transform(F.split(s, "\n"), line), lambda x: x.isNotNull()))
     sentences = F.split(F.regexp_replace("_text", ENDS, "\x01"), "\x01")
     ids = F.flatten(F.transform(sentences, lambda s: F.coalesce(F.transform(F.array(number(s)), lambda i: F.when(i.isNotNull(), F.array(i)))[0], lines(s))))
     out = out.select("doc_id", F.when(worth, ids).otherwise(F.array().cast("array<int>")).alias("_found"))
@@ -242,6 +271,11 @@ def scan(docs: DataFrame) -> DataFrame:
 #: Where a sentence ends: points before white space, and empty lines.
 ENDS = r"[.!?;]+([ \t\n\r]|$)|\n[ \t\r]*\n"
 
+#: Signs that mark a line as a comment, at its beginning or end; of an expression its identifiers, and what joins them.
+MARKS = r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--)[ \t]*|[ \t]*(?:\*+/|-->)[ \t\r]*$"
+SPDX = r"spdx-license-identifier:?(.*)"
+JOINS = r"[ \t()]+(?:or|and|with)[ \t()]+"
+
 
 def _oracle() -> str:
     """Rows of sentences joined with tables of known sentences and of the rules' steps; each step is found after the one before."""
@@ -256,14 +290,17 @@ def _oracle() -> str:
     return rf"""
 WITH known(s, i) AS (VALUES {known}),
 steps(rule, licence, step, i, n) AS (VALUES {steps}),
-d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '(?m){MARKS}', '', 'g') AS t FROM documents),
 cut AS (SELECT r, unnest(x) AS s, generate_subscripts(x, 1) AS a FROM (SELECT r, string_split(regexp_replace(t, '{ENDS}', chr(1), 'g'), chr(1)) AS x FROM d)),
 sentence AS (SELECT r, a, cut.s AS raw, i FROM cut LEFT JOIN known ON known.s = {plain.replace("{}", "cut.s")}),
 line AS (SELECT r, a, unnest(x) AS s, generate_subscripts(x, 1) AS b FROM (SELECT r, a, string_split(raw, chr(10)) AS x FROM sentence WHERE i IS NULL)),
+whole AS (SELECT r, a, b, line.s AS raw, known.i FROM line LEFT JOIN known ON known.s = {plain.replace("{}", "line.s")}),
+part AS (SELECT r, a, b, unnest(x) AS s, generate_subscripts(x, 1) AS c FROM (SELECT r, a, b, string_split_regex(regexp_extract(raw, '{SPDX}', 1), '{JOINS}') AS x FROM whole WHERE i IS NULL AND contains(raw, 'spdx-license-identifier'))),
 seq AS (
-  SELECT r, i, row_number() OVER (PARTITION BY r ORDER BY a, b) AS pos FROM (
-    SELECT r, a, 0 AS b, i FROM sentence WHERE i IS NOT NULL
-    UNION ALL SELECT r, a, b, known.i FROM line JOIN known ON known.s = {plain.replace("{}", "line.s")})),
+  SELECT r, i, row_number() OVER (PARTITION BY r ORDER BY a, b, c) AS pos FROM (
+    SELECT r, a, 0 AS b, 0 AS c, i FROM sentence WHERE i IS NOT NULL
+    UNION ALL SELECT r, a, b, 0, i FROM whole WHERE i IS NOT NULL
+    UNION ALL SELECT r, a, b, c, known.i FROM part JOIN known ON known.s = {plain.replace("{}", "('spdx license identifier ' || part.s)")})),
 {chain},
 matched AS ({ends}),
 firsts AS (SELECT licence, min(rule) AS place FROM steps GROUP BY licence),

@@ -48,6 +48,37 @@ def test_rules(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+#: Written by hand: comments of several kinds, expressions and short mentions, and what looks like them but is none.
+MARKED = {
+    1: ("MIT", "\n".join(f"# {x}".rstrip() for x in MIT.split("\n"))),
+    2: ("MIT", "/*\n" + "\n".join(f" * {x}".rstrip() for x in MIT.split("\n")) + "\n */\nint main() { }"),
+    3: ("MIT", "<!--\n" + MIT + "\n-->"),
+    4: ("MIT", "\n".join(f";; {x}".rstrip() for x in MIT.split("\n"))),
+    5: ("Apache-2.0,MIT", "// SPDX-License-Identifier: Apache-2.0 OR MIT"),
+    6: ("GPL-2.0-or-later,BSD-3-Clause", "/* SPDX-License-Identifier: (GPL-2.0-or-later AND BSD-3-Clause) */\nx"),
+    7: ("GPL-2.0-only", "# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note"),
+    8: ("GPL-3.0-or-later", "-- SPDX-License-Identifier: GPL-3.0-or-later"),
+    9: ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."),
+    10: ("MIT", "licensed under the MIT License - see the LICENSE file"),
+    11: ("MIT", "* This project is licensed under the MIT License - see the [LICENSE.md] file for details"),
+    12: ("", "SPDX-License-Identifier: LicenseRef-Own OR NONE"),
+    13: ("", "this project is not licensed under the mit license or any other"),
+    14: ("", "# permission is asked\n#\n# of everyone"),
+    15: ("Apache-2.0", "This project is licensed under the Apache License 2.0."),
+}
+
+
+def test_comments_expressions_and_mentions(spark, tmp_path):
+    from tests.oracle import compare
+
+    rows = [(k, t) for k, (_, t) in MARKED.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert {k: set(v.split(",")) for k, v in got.items()} == {k: set(v.split(",")) for k, (v, _) in MARKED.items()}
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}), f"{tmp_path}/documents.parquet")
+    compare(spark, str(tmp_path), lambda s, d: licenses.scan(s.read.parquet(f"{d}/documents.parquet")), licenses.ORACLE)
+
+
 def test_every_planted_line_is_found(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id for r in licenses.scan(docs).where("license IS NOT NULL").collect()}
