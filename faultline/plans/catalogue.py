@@ -164,14 +164,15 @@ def multi_index_lookup(spark, sf_dir):
 
 
 @query("""SELECT c_custkey, coalesce(s.found, n.n_name, r.r_name) AS found, CASE WHEN s.found IS NOT NULL THEN 1 WHEN n.n_name IS NOT NULL THEN 2 WHEN r.r_name IS NOT NULL THEN 3 END AS tier
-  FROM (SELECT *, c_nationkey % 5 AS reg FROM customer) c LEFT JOIN (SELECT s_suppkey, max(s_name) AS found FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY ALL) s ON s.s_suppkey = c.c_custkey
-  LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 12) n ON n.n_nationkey = c.c_nationkey LEFT JOIN region r ON r.r_regionkey = c.reg""")
+  FROM customer c LEFT JOIN (SELECT s_suppkey, max(s_name) AS found FROM supplier GROUP BY ALL) s ON s.s_suppkey = c.c_custkey
+  LEFT JOIN nation n ON n.n_nationkey = c.c_custkey % 40 LEFT JOIN region r ON r.r_regionkey = c.c_nationkey % 7""")
 def tiered_fallback(spark, sf_dir):
-    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_nationkey") % 5).alias("reg"))
-    first = _t(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").groupBy(F.col("s_suppkey").alias("c_custkey")).agg(F.max("s_name").alias("found"))
-    second = _t(spark, sf_dir, "nation").where("n_nationkey < 12").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("found"))
-    third = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("reg"), F.col("r_name").alias("found"))
-    return lookup.tiered(rows, [(first, ["c_custkey"]), (second, ["c_nationkey"]), (third, ["reg"])], "found").select("c_custkey", "found", "tier")
+    """Customers by their number among suppliers, else among nations, else by nation among regions; each tier lacks some."""
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 40).alias("second"), (F.col("c_nationkey") % 7).alias("third"))
+    first = _t(spark, sf_dir, "supplier").groupBy(F.col("s_suppkey").alias("c_custkey")).agg(F.max("s_name").alias("found"))
+    second = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("second"), F.col("n_name").alias("found"))
+    third = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("third"), F.col("r_name").alias("found"))
+    return lookup.tiered(rows, [(first, ["c_custkey"]), (second, ["second"]), (third, ["third"])], "found").select("c_custkey", "found", "tier")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
