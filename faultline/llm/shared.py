@@ -84,10 +84,12 @@ def located(docs: DataFrame, space: Workspace) -> DataFrame:
 
     They are a hash of the Parquet file's path and the row's place in it, whatever the
     rows hold. Of 10^6 files two have equal hashes with a chance of 3 in 10^8. What
-    isn't read from Parquet as it stands is written to space first.
+    isn't read from Parquet as it stands, or by expressions that may differ from one reading
+    to the next, is written to space first.
     """
-    steps = docs._jdf.queryExecution().analyzed().toString().strip().split("\n")
-    plain = all(x.lstrip("+-: ").startswith(("Project ", "Filter ", "Relation ")) for x in steps) and steps[-1].endswith("] parquet")
+    plan = docs._jdf.queryExecution().analyzed()
+    steps = plan.toString().strip().split("\n")
+    plain = plan.deterministic() and all(x.lstrip("+-: ").startswith(("Project ", "Filter ", "Relation ")) for x in steps) and steps[-1].endswith("] parquet")
     rows = docs if plain else space.keep(nested(docs), "located")
     source = rows.metadataColumn("_metadata")
     row = F.struct(*[rows[quoted(c)] for c in rows.columns]).alias("row") if plain else rows["row"]

@@ -65,3 +65,16 @@ def test_stages_keep_clashing_columns_and_different_texts(spark, docs, tmp_path)
     assert corpus_pipeline.STAGES[-1][1](spark, rows, where).count() >= rows.count()
     # Results made before are still there.
     assert held[0].count() == len(ROWS) and held[1].count() == 1
+
+
+def test_rows_of_a_filter_by_chance_are_written_first(spark, tmp_path):
+    """Places of what may differ from one reading to the next are those of a written table."""
+    from faultline.llm.shared import Workspace, located
+
+    spark.range(1000).withColumn("text", F.lit("x")).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    with Workspace(spark, "by-chance") as space:
+        rows = located(docs.where(F.rand() < 0.5), space)
+        first, second = ({(r.file, r["at"], r.row.id) for r in rows.collect()} for _ in range(2))
+        assert first == second and 300 < len(first) < 700
+        assert located(docs.where("id > 5"), space).count() == 994
