@@ -79,15 +79,20 @@ def errors(lines: DataFrame) -> DataFrame:
     return assembled(islands(marked(error_lines(lines)), F.col("_header"), "log_id", "n", "seq"))
 
 
+def _let(value: Column, body: Condition) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def kept_lines(lines: Column, starts: Condition, skipped: Condition, ends: Condition) -> Column:
     """within() over an array of lines: a struct of first, the place of the first line kept, and lines."""
-    first = lambda flags: F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("long"))
-    start = first(F.transform(lines, starts))
-    after = first(F.transform(F.slice(lines, start + 1, F.size(lines)), lambda x: ~skipped(x)))
-    begin = F.when(start.isNull(), F.lit(0).cast("long")).otherwise(start + after - 1)
-    rest = F.slice(lines, begin + 1, F.size(lines))
-    end = first(F.transform(rest, ends))
-    return F.when(begin.isNotNull(), F.struct(begin.cast("int").alias("first"), F.slice(rest, F.lit(1), F.coalesce(end - 1, F.size(lines).cast("long")).cast("int")).alias("lines")))
+    # The place of the first line that something holds for, from 1, or null.
+    first = lambda x, holds: F.nullif(F.array_position(F.transform(x, lambda v: F.coalesce(holds(v), F.lit(False))), F.lit(True)), F.lit(0).cast("long"))
+    rest = lambda begin: F.slice(lines, begin + 1, F.size(lines))
+    begin = lambda start: F.when(start.isNull(), F.lit(0).cast("long")).otherwise(start + first(F.slice(lines, start + 1, F.size(lines)), lambda v: ~skipped(v)) - 1)
+    upto = lambda x: F.slice(x, F.lit(1), F.coalesce(first(x, ends) - 1, F.size(x).cast("long")).cast("int"))
+    kept = lambda at: F.when(at.isNotNull(), F.struct(at.cast("int").alias("first"), _let(rest(at), upto).alias("lines")))
+    return _let(first(lines, starts), lambda start: _let(begin(start), kept))
 
 
 def errors_of(logs: DataFrame) -> DataFrame:
@@ -96,10 +101,10 @@ def errors_of(logs: DataFrame) -> DataFrame:
     kept = cut.select("log_id", kept_lines(F.col("_all"), lambda x: F.contains(x, F.lit(START)), lambda x: x.startswith(WARNING), lambda x: x.startswith(END))["lines"].alias("_lines"))
     heads = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(HEADER), i)), lambda i: i.isNotNull())
     kept = kept.where(F.size("_lines") > 0).withColumn("_heads", heads)
-    rest = lambda x: strip_leading(F.substring(x, 8, 1 << 30))
-    detail = lambda x: x.startswith("[ERROR]") & (rest(x) != "") & ~rest(x).startswith("->")
+    rest = lambda x: F.when(x.startswith("[ERROR]"), strip_leading(F.substring(x, 8, 1 << 30)))
     below = lambda h, k: F.slice("_lines", h + 2, F.coalesce(F.get("_heads", k + 1), F.size("_lines")) - h - 1)
-    records = F.transform("_heads", lambda h, k: F.struct(F.get("_lines", h).alias("head"), F.transform(F.filter(below(h, k), detail), rest).alias("details")))
+    details = lambda x: F.filter(F.transform(x, rest), lambda t: (t != "") & ~t.startswith("->"))
+    records = F.transform("_heads", lambda h, k: F.struct(F.get("_lines", h).alias("head"), details(below(h, k)).alias("details")))
     return _parsed(kept.select("log_id", F.posexplode(records).alias("seq", "r")).select("log_id", (F.col("seq") + 1).alias("seq"), "r.head", "r.details"))
 
 
