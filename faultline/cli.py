@@ -1,4 +1,4 @@
-"""Command line: classify logs, compare API snapshots, report impacts, run over records, count version combinations.
+"""Command line: classify logs, compare API snapshots, report impacts, run over records, take jars apart, count version combinations.
 
     python -m faultline.cli classify LOG [-j OUT]
     python -m faultline.cli diff OLD NEW [OUT]
@@ -6,6 +6,7 @@
     python -m faultline.cli report --project DIR --file FILE --line N --changes CLASSES --old JAR --new JAR [--classpath JARS] [-o OUT]
     python -m faultline.cli lines --project DIR [--file FILE] [--line N] [--classpath JARS] [--dependency TEXT]
     python -m faultline.cli run -i RECORDS -p PROJECTS -o OUT [-c CATEGORY] [-f NAME] [-j OUT] [--force] [-a N] [-t N] [--clean] [--verbose] [--no-classify]
+    python -m faultline.cli extract JARS OUT
     python -m faultline.cli combinations RECORDS [-c CATEGORY] [-o OUT]
 
 Inputs are logs, or JSON with the schemas in faultline.schemas; snapshots are JSON rows
@@ -20,6 +21,7 @@ hold all. Exit: 1 for wrong arguments, 2 for a failure.
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +81,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--clean", action="store_true")
     p.add_argument("--verbose", action="store_true")
     p.add_argument("--no-classify", action="store_true")
+    p = kinds.add_parser("extract")
+    p.add_argument("jars")
+    p.add_argument("output")
     p = kinds.add_parser("combinations")
     p.add_argument("records")
     p.add_argument("-c", "--category")
@@ -160,6 +165,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             _show(found)
         elif a.what == "lines":
             _show(_constructs(spark, a.project, a.file, a.line, a.classpath, a.dependency))
+        elif a.what == "extract":
+            folder = a.output if "://" in a.output else f"file://{os.path.abspath(a.output)}"
+            files = readers.extract(readers.archive_entries(readers.archives(spark, a.jars)), folder)
+            _show(files.groupBy("path").agg(F.count("*").alias("files")).orderBy("path"))
         elif a.what == "run":
             if a.no_classify:
                 _show(readers.records(spark, f"{a.input}/{a.file}.json" if a.file else a.input))

@@ -205,6 +205,14 @@ def test_two_archives(spark, tmp_path, capsys):
     assert classfiles.parsed(b"no class") is None and classfiles.parsed(b"") is None
 
 
+def test_extract(spark, tmp_path, capsys):
+    (tmp_path / "jars").mkdir()
+    _jar(tmp_path / "jars" / "a.jar", [("x/A", None, []), ("x/B", None, [])], ("org", "a", "1"))
+    assert cli.main(["extract", str(tmp_path / "jars"), str(tmp_path / "out")], spark) == 0
+    assert "'files': 3" in capsys.readouterr().out
+    assert {p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*.*") if p.is_file()} == {"a.jar/x/A.class", "a.jar/x/B.class", "a.jar/META-INF/maven/a/pom.properties"}
+
+
 def test_dependencies_of_lines(spark, tmp_path, capsys):
     """Types of jars, of the project itself and of the platform; a filter by dependency."""
     for folder in ("src/app", "jars"):
