@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultline.llm import lattice, licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, warc
+from faultline.llm import fim, fingerprint, lattice, licenses, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, trie, warc
 
 NAMES = ("_w", "_text", "_lines", "f_symbols", "domain", "rate", "kept", "id", "n", "label", "row", "file", "at", "score", "predicted", "n_words", "group", "own", "others", "times", "nth", "length", "task", "spans", "license", "candidate", "Text_", "_metadata")
 ROWS = [(1, None), (1, "other words under the same id " * 12), (None, ""), (None, "w x y z " * 30), (2, "fine words of some length are here " * 10), (2, "fine words of some length are here " * 10), (3, "BAD!! ### " * 40), (4, "v " * 60_000)]
@@ -27,6 +27,8 @@ OPERATORS = {
     "op6": ngram_join.join,
     "op6 rows": ngram_join.deduplicated,
     "op8": lambda d: quality_classifier.train_and_score(d, d.sparkSession.createDataFrame(LABELS, "doc_id long, quality int, toxic int")),
+    "op11": fingerprint.of_documents,
+    "op13": fim.transform,
     "op10": lambda d: mixing.apply(d, mixing.fit(d, d.select("doc_id", F.lit("en").alias("domain")), {"en": 0.5, "de": 0.5}, total=0.0)),
 }
 
@@ -47,6 +49,13 @@ def test_vectors_and_pages_take_clashing_columns(spark):
     assert {r.refers_to for r in warc.deduplicated(pages).collect()} == {None, 2}
 
 
+def test_conversations_take_clashing_columns(spark):
+    more = {n: F.lit("theirs") for n in (*NAMES, "turns", "ids", "words", "key", "kind", "part", "base", "head", "h", "t")}
+    rows = spark.createDataFrame([(c, k, "user" if k else None, f"a b {k * c % 3}") for c in range(8) for k in range(5)], "conv_id long, turn long, role string, text string")
+    plain, clashing = (sorted(map(tuple, trie.of_conversations(x).collect()), key=repr) for x in (rows, rows.withColumns(more)))
+    assert plain == clashing and len(plain) >= 3
+
+
 def test_stages_keep_clashing_columns_and_different_texts(spark, docs, tmp_path):
     where = str(tmp_path)
     spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
