@@ -250,7 +250,7 @@ def _first(column: str) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids in their order, license (null if none) and licenses (all, in the rules' order)."""
     known = F.create_map(*[F.lit(x) for text, i in ((SENTENCES[k], n) for k, n in _NUMBER.items()) for x in (text, i)])
-    text = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), f"(?md){MARKS}", "")
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = docs.select("doc_id", text.alias("_text"))
     worth = F.lit(False)
     for stem in STEMS:
@@ -260,7 +260,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spdx = lambda line: known_ones(F.transform(F.split(F.regexp_extract(line, SPDX, 1), JOINS), lambda i: number(F.concat(F.lit("spdx license identifier "), i))))
     line = lambda x: F.transform(F.array(number(x)), lambda i: F.when(i.isNotNull(), F.array(i)).when(F.contains(x, F.lit("spdx-license-identifier")), spdx(x)))[0]
     lines = lambda s: F.flatten(F.filter(F.transform(F.split(s, "\n"), line), lambda x: x.isNotNull()))
-    sentences = F.split(F.regexp_replace("_text", ENDS, "\x01"), "\x01")
+    sentences = F.split(F.regexp_replace(F.regexp_replace("_text", f"(?md){MARKS}", ""), ENDS, "\x01"), "\x01")
     ids = F.flatten(F.transform(sentences, lambda s: F.coalesce(F.transform(F.array(number(s)), lambda i: F.when(i.isNotNull(), F.array(i)))[0], lines(s))))
     out = out.select("doc_id", F.when(worth, ids).otherwise(F.array().cast("array<int>")).alias("_found"))
     out = out.select("doc_id", F.size("_found").cast("long").alias("n_sentences"), F.concat_ws("", F.transform("_found", lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|")))).alias("_ids"))
