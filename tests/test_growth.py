@@ -29,3 +29,14 @@ def test_simple_names_with_many_members(spark, copied):
     want = {r.p_partkey: r.n for r in workflows.impacts_by_simple_name(spark, copied[1]).collect()}
     got = within_a_minute(spark, workflows.impacts_by_simple_name, copied[0])
     assert len(got) == COPIES * len(want) and all(r.n == want[r.p_partkey % 2100] for r in got) and max(want.values()) > 0
+
+
+def test_reports_of_many_constructs(spark, copied):
+    """Each of the constructs on a line meets as many changes as there are copies."""
+    want = {(r.file, r.lineNumber): r for r in workflows.impact_reports(spark, copied[1]).collect()}
+    classes = {(r.file, r.lineNumber): r.n for r in workflows._usages(spark, copied[1]).where("p_partkey % 3 = 0").groupBy("file", "lineNumber").agg(F.count("*").alias("n")).collect()}
+    got = within_a_minute(spark, workflows.impact_reports, copied[0])
+    assert len(got) == len(want) > 0
+    for r in got:
+        one, c = want[r.file, r.lineNumber], classes.get((r.file, r.lineNumber), 0)
+        assert r.constructs == COPIES * one.constructs and r.changes == COPIES * (c + COPIES * (one.changes - c))
