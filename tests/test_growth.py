@@ -40,3 +40,9 @@ def test_reports_of_many_constructs(spark, copied):
     for r in got:
         one, c = want[r.file, r.lineNumber], classes.get((r.file, r.lineNumber), 0)
         assert r.constructs == COPIES * one.constructs and r.changes == COPIES * (c + COPIES * (one.changes - c))
+
+
+def test_names_with_many_members(spark, copied):
+    want = {r.p_partkey: r.n for r in workflows.impacts(spark, copied[1]).collect()}
+    got = within_a_minute(spark, workflows.impacts, copied[0])
+    assert len(got) == COPIES * len(want) and all(r.n == want[r.p_partkey % 2100] * (COPIES if r.p_partkey % 3 == 1 else 1) for r in got)
