@@ -24,8 +24,8 @@ def segmented(lines: DataFrame, n: str = "n", size: int = LINES) -> DataFrame:
 
 
 def _back(lines: DataFrame, carried: DataFrame, key: str) -> DataFrame:
-    """lines with what is carried to their segment."""
-    return lines.join(carried, [key, "segment"])
+    """lines with what is carried to their segment; merged, since there may be as many segments as short files and the sizes that are guessed behind exploded rows are far too small for a broadcast."""
+    return lines.join(carried.hint("merge"), [key, "segment"])
 
 
 def within(lines: DataFrame, starts: Column, skipped: Column, ends: Column, key: str = "log_id", n: str = "n") -> DataFrame:

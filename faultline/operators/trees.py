@@ -10,7 +10,9 @@ Nodes: file, pre and post (places of the brackets among the file's), depth (from
 (the bracket), head (code before it on its line), and where both brackets are: line and
 column, from 0; begin is the column of the head. Brackets are matched by depth, whatever their kind; one that nothing
 closes has a null post and reaches to the file's end; one that closes nothing is no node. Tables between steps are checkpointed, as each step reads its
-input twice: for the sums of segments, and to carry them back.
+input twice: for the sums of segments, and to carry them back. A checkpoint keeps the
+size that was guessed for the texts, not that of their many nodes, so joins are merged
+by hint: nothing is broadcast that grows with the nodes or the files.
 """
 
 from __future__ import annotations
@@ -45,7 +47,9 @@ def nodes(files: DataFrame, pairs: str = "{}()[]") -> DataFrame:
     """The nodes of files (file, content)."""
     from faultline.sources.readers import numbered_lines
 
-    return of_brackets(brackets(code_lines(numbered_lines(files, "file", "content")), pairs))
+    # A small table of texts may lie in one split, though its lines and brackets are many.
+    dealt = files.select("file", "content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    return of_brackets(brackets(code_lines(numbered_lines(dealt, "file", "content")), pairs))
 
 
 def of_brackets(found: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def with_parents(tree: DataFrame) -> DataFrame:
     asked = tree.select("file", (F.col("depth") - 1).alias("_level"), "pre", F.lit(False).alias("_up"))
     last = Window.partitionBy("file", "_level").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     found = own.unionByName(asked).withColumn("parent", F.last(F.when(F.col("_up"), F.col("pre")), ignorenulls=True).over(last)).where("NOT _up")
-    return tree.join(found.select("file", "pre", "parent"), ["file", "pre"])
+    return tree.join(found.select("file", "pre", "parent").hint("merge"), ["file", "pre"])
 
 
 def _counted(tree: DataFrame, chosen: Column) -> DataFrame:
@@ -78,8 +82,8 @@ def _counted(tree: DataFrame, chosen: Column) -> DataFrame:
     one = lambda c, begin: F.max(F.when(F.col("_begin") == begin, F.col(c)))
     sums = events.groupBy("file", "pre").agg(one("_began", True).alias("_began"), one("_still", True).alias("_still"), one("_began", False).alias("_ended"), one("_n", True).alias("_own"))
     total = sums.groupBy("file").agg(F.max("_began").alias("_total"))
-    sums = sums.join(total, "file").select("file", "pre", (F.col("_still") - F.col("_own")).alias("_open"), (F.coalesce("_ended", "_total") - F.col("_began")).alias("_inside"))
-    return tree.join(sums, ["file", "pre"])
+    sums = sums.join(total.hint("merge"), "file").select("file", "pre", (F.col("_still") - F.col("_own")).alias("_open"), (F.coalesce("_ended", "_total") - F.col("_began")).alias("_inside"))
+    return tree.join(sums.hint("merge"), ["file", "pre"])
 
 
 def below(tree: DataFrame, chosen: Column) -> DataFrame:

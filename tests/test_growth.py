@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators import edits, trees
 from faultline.plans import runner, workflows
 
 COPIES = 600
@@ -46,3 +47,16 @@ def test_names_with_many_members(spark, copied):
     want = {r.p_partkey: r.n for r in workflows.impacts(spark, copied[1]).collect()}
     got = within_a_minute(spark, workflows.impacts, copied[0])
     assert len(got) == COPIES * len(want) and all(r.n == want[r.p_partkey % 2100] * (COPIES if r.p_partkey % 3 == 1 else 1) for r in got)
+
+
+def test_nothing_is_broadcast_that_grows_with_nodes(spark, tmp_path):
+    """Few bytes of texts have many nodes, which a size guessed from the texts would broadcast."""
+    files = spark.range(40).selectExpr("CAST(id AS STRING) AS file", "repeat('void gone() { a(b[1]); }\n', 50) AS content")
+    files.write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    tree = trees.nodes(files)
+    chosen = F.col("kind") == "{"
+    gone = edits.deletions(tree, chosen)
+    for made in (trees.with_parents(tree), trees.above(tree, chosen), trees.below(tree, chosen), trees.delete(tree, chosen), edits.applied(files, edits.of_places(files, gone))):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert tree.count() == 40 * 50 * 4 and trees.above(tree, F.col("kind") == "[").count() == 40 * 50 * 2
