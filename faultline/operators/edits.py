@@ -40,7 +40,7 @@ def applied(files: DataFrame, edits: DataFrame) -> DataFrame:
     """files (file, content) with the edits that stay made; insertions at one place follow each other by rank, before what begins there."""
     ordered = F.array_sort(F.collect_list(F.struct("start", "end", "rank", "new")))
     by_file = resolved(edits).groupBy("file").agg(ordered.alias("_edits"))
-    rows = files.join(by_file, "file", "left")
+    rows = files.join(by_file.hint("merge"), "file", "left")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +93,8 @@ def of_places(files: DataFrame, places: DataFrame) -> DataFrame:
     starts = _starts(files)
     first = starts.select("file", F.col("n").alias("line"), F.col("offset").alias("_a"))
     last = starts.select("file", F.col("n").alias("end_line"), F.col("offset").alias("_b"))
-    found = places.join(first, ["file", "line"]).join(last, ["file", "end_line"])
+    # Lines are many more than the size guessed for their files says, so they are merged, not broadcast.
+    found = places.join(first.hint("merge"), ["file", "line"]).join(last.hint("merge"), ["file", "end_line"])
     return found.select("file", (F.col("_a") + F.col("col")).alias("start"), (F.col("_b") + F.col("end_col")).alias("end"), "new", "rank")
 
 
