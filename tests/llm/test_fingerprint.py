@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -140,3 +141,12 @@ def test_near_copies_against_all_pairs(spark):
     for i in range(n):
         if texts.count(texts[i]) > 1:
             assert got[i].near_id == got[texts.index(texts[i])].near_id <= texts.index(texts[i])
+
+
+def test_bands_of_a_text_do_not_depend_on_the_table(spark):
+    """What a text's bands are is up to its fingerprint alone, so more texts beside it part no links."""
+    one = pa.RecordBatch.from_pylist([{"id": 1, "fingerprint": fp.shown(0, fp.embedded(["a text of a few words " * 3])[0]), "n_chars": 66}])
+    found = [b for x in fp._bands(iter([one])) for b in x.column("band").to_pylist()]
+    many = pa.RecordBatch.from_pylist([{"id": i, "fingerprint": fp.shown(0, fp.embedded([f"other {i} words " * 4])[0]), "n_chars": 60} for i in range(2, 40)] + one.to_pylist())
+    again = [b for x in fp._bands(iter([many])) for b, i in zip(*(c.to_pylist() for c in x.columns)) if i == 1]
+    assert found == again and len(found) >= fp.BANDS == 12
