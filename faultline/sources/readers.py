@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
+import json
+import os
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.categories import blank
 from faultline.functions.text import strip_trailing, truth
@@ -18,13 +24,132 @@ from faultline.operators.lookup import first_ranked
 from faultline.schemas import RESULT, UPGRADE_RECORD
 
 
+#: Files of a folder that a task reads, about, and bytes of them that it holds at a time, but for a file that is larger.
+FILES = 2000
+FILE_BYTES = 1 << 23
+
+
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """path as the operating system names it, if it is a folder there."""
+    scheme = re.match(r"([A-Za-z][\w+.-]*):", path)
+    if (scheme[1] != "file") if scheme else not spark.conf.get("spark.hadoop.fs.defaultFS", "file:").startswith("file:"):
+        return None
+    root = os.path.abspath(re.sub("^file:/*", "/", path))
+    return root if os.path.isdir(root) else None
+
+
+def folder_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """file_path, as _metadata has it, and name of each file right below root, a folder that all executors reach, as Spark's readers see them.
+
+    A task goes through the folder, block by block, and the names are dealt by ranges, FILES a task, in order; the driver
+    gets their number alone.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
+            paths = [re.sub(r"[\x00-\x20\"#%<>?\[\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", lambda m: quote(m[0]), f"{root.rstrip('/')}/{x}") for x in names]
+            return pa.RecordBatch.from_arrays([pa.array([f"file:{x}" for x in paths], pa.string()), pa.array(names, pa.string())], ["file_path", "name"])
+
+        names: list[str] = []
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                with os.scandir(root) as entries:
+                    for entry in entries:
+                        hidden = entry.name.startswith(".") or entry.name.startswith("_") and "=" not in entry.name
+                        if not hidden and fnmatch.fnmatchcase(entry.name, glob) and entry.is_file():
+                            names.append(entry.name)
+                            if len(names) == 4096:
+                                yield block()
+                                names.clear()
+        yield block()
+
+    found = spark.range(0, 1, 1, 1).mapInArrow(read, "file_path string, name string")
+    return found.repartitionByRange(found.count() // FILES + 1, "file_path").sortWithinPartitions("file_path")
+
+
+_JSON = json.JSONDecoder()
+
+
+def _bare(text: str, at: int, kind: T.DataType | None) -> Generator[tuple[int, int], None, int]:
+    """Spans of the values that aren't text but belong to string fields, in the JSON value of that kind that begins at; where it ends."""
+    after = lambda i: re.compile(r"[ \t\r\n]*").match(text, i).end()
+    inside = {"{": (T.StructType, T.MapType), "[": T.ArrayType}.get(text[at])
+    if inside is None or not isinstance(kind, inside):
+        value, end = _JSON.raw_decode(text, at)
+        if isinstance(kind, T.StringType) and value is not None and not isinstance(value, str):
+            yield at, end
+        return end
+    of = {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {}
+    item = kind.valueType if isinstance(kind, T.MapType) else kind.elementType if isinstance(kind, T.ArrayType) else None
+    named, at = text[at] == "{", after(at + 1)
+    while text[at] not in "}]":
+        key = None
+        if named:
+            key, at = _JSON.raw_decode(text, at)
+            at = after(after(at) + 1)
+        at = after((yield from _bare(text, at, of.get(key, item))))
+        if text[at] == ",":
+            at = after(at + 1)
+    return at + 1
+
+
+def _exact(text: str, kind: T.StructType) -> str:
+    """text with the values of string fields that aren't text quoted as they stand (1.10 is "1.10"); what is malformed stays."""
+    out, done = [], 0
+    try:
+        at = len(text) - len(text.lstrip(" \t\r\n"))
+        for start, end in _bare(text, at, T.ArrayType(kind) if text[at] == "[" else kind):
+            out += [text[done:start], json.dumps(text[start:end])]
+            done = end
+    except (ValueError, IndexError, RecursionError, TypeError):
+        return text
+    return "".join([*out, text[done:]])
+
+
+def _json_texts(files: DataFrame, root: str, kind: T.StructType) -> DataFrame:
+    """file_path and content, for records of that kind, of the files below root that aren't blank, whatever Unicode they are in; null where they are in none."""
+
+    def text(content: bytes) -> str | None:
+        try:
+            return _exact(content.decode(json.detect_encoding(content)), kind)
+        except UnicodeError:
+            return None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str | None]] = []
+        size = 0
+        for batch in batches:
+            for where, name in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(f"{root}/{name}", "rb") as f:
+                    content = f.read()
+                if content.strip(b" \t\r\n"):
+                    rows.append((where, text(content)))
+                    size += len(content)
+                if size >= FILE_BYTES or len(rows) == 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["file_path", "content"])
+                    rows, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["file_path", "content"])
+
+    return files.mapInArrow(read, "file_path string, content string")
+
+
 def report_files(spark: SparkSession, path: str, schema: str = UPGRADE_RECORD) -> DataFrame:
     """file_path and record of each *.json right below a directory, or of one file, by path.
 
-    Unknown fields are dropped; the first malformed file ends the scan.
+    Unknown fields are dropped; the first malformed file ends the scan. A folder in a file system that is mounted may hold
+    any number of files: tasks list and read it. Other file systems, patterns and single files are left to Spark's
+    reader, which lists them in the driver.
     """
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file_path"), F.struct(*rows.columns).alias("record")).orderBy("file_path")
+    root = _local_folder(spark, path)
+    if root is None:
+        rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(path)
+        return rows.select(F.col("_metadata.file_path").alias("file_path"), F.struct(*rows.columns).alias("record")).orderBy("file_path")
+    texts = _json_texts(folder_files(spark, root, "*.json"), root, T.StructType.fromDDL(schema))
+    malformed = F.raise_error(F.concat(F.lit("MALFORMED_RECORD_IN_PARSING: no record in "), "file_path"))
+    # As the file reader has it: a list at the top is a row an item.
+    found = F.from_json("content", f"array<struct<{schema}>>", {"mode": "FAILFAST"})
+    rows = texts.select("file_path", F.explode(F.coalesce(found, malformed)).alias("record"))
+    return rows.select("file_path", F.coalesce("record", malformed).alias("record"))
 
 
 def records(spark: SparkSession, path: str, renamed: dict[str, str] | None = None) -> DataFrame:
