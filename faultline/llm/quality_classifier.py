@@ -6,9 +6,10 @@ better win its preference pairs: logistic loss on differences of features. The d
 is a quantile of the strengths of the labelled texts, the one that parts off as many as
 are labelled bad; it becomes the score 0.7.
 
-Texts are looked at in numpy batches of about 1 MB, or one text: no shuffle. Learned from
-``sample_rows`` labelled rows at most, the first by a hash of doc_id; their ids are all
-that is broadcast, and their features all that reaches the driver.
+Texts are looked at in numpy batches of about 1 MB, or one text. Learned from all labelled
+rows that aren't held out and all of their pairs: their features are written once to the
+shared folder, and each step of Newton's method sums them up in tasks, whose sums are all
+that reaches the driver.
 
 Defined results: null and empty texts have zero features and get a score; a very long
 text is looked at whole; equal strengths get equal scores; several labels of a document
@@ -21,7 +22,11 @@ train_and_score() replaces and predicted_good() keeps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import math
+import pickle
+from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,12 +36,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import words
-from faultline.llm.shared import column, flattened, nested, sliced, with_text
+from faultline.llm.shared import Workspace, column, flattened, nested, sliced, with_text
 
 COUNTS = ("symbols", "shouts", "capitals", "letters", "repeats", "distinct", "same_lines", "word_length")
 WIDE = 256
-#: Pairs, or rows, that the driver looks at together.
-CHUNK = 2000
+#: Rows that are summed up together.
+CHUNK = 1000
+#: Between nodes of the grid of strengths.
+STEP = 0.125
+#: Ranges that strengths are counted in at once, and strengths that are looked at one by one.
+BINS, MOST = 4096, 10_000
 _SYMBOL, _LETTER, _CAPITAL = (np.zeros(256, bool) for _ in range(3))
 _SYMBOL[[*b"#*$%&|<>"]] = True
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC2, 256)]] = True
@@ -102,62 +111,186 @@ def gradient(w: np.ndarray, diff: np.ndarray, ridge: float) -> np.ndarray:
     return diff.T @ (p - 1) / len(diff) + ridge * w
 
 
-def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = 20_000, ridge: float = 1e-3, seed: int = 11) -> np.ndarray:
-    """Weights from pairs of a better and a worse row, all of them or so many at random, by Newton's method."""
-    if len(good) * len(bad) <= pairs:
-        i, j = np.divmod(np.arange(len(good) * len(bad)), len(bad))
-    else:
-        rng = np.random.default_rng(seed)
-        i, j = rng.integers(len(good), size=pairs), rng.integers(len(bad), size=pairs)
-    w = np.zeros(good.shape[1])
+def nodes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each strength the eight nodes of the grid about it, and its weights by Lagrange's polynomials."""
+    low = np.floor(s / STEP)
+    t = (s / STEP - low)[:, None]
+    at = np.arange(-3, 5)
+    weights = np.stack([np.prod([(t[:, 0] - m) / (o - m) for m in at if m != o], 0) for o in at], 1)
+    return low.astype(np.int64)[:, None] + at, weights
+
+
+class Side(NamedTuple):
+    """Of rows of one label: nodes in use, rows at each, and the sum of their features."""
+
+    ids: np.ndarray
+    count: np.ndarray
+    total: np.ndarray
+
+
+def side(x: np.ndarray, w: np.ndarray) -> Side:
+    at, weights = nodes(x @ w)
+    ids, place = np.unique(at, return_inverse=True)
+    dealt = np.zeros((len(x), len(ids)))
+    np.put_along_axis(dealt, place.reshape(at.shape), weights, 1)
+    return Side(ids, dealt.sum(0), dealt.T @ x)
+
+
+def both(a: tuple, b: tuple) -> tuple:
+    """The sums of two parts: Sides node by node, arrays and numbers as they are."""
+
+    def one(p, q):
+        if not isinstance(p, Side):
+            return p + q
+        ids, place = np.unique(np.concatenate([p.ids, q.ids]), return_inverse=True)
+        out = Side(ids, np.zeros(len(ids)), np.zeros((len(ids), p.total.shape[1])))
+        for part, where in ((p, place[: len(p.ids)]), (q, place[len(p.ids) :])):
+            out.count[where] += part.count
+            out.total[where] += part.total
+        return out
+
+    return tuple(one(p, q) for p, q in zip(a, b))
+
+
+#: Sums over all rows: of(features, whether good) gives a tuple for some rows, summed by both().
+Sums = Callable[[Callable[[np.ndarray, np.ndarray], tuple]], tuple]
+
+
+def in_memory(x: np.ndarray, y: np.ndarray) -> Sums:
+    return lambda of: functools.reduce(both, (of(x[k : k + CHUNK], y[k : k + CHUNK]) for k in range(0, max(len(x), 1), CHUNK)))
+
+
+def in_tasks(rows: DataFrame) -> Sums:
+    """rows: good, x. A task sums its rows up, two a core at any size of the table; then some tasks what the others have, if those are many."""
+    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    parts = rows.rdd.getNumPartitions()
+
+    def summed(of: Callable) -> tuple:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for k in range(0, batch.num_rows, CHUNK):
+                    piece = batch.slice(k, CHUNK)
+                    x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in piece.column("x")])
+                    found = of(x, piece.column("good").to_numpy(zero_copy_only=False).astype(bool))
+                    total = found if total is None else both(total, found)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["part"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for v in batch.column("part"):
+                    found = pickle.loads(v.as_buffer())
+                    total = found if total is None else both(total, found)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["part"])
+
+        found = rows.mapInArrow(part, "part binary")
+        if parts > 32:
+            found = found.repartition(math.isqrt(parts)).mapInArrow(merge, "part binary")
+        return functools.reduce(both, (pickle.loads(v.as_buffer()) for v in found.toArrow().column("part")))
+
+    return summed
+
+
+def newton(summed: Sums, scale: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of features over scale that minimise the mean logistic loss over all pairs of a better and a worse row.
+
+    What the loss asks of a pair is a smooth function of the difference of two strengths, so rows are summed up on a
+    grid of strengths and the grid's nodes meet in pairs: all pairs count (to about 1e-9 of each) in time linear in the rows.
+    """
+    w = np.zeros(len(scale))
     for _ in range(30):
-        # Differences are made anew each time, a few thousand pairs at once, so the driver holds the features once.
-        hessian, slope = ridge * np.eye(len(w)), ridge * w
-        for k in range(0, len(i), CHUNK):
-            diff = good[i[k : k + CHUNK]].astype(np.float64) - bad[j[k : k + CHUNK]]
-            p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
-            slope = slope + diff.T @ (p - 1) / len(i)
-            hessian += (diff * (p * (1 - p))[:, None]).T @ diff / len(i)
-        step = np.linalg.solve(hessian, slope)
-        w -= step
+        at = w
+        good, bad = summed(lambda x, y: tuple(side(x[m] / scale, at) for m in (y, ~y)))
+        n = good.count.sum() * bad.count.sum()
+        p = 1 / (1 + np.exp(-np.clip((good.ids[:, None] - bad.ids) * STEP, -700, 700)))
+        q = p * (1 - p)
+        slope = (good.total.T @ ((p - 1) @ bad.count) - bad.total.T @ (good.count @ (p - 1))) / n + ridge * w
+        curves = (good.ids, q @ bad.count / n), (bad.ids, good.count @ q / n)
+
+        def second(x: np.ndarray, y: np.ndarray) -> tuple:
+            out = np.zeros((len(at), len(at)))
+            for rows, (ids, curve) in zip((x[y] / scale, x[~y] / scale), curves):
+                where, weights = nodes(rows @ at)
+                # A node that rounding puts beside those in use has the curve's value at the nearest.
+                out += (rows * (curve[np.minimum(np.searchsorted(ids, where), len(ids) - 1)] * weights).sum(1)[:, None]).T @ rows
+            return (out,)
+
+        cross = good.total.T @ q @ bad.total / n
+        step = np.linalg.solve(summed(second)[0] - cross - cross.T + ridge * np.eye(len(w)), slope)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def learned(x: np.ndarray, y: np.ndarray, threshold: float = 0.7) -> Model:
-    """Of features x and whether each row is labelled good."""
+def bradley_terry(good: np.ndarray, bad: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights from all pairs of a better and a worse row."""
+    return newton(in_memory(np.concatenate([good, bad]), np.arange(len(good) + len(bad)) < len(good)), np.ones(good.shape[1]), ridge)
+
+
+def cut(summed: Sums, w: np.ndarray, k: int) -> float:
+    """The middle between the strengths of ranks k - 1 and k (from 0) of all rows, by counts in ever narrower ranges."""
+    reach = float(np.abs(w).sum()) + 1
+    low, high = -reach, reach  # features are within -1 and 1
+    for _ in range(4):
+        def counted(x: np.ndarray, y: np.ndarray, low: float = low, high: float = high) -> tuple:
+            s = x @ w
+            return int((s < low).sum()), np.histogram(s, BINS, (low, high))[0]
+
+        below, counts = summed(counted)
+        first, last = np.searchsorted(below + np.cumsum(counts), [k - 1, k], "right").clip(0, BINS - 1)
+        edges = np.linspace(low, high, BINS + 1)
+        # A value at an edge may be counted on either side.
+        low, high = edges[max(first - 1, 0)], edges[min(last + 2, BINS)]
+        if counts[max(first - 1, 0) : last + 2].sum() <= MOST:
+            break
+
+    def values(x: np.ndarray, y: np.ndarray) -> tuple:
+        s = x @ w
+        return int((s < low).sum()), Counter(s[(s >= low) & (s <= high)].tolist())
+
+    below, found = summed(values)
+    held = sorted(found)
+    upto = below + np.cumsum([found[v] for v in held])
+    a, b = (held[min(int(np.searchsorted(upto, r, "right")), len(held) - 1)] for r in (k - 1, k))
+    return (a + b) / 2
+
+
+def model_of(summed: Sums, width: int, threshold: float, ridge: float = 1e-3) -> Model:
     base = float(np.log(threshold / (1 - threshold)))
-    if not y.any() or y.all():
-        return Model(np.zeros(len(COUNTS) + 2 * WIDE), base + 1e-9)
+    head = lambda x: x[:, : len(COUNTS)].astype(np.float64)
+    n, good, total, squares = summed(lambda x, y: (len(x), int(y.sum()), head(x).sum(0), (head(x) ** 2).sum(0)))
+    if good in (0, n):
+        return Model(np.zeros(width), base + 1e-9)
     # Counts are standardised; shares stay as small as they are, so the ridge trusts them with many labels only.
-    scale = np.concatenate([np.maximum(x[:, : len(COUNTS)].astype(np.float64).std(0), 1e-3), np.ones(2 * WIDE)])
-    good, bad = x[y], x[~y]
-    for side in (good, bad):  # what is taken off all alike doesn't matter for differences
-        side /= scale.astype(side.dtype)
-    w = bradley_terry(good, bad) / scale
-    strength = np.sort(np.concatenate([x[k : k + CHUNK] @ w for k in range(0, len(x), CHUNK)]))
-    k = int((~y).sum())
-    return Model(w, base - float(strength[k - 1] + strength[k]) / 2)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, threshold: float = 0.7) -> Model:
-    """labels: doc_id, label (1 is better); all of its rows may be learned from."""
+    deviation = np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0))
+    scale = np.concatenate([np.maximum(deviation, 1e-3), np.ones(width - len(COUNTS))])
+    w = newton(summed, scale, ridge) / scale
+    return Model(w, base - cut(summed, w, n - good))
+
+
+def learned(x: np.ndarray, y: np.ndarray, threshold: float = 0.7) -> Model:
+    """Of features x and whether each row is labelled good."""
+    return model_of(in_memory(x, y), x.shape[1], threshold)
+
+
+def fit(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Model:
+    """labels: doc_id, label (1 is better); all of its rows are learned from."""
     marked = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.avg("label").alias("good")).where("good != 0.5")
-    marked = marked.orderBy(F.xxhash64("doc_id")).limit(sample_rows).withColumn("good", F.expr("good > 0.5"))
-    texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(marked), "doc_id").select("good", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string")).join(marked.hint("merge"), "doc_id").select(F.expr("good > 0.5").alias("good"), "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array([r.tobytes() for r in features(batch.column("text"))], pa.binary())], ["good", "x"])
 
-    rows = texts.mapInArrow(of, "good boolean, x binary").toArrow()
-    good = rows.column("good").to_numpy(zero_copy_only=False).astype(bool)
-    x = np.empty((len(good), len(COUNTS) + 2 * WIDE), np.float32)
-    for k, value in enumerate(rows.column("x")):
-        x[k] = np.frombuffer(value.as_buffer(), np.float32)
-    del rows
-    return learned(x, good, threshold)
+    with Workspace(docs.sparkSession, "quality") as space:
+        rows = space.keep(texts.mapInArrow(of, "good boolean, x binary"), "features")
+        if rows.isEmpty():
+            return learned(np.zeros((0, len(COUNTS) + 2 * WIDE), np.float32), np.zeros(0, bool), threshold)
+        return model_of(in_tasks(rows), len(COUNTS) + 2 * WIDE, threshold)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
